@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, line_dedup, near_dup
+from statloom.llm import bpe, decontaminate, lang_id, line_dedup, near_dup, token_counts
 from statloom.llm.common import read
 
 
@@ -29,7 +29,31 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), NEAR)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_decontaminate, op6_near_dedup)}
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    text = bpe.decode(coded, path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = lang_id.predict(docs, lang_id.train(docs))
+    return out.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_decontaminate, op6_near_dedup, op9_bpe, op10_lang_id)}
 
 ORACLE = {
     "op1_line_dedup": r"""
