@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, decontaminate, lang_id, line_dedup, near_dup, token_counts
+from statloom.llm import bpe, chat, decontaminate, lang_id, licenses, line_dedup, near_dup, pii, quality, token_counts
 from statloom.llm.common import read
 
 
@@ -16,6 +16,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+PSEUDONYM_KEY = "corpus key 1"  # in production the job's secret
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=10)
     items = F.sha2(F.array_join("items", ","), 256)
@@ -39,6 +51,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.render(chat.from_turn_rows(rows.unionByName(control))))
+    turns = F.expr(r"array_join(transform(turns_back, t -> concat(t.role, '\n', t.text, '\n')), '')")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns_back").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents").withColumnRenamed("source", "host"), quality.Limits())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -53,7 +84,10 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op5_decontaminate, op6_near_dedup, op9_bpe, op10_lang_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_license_scan, op4_pii, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_quality, op9_bpe, op10_lang_id)}
+
+DUCK_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 
 ORACLE = {
     "op1_line_dedup": r"""
@@ -89,4 +123,36 @@ r AS (SELECT a AS doc_id, least(a, b) AS c FROM l UNION SELECT l.b, r.c FROM r J
 c AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "op3_license_scan": rf"""
+WITH t AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+           FROM (SELECT name, string_split({DUCK_NORMAL.format("notice")}, ' ') AS w FROM (VALUES {TEMPLATE_ROWS}) AS v(name, notice))),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n')), [text])) AS unit FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT doc_id, string_split({DUCK_NORMAL.format("unit")}, ' ') AS w FROM u) WHERE len(w) > 1),
+m AS (SELECT doc_id, name, round(2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)), 6) AS dice FROM g JOIN t ON len(g.g) <= 1.5 * len(t.g) + 1 AND len(t.g) <= 1.5 * len(g.g) + 1
+      WHERE 2 * len(list_intersect(g.g, t.g)) >= 0.8 * (len(g.g) + len(t.g))),
+a AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id),
+b AS (SELECT doc_id, name AS best, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
+SELECT d.doc_id, a.licenses, b.best, b.dice FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""",
+    "op7_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')) + length(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')) + 13 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op8_quality": r"""
+WITH d AS (SELECT doc_id, source AS host, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
+x AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS key FROM l),
+y AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM x WHERE n > 0 GROUP BY doc_id),
+h AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
+a AS (SELECT x.host, key FROM x JOIN h ON h.host IS NOT DISTINCT FROM x.host WHERE x.n > 0 GROUP BY x.host, key, h.n HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.01 * h.n),
+z AS (SELECT doc_id, sum(x.n) AS n FROM x JOIN a ON a.host IS NOT DISTINCT FROM x.host AND a.key = x.key GROUP BY doc_id),
+f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS n_removed
+      FROM d LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words - n_removed) >= 0.5 * n_words AS kept FROM f""",
 }
