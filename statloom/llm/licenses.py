@@ -46,29 +46,31 @@ def normal(text: str) -> str:
     return rf"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' '))"
 
 
-def bigrams(words: str) -> str:
-    return f"array_distinct(transform(sequence(1, size({words}) - 1), i -> xxhash64({words}[i - 1], {words}[i])))"
+def bigrams(text: str) -> str:
+    """SQL for the different bigrams of a text; the array of words is named, so that it is made once."""
+    grams = "CASE WHEN size(w) > 1 THEN array_distinct(transform(sequence(1, size(w) - 1), i -> xxhash64(w[i - 1], w[i]))) END"
+    return f"transform(array(split({normal(text)}, ' ')), w -> {grams})[0]"
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], t: float) -> DataFrame:
     """license, grams, n_template, n: a row for each template and number of bigrams it allows."""
-    words = spark.createDataFrame(list(templates.items()), "license string, notice string").withColumn("w", F.expr(f"split({normal('notice')}, ' ')"))
-    grams = words.where("size(w) > 1").select("license", F.expr(bigrams("w")).alias("t_grams")).withColumn("n_template", F.size("t_grams"))
+    known = spark.createDataFrame([(k, [v]) for k, v in templates.items()], "license string, notice array<string>")
+    grams = known.select("license", F.explode(F.expr(f"transform(notice, x -> {bigrams('x')})")).alias("t_grams")).withColumn("n_template", F.size("t_grams")).where("n_template > 0")
     lo, hi = F.greatest(F.lit(1), F.ceil(F.col("n_template") * t / (2 - t) - 1e-9).cast("int")), F.floor(F.col("n_template") * (2 - t) / t + 1e-9).cast("int")
     return grams.select("license", "t_grams", "n_template", F.explode(F.sequence(lo, hi)).alias("n"))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """row, words: a row for each different line, paragraph and whole text."""
+    """row, grams: a row for each different line, paragraph and whole text. The bigrams are made in the generator, as
+    filters on them would else make them again."""
     parts = r"concat(split(text, '\n'), split(text, '\n[ \t\r]*\n'), array(text))"
-    each = docs.select("row", F.explode(F.expr(f"array_distinct({parts})")).alias("unit"))
-    return each.select("row", F.split(F.expr(normal("unit")), " ").alias("words"))
+    return docs.select("row", F.explode(F.expr(f"transform(array_distinct({parts}), u -> {bigrams('u')})")).alias("grams"))
 
 
 def matches(docs: DataFrame, t: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """row, license, dice: for docs (row, text), each unit's templates at or above t."""
     table = template_table(docs.sparkSession, templates, t)
-    grams = units(docs).where("size(words) > 1").select("row", F.expr(bigrams("words")).alias("grams")).withColumn("n", F.size("grams"))
+    grams = units(docs).withColumn("n", F.size("grams"))
     met = grams.join(F.broadcast(table), "n")
     dice = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("n") + F.col("n_template"))
     return met.select("row", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= t)

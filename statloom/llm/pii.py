@@ -39,7 +39,7 @@ def quoted(regex: str) -> str:
 
 def whole_form() -> str:
     forms = "|".join(f.replace("([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>") for f in FORMS.values())
-    return rf"(?<![0-9A-Za-z])(?:{forms})(?![0-9A-Za-z])"
+    return rf"(?<![0-9A-Za-z])(?<![0-9]\.)(?:{forms})(?![0-9A-Za-z])"
 
 
 # --- the permutation ------------------------------------------------------------------------------------------------
