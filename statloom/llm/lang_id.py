@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Families of ISO 639-1 codes. A language that is not here is a family of its own.
 FAMILY = {
@@ -139,9 +140,13 @@ def vote(names: list[str], kind: str, model: dict, x: np.ndarray) -> tuple[str,
     return best, float(weakest[best])
 
 
-def predict(docs: DataFrame, model: dict, s: Settings = Settings()) -> DataFrame:
-    """doc_id, lang_pred, score: a row for each document."""
+def predict(docs: DataFrame, model: dict, s: Settings = Settings(), keep_columns: bool = False) -> DataFrame:
+    """lang_pred and score for each document, after its doc_id or, with keep_columns, after all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vector of s.dims numbers for each pair
+    rest = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")]) if keep_columns else docs.select("doc_id", "text")
+    at = rest.columns.index("text")
+    kept = [i for i, c in enumerate(rest.columns) if keep_columns or c != "text"]
+    names = [*(rest.columns[i] for i in kept), "lang_pred", "score"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(s), shared.value
@@ -149,7 +154,7 @@ def predict(docs: DataFrame, model: dict, s: Settings = Settings()) -> DataFrame
         members = {f: [x for x in model["langs"] if model["family"][x] == f] for f in families}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 x = features(text) if families else None
                 if x is None:
                     out.append(("und", 0.0))
@@ -157,6 +162,7 @@ def predict(docs: DataFrame, model: dict, s: Settings = Settings()) -> DataFrame
                 family, sure = vote(families, "family", model, x)
                 lang, surer = vote(members[family], "lang", model, x)
                 out.append((lang, sure * surer))
-            yield pa.record_batch([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([p for _, p in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([x for x, _ in out], pa.string()), pa.array([p for _, p in out], pa.float64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    schema = rest.select(*names[:-2]).schema.add("lang_pred", StringType()).add("score", DoubleType())
+    return rest.mapInArrow(rows, schema)

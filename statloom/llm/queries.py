@@ -34,7 +34,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
-NEAR = near_dup.Settings(shingle=3, percent=85)
+NEAR = near_dup.Settings(shingle=3, percent=85, bands=25)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
