@@ -1,0 +1,6 @@
+"""All queries of the library by name, with SQL for the same rows."""
+
+from statloom.plans import statements
+
+QUERIES = {**statements.QUERIES}
+ORACLE = {**statements.ORACLE}
