@@ -1,6 +1,6 @@
 """All queries of the library by name, with SQL for the same rows."""
 
-from statloom.plans import statements
+from statloom.plans import documents, statements
 
-QUERIES = {**statements.QUERIES}
-ORACLE = {**statements.ORACLE}
+QUERIES = {**statements.QUERIES, **documents.QUERIES}
+ORACLE = {**statements.ORACLE, **documents.ORACLE}
