@@ -259,8 +259,9 @@ def dedup(docs: DataFrame, index: LineIndex, keep_columns: bool = False, broadca
     otherwise doc_id, n_lines, n_dropped, kept_text."""
     # The drop list is proportional to the frequent lines only; texts move once, to meet it.
     columns = docs.columns if keep_columns else ["doc_id", "text"]
-    gone = drop_list(docs, index, broadcast_bytes).select(F.col("doc_id").alias("_gone_id"), "gone")
-    joined = docs.select(*columns).join(gone, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id").withColumnRenamed("gone", "_gone")
+    lost, lost_id = (max(columns, key=len) + end for end in ("_lost", "_id"))  # names that no column of docs has
+    gone = drop_list(docs, index, broadcast_bytes).select(F.col("doc_id").alias(lost_id), F.col("gone").alias(lost))
+    joined = docs.select(*columns).join(gone, F.col("doc_id") == F.col(lost_id), "left").select(*columns, lost)
     min_chars = index.min_chars
 
     def cut(text: bytes, gone: list[dict]) -> tuple[bytes, int, int]:
