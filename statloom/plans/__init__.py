@@ -1,6 +1,6 @@
 """All queries of the library by name, with SQL for the same rows."""
 
-from statloom.plans import documents, operations, statements
+from statloom.plans import audits, documents, operations, statements
 
-QUERIES = {**statements.QUERIES, **documents.QUERIES, **operations.QUERIES}
-ORACLE = {**statements.ORACLE, **documents.ORACLE, **operations.ORACLE}
+QUERIES = {**statements.QUERIES, **documents.QUERIES, **operations.QUERIES, **audits.QUERIES}
+ORACLE = {**statements.ORACLE, **documents.ORACLE, **operations.ORACLE, **audits.ORACLE}
