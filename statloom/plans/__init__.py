@@ -1,6 +1,7 @@
 """All queries of the library by name, with SQL for the same rows."""
 
-from statloom.plans import audits, documents, operations, statements
+from statloom.plans import audits, bases, documents, operations, statements
 
-QUERIES = {**statements.QUERIES, **documents.QUERIES, **operations.QUERIES, **audits.QUERIES}
-ORACLE = {**statements.ORACLE, **documents.ORACLE, **operations.ORACLE, **audits.ORACLE}
+PARTS = (statements, documents, operations, audits, bases)
+QUERIES = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLE = {k: sql for part in PARTS for k, sql in part.ORACLE.items()}
