@@ -74,47 +74,45 @@ def confidence(*known: Column) -> Column:
     return F.when(some_unknown, F.round(least * 0.9, 4)).otherwise(least)
 
 
-def simple_ratio(metric: str, num: str, den: str) -> Column:
-    """A ratio over columns of a wide row, as a struct (metric_id, value, validity, reasons)."""
-    n, d = F.col(num), F.col(den)
-    negative = F.array_compact(F.array(*[F.when(F.col(k) < 0, F.lit("MATH_INPUT_UNEXPECTED_NEGATIVE")) for k in (num, den) if k in dims.NON_NEGATIVE]))
-    gate = F.array_compact(F.array(denominator_reason(d), F.when(n.isNull(), F.lit("MATH_REQUIRED_INPUT_MISSING"))))
-    value, guard = guarded_ratio(n, d)
-    reasons = F.when(F.size(negative) > 0, negative).when(F.size(gate) > 0, gate).otherwise(F.array_compact(F.array(guard)))
-    ok = F.size(reasons) == 0
-    return F.struct(F.lit(metric).alias("metric_id"), canonical(F.when(ok, value)).alias("value"), F.when(ok, "valid").otherwise("invalid").alias("validity"), ordered_reasons(reasons).alias("reasons"))
-
-
-def average_ratio(metric: str, num: str, base: str) -> Column:
-    """A ratio over the mean of opening_<base> and <base>, which both must be there."""
-    n, opening, closing = F.col(num), F.col(f"opening_{base}"), F.col(base)
-    gate = (
-        F.when(opening.isNull(), F.array(F.lit("COMPARATIVE_MISSING_OPENING_BALANCE"), F.lit("COMPARATIVE_FORBIDDEN_APPROXIMATION")))
-        .when(closing.isNull(), F.array(F.lit("COMPARATIVE_MISSING_CLOSING_BALANCE")))
-    )
-    mean = (opening + closing) / 2
-    negative = array_of((mean < 0, "MATH_INPUT_UNEXPECTED_NEGATIVE"), *([(n < 0, "MATH_INPUT_UNEXPECTED_NEGATIVE")] if num in dims.NON_NEGATIVE else []))
-    later = F.array_compact(F.array(denominator_reason(mean), F.when(n.isNull(), F.lit("MATH_REQUIRED_INPUT_MISSING"))))
-    value, guard = guarded_ratio(n, mean)
-    reasons = F.coalesce(gate, F.when(F.size(negative) > 0, negative).when(F.size(later) > 0, later).otherwise(F.array_compact(F.array(guard))))
-    ok = F.size(reasons) == 0
-    return F.struct(F.lit(metric).alias("metric_id"), canonical(F.when(ok, value)).alias("value"), F.when(ok, "valid").otherwise("invalid").alias("validity"), ordered_reasons(reasons).alias("reasons"))
-
-
-def suppressed(metric: str) -> Column:
-    code = "MATH_COVERAGE_INTENTIONALLY_SUPPRESSED"
-    return F.struct(F.lit(metric).alias("metric_id"), F.lit(None).cast("double").alias("value"), F.lit("suppressed").alias("validity"), F.array(F.lit(code)).alias("reasons"))
-
-
 def all_ratios(facts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, metric_id, value, validity, reason, reasons: 15 rows for each statement, without a shuffle. facts may have
-    opening_total_assets and opening_equity; without them the average ratios lack their opening balance."""
+    opening_total_assets and opening_equity; without them the average ratios lack their opening balance. The inputs of
+    each ratio become a row first, so that the gates are one expression and not one for each ratio."""
     for base in ("total_assets", "equity"):
         if f"opening_{base}" not in facts.columns:
             facts = facts.withColumn(f"opening_{base}", F.lit(None).cast("double"))
-    each = [simple_ratio(*r) for r in dims.RATIOS] + [average_ratio(*r) for r in dims.AVERAGE_RATIOS] + [suppressed(m) for m in dims.SUPPRESSED]
-    long = facts.select(*keys, F.explode(F.array(*each)).alias("r"))
-    return long.select(*keys, "r.metric_id", "r.value", "r.validity", F.try_element_at("r.reasons", F.lit(1)).alias("reason"), "r.reasons")
+    none = F.lit(None).cast("double")
+
+    def row(metric, kind, n, opening, closing, n_signed, d_signed):
+        cells = {"metric_id": F.lit(metric), "kind": F.lit(kind), "n": n, "opening": opening, "closing": closing, "n_signed": F.lit(n_signed), "d_signed": F.lit(d_signed)}
+        return F.struct(*[c.alias(k) for k, c in cells.items()])
+
+    signed = lambda k: k not in dims.NON_NEGATIVE
+    each = [row(m, "simple", F.col(n), none, F.col(d), signed(n), signed(d)) for m, n, d in dims.RATIOS]
+    each += [row(m, "average", F.col(n), F.col(f"opening_{b}"), F.col(b), signed(n), False) for m, n, b in dims.AVERAGE_RATIOS]
+    each += [row(m, "suppressed", none, none, none, True, True) for m in dims.SUPPRESSED]
+    long = facts.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*")
+    average = F.col("kind") == "average"
+    long = long.withColumn("d", F.when(average, (F.col("opening") + F.col("closing")) / 2).otherwise(F.col("closing")))
+    n, d = F.col("n"), F.col("d")
+    basis = (
+        F.when(F.col("kind") == "suppressed", F.array(F.lit("MATH_COVERAGE_INTENTIONALLY_SUPPRESSED")))
+        .when(average & F.col("opening").isNull(), F.array(F.lit("COMPARATIVE_MISSING_OPENING_BALANCE"), F.lit("COMPARATIVE_FORBIDDEN_APPROXIMATION")))
+        .when(average & F.col("closing").isNull(), F.array(F.lit("COMPARATIVE_MISSING_CLOSING_BALANCE")))
+    )
+    negative = ((n < 0) & ~F.col("n_signed")) | ((d < 0) & ~F.col("d_signed"))
+    quotient, guard = guarded_ratio(n, d)
+    later = array_compact(denominator_reason(d), F.when(n.isNull(), F.lit("MATH_REQUIRED_INPUT_MISSING")))
+    reasons = F.coalesce(basis, F.when(F.coalesce(negative, F.lit(False)), F.array(F.lit("MATH_INPUT_UNEXPECTED_NEGATIVE"))), F.when(F.size(later) > 0, later), array_compact(guard))
+    judged = long.withColumns({"quotient": quotient, "found": reasons})
+    ok = F.size("found") == 0
+    validity = F.when(ok, "valid").when(F.col("kind") == "suppressed", "suppressed").otherwise("invalid")
+    out = judged.select(*keys, "metric_id", canonical(F.when(ok, F.col("quotient"))).alias("value"), validity.alias("validity"), ordered_reasons(F.col("found")).alias("reasons"))
+    return out.select(*keys, "metric_id", "value", "validity", F.try_element_at("reasons", F.lit(1)).alias("reason"), "reasons")
+
+
+def array_compact(*items: Column) -> Column:
+    return F.array_compact(F.array(*items))
 
 
 def wide(ratios: DataFrame, keys: list[str]) -> DataFrame:
