@@ -32,8 +32,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe.encode(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

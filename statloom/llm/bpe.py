@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: How byte-level BPE cuts a text into words (white space as Unicode has it).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -41,6 +42,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Words up to this many bytes are proposed and merged many at a time.
+SHORT = 48
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class OpenTable:
+    """A hash table of 64-bit numbers that is read many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            turn = left[np.unique(at[left], return_index=True)[1]]
+            turn = turn[self.values[at[turn]] < 0]
+            self.keys[at[turn]], self.values[at[turn]] = keys[turn], values[turn]
+            left = np.setdiff1d(left, turn, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * STEP) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, wanted: np.ndarray, missing: int) -> np.ndarray:
+        out, at, open_ = np.full(len(wanted), missing, np.int32), self.slot(wanted), np.arange(len(wanted))
+        while len(open_):
+            found = self.values[at[open_]]
+            same = (self.keys[at[open_]] == wanted[open_]) & (found >= 0)
+            out[open_[same]] = found[same]
+            open_ = open_[~same & (found >= 0)]
+            at[open_] = (at[open_] + 1) & self.mask
+        return out
+
+
 class Vocabulary:
     """The tables of one tokenizer file."""
 
@@ -65,46 +99,22 @@ class Vocabulary:
             self.rank[x, y] = (r, xy)
             parts.setdefault(xy, (x, y, r))
         self.size, self.into = size, np.array([xy for _, xy in self.rank.values()], np.int64)  # the rules by rank
-        self.slots = self.hashed(np.array([a * size + b for a, b in self.rank], np.int64))
+        self.rules = OpenTable(np.array([a * size + b for a, b in self.rank], np.uint64), np.arange(len(self.rank)))
         self.right, self.right_until = self.edges(parts, 1)
         self.left, self.left_until = self.edges(parts, 0)
         self.own = {b: i for b, i in self.token.items() if self.merged(b) == [i]}  # proposals use these only
         self.longest: dict[bytes, int] = {}  # of the tokens that begin with these two bytes
         for b in self.own:
             self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 0))
+        short = [b for b in self.own if len(b) <= SHORT]
+        self.prints = OpenTable(np.array([self.print_of(b) for b in short], np.uint64), np.array([self.own[b] for b in short]))
         self.lengths = np.array([len(b) for b in self.spelled], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(self.spelled), np.uint8)
 
-    BITS = 18
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def hashed(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An open table from pairs to ranks; the rules are in order of rank, so a rank is a rule's number."""
-        key, rank = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, NEVER, np.int32)
-        at, left = self.slot(keys), np.arange(len(keys))
-        while len(left):
-            turn = left[np.unique(at[left], return_index=True)[1]]
-            turn = turn[key[at[turn]] < 0]
-            key[at[turn]], rank[at[turn]] = keys[turn], turn
-            left = np.setdiff1d(left, turn, assume_unique=True)
-            at[left] = (at[left] + 1) & ((1 << self.BITS) - 1)
-        return key, rank
-
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the rule that merges each a with its b, NEVER if there is none."""
-        key, rank = self.slots
-        wanted = a.astype(np.int64) * self.size + b
-        out, at, open_ = np.full(len(wanted), NEVER, np.int32), self.slot(wanted), np.arange(len(wanted))
-        while len(open_):
-            found = key[at[open_]]
-            same = found == wanted[open_]
-            out[open_[same]] = rank[at[open_[same]]]
-            open_ = open_[~same & (found >= 0)]
-            at[open_] = (at[open_] + 1) & ((1 << self.BITS) - 1)
-        return out
+        return self.rules.get(a.astype(np.uint64) * np.uint64(self.size) + b.astype(np.uint64), NEVER)
 
     def edges(self, parts: dict[int, tuple[int, int, int]], side: int) -> tuple[np.ndarray, np.ndarray]:
         """Each token's pieces on one side of its tree, from the whole token down, and the rank until which each lives."""
@@ -146,6 +156,47 @@ class Vocabulary:
                     break
         return out
 
+    def print_of(self, token: bytes) -> int:
+        h = 0
+        for c in token:
+            h = (h * 0xC2B2AE3D27D4EB4F + c + 1) & (2**64 - 1)
+        return h
+
+    def proposals(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The proposals of short words, one after the other, and how many tokens each has: the longest token at every
+        place by rolling prints of growing length, then a walk along them."""
+        whole = b"".join(words)
+        text = np.frombuffer(whole, np.uint8)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(n)
+        left = np.repeat(ends, n) - np.arange(len(text))
+        token, length = np.array(self.bytes_, np.int32)[text], np.ones(len(text), np.int64)
+        at, h = np.arange(len(text)), text.astype(np.uint64) + np.uint64(1)
+        for k in range(2, SHORT + 1):
+            more = left[at] >= k
+            at, h = at[more], h[more]
+            if not len(at):
+                break
+            h = h * np.uint64(0xC2B2AE3D27D4EB4F) + text[at + k - 1] + np.uint64(1)
+            found = self.prints.get(h, -1)
+            hit = found >= 0
+            token[at[hit]], length[at[hit]] = found[hit], k
+        here, word = (ends - n)[n > 0], np.flatnonzero(n > 0)
+        tokens, owners = [], []
+        while len(here):
+            tokens.append(token[here])
+            owners.append(word)
+            here = here + length[here]
+            on = here < ends[word]
+            here, word = here[on], word[on]
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        flat = np.concatenate(tokens)[order].astype(np.int64) if tokens else np.empty(0, np.int64)
+        if self.decoded(flat) != whole:  # two strings with one print
+            each = [self.proposal(w) for w in words]
+            return np.fromiter(chain.from_iterable(each), np.int64), np.array([len(x) for x in each], np.int64)
+        return flat, np.bincount(owner, minlength=len(words))
+
     def merged(self, word: bytes) -> list[int]:
         """Merging by rank, of equal ranks the leftmost first."""
         ids: list[int] = [self.bytes_[b] for b in word]
@@ -166,13 +217,13 @@ class Vocabulary:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
         return [t for t, g in zip(ids, gone, strict=True) if not g]
 
-    def merged_together(self, words: list[bytes]) -> list[list[int]]:
-        """The same for many short words at once: in each round every word makes its next merge."""
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """The same for many short words at once, as bytes: in each round every word makes its next merge."""
         n = np.array([len(w) for w in words], np.int64)
         ids = np.array(self.bytes_, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
         of = np.repeat(np.arange(len(words)), n)
         rank = np.append(np.where(of[:-1] == of[1:], self.ranks(ids[:-1], ids[1:]), NEVER), NEVER)
-        out: list[list[int]] = [[]] * len(words)
+        out = [b""] * len(words)
         while len(ids):
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             low = np.minimum.reduceat(rank, first)
@@ -181,8 +232,11 @@ class Vocabulary:
             leftmost = np.ones(len(best), bool)
             leftmost[1:] = of[best[1:]] != of[best[:-1]]
             best = best[leftmost]
-            for k in np.flatnonzero(low == NEVER):  # these words are done
-                out[of[first[k]]] = ids[first[k] : first[k] + size[k]].tolist()
+            done = np.flatnonzero(low == NEVER)
+            if len(done):
+                spelled = ids.astype(np.int32).tobytes()
+                for word, i, j in zip(of[first[done]].tolist(), (4 * first[done]).tolist(), (4 * (first[done] + size[done])).tolist(), strict=True):
+                    out[word] = spelled[i:j]
             ids[best] = self.into[rank[best]]
             stays = np.repeat(low < NEVER, size)
             stays[best + 1] = False
@@ -195,24 +249,33 @@ class Vocabulary:
                 rank[-1] = NEVER
         return out
 
-    def encoded(self, words: list[bytes]) -> tuple[list[list[int]], int]:
-        """The ids of each word, and how many words needed exact merging."""
-        out = [self.proposal(w) for w in words]
-        flat = np.fromiter(chain.from_iterable(out), np.int64)
-        ends = np.cumsum([len(x) for x in out])
+    def encoded(self, words: list[bytes]) -> tuple[list[bytes], int]:
+        """The ids of each word as the bytes of 32-bit numbers, and how many words needed exact merging."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]) > SHORT)  # the long ones last
+        n_short = sum(len(w) <= SHORT for w in words)
+        words = [words[k] for k in order]
+        flat, counts = self.proposals(words[:n_short])
+        long = [self.proposal(w) for w in words[n_short:]]
+        flat = np.concatenate([flat, *(np.array(x, np.int64) for x in long)])
+        ends = np.cumsum(np.concatenate([counts, np.array([len(x) for x in long], np.int64)]))
         inner = np.ones(max(0, len(flat) - 1), bool)
-        inner[ends[:-1] - 1] = False  # no pair from one word to the next
+        inner[ends[:-1][ends[:-1] < len(flat)] - 1] = False  # no pair from one word to the next
         at = np.flatnonzero(inner)
         pairs, which = np.unique(flat[at] * self.size + flat[at + 1], return_inverse=True)
         bad = at[~self.compatible(pairs // self.size, pairs % self.size)[which]]
-        failing = np.unique(np.searchsorted(ends, bad, "right"))
-        short = [k for k in failing.tolist() if len(words[k]) <= 48]
-        for k, ids in zip(short, self.merged_together([words[k] for k in short]) if short else [], strict=True):
-            out[k] = ids
-        for k in failing.tolist():
-            if len(words[k]) > 48:
-                out[k] = self.merged(words[k])
-        return out, len(failing)
+        failing = np.unique(np.searchsorted(ends, bad, "right")).tolist()
+        spelled, cuts = flat.astype(np.int32).tobytes(), (4 * ends).tolist()
+        ids = [spelled[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        short = [k for k in failing if k < n_short]
+        for k, x in zip(short, self.merged_together([words[k] for k in short]) if short else [], strict=True):
+            ids[k] = x
+        for k in failing:
+            if k >= n_short:
+                ids[k] = np.array(self.merged(words[k]), np.int32).tobytes()
+        back = [b""] * len(ids)
+        for k, x in zip(order, ids, strict=True):
+            back[k] = x
+        return back, len(failing)
 
     def decoded(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
@@ -226,11 +289,11 @@ def vocabulary_of(path: str) -> Vocabulary:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, remember: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 150_000):
         self.v, self.remember, self.known = vocabulary, remember, {}
         self.words = regex.compile(WORDS)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        self.known_special = {t: [i] for t, i in self.v.special.items()}
+        self.known_special = {t: np.int32(i).tobytes() for t, i in self.v.special.items()}
 
     def pieces(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -249,7 +312,7 @@ class Encoder:
         if plain:
             known.update(zip(plain, self.v.encoded([w.encode() for w in plain])[0], strict=True))
         known.update((w, self.known_special[w]) for w in special)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
 
 def by_size(column: pa.Array, most_bytes: int, most_rows: int = 2000) -> Iterator[tuple[int, int]]:
@@ -265,29 +328,43 @@ def by_size(column: pa.Array, most_bytes: int, most_rows: int = 2000) -> Iterato
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column ids array<int>."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))
-    columns = [c for c in docs.columns if c != ids]
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """One broadcast of a file's tables for all jobs of a session, so that workers hold one copy."""
+    if (spark.sparkContext.applicationId, path) not in SHARED:
+        SHARED[spark.sparkContext.applicationId, path] = spark.sparkContext.broadcast(vocabulary_of(path))
+    return SHARED[spark.sparkContext.applicationId, path]
+
+
+SHARED: dict[tuple[str, str], Broadcast] = {}
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the column ids array<int>. decoded: a further column, the text that the ids spell, in the same pass."""
+    vocabulary = shared_vocabulary(docs.sparkSession, path)
+    columns = [c for c in docs.columns if c not in (ids, decoded)]
     at = columns.index(text)
+    names = [*columns, ids, *([decoded] if decoded else [])]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        v = vocabulary.value
+        encoder = Encoder(v)
         for batch in batches:
             for i, j in by_size(batch.column(at), 4 << 20):
                 part = batch.slice(i, j - i)
                 each = encoder(part.column(at).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*columns, ids])
+                found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))]
+                if decoded:
+                    found.append(pa.array([v.decoded(x).decode("utf-8", "replace") for x in each], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=names)
 
     schema = docs.select(*columns).schema.add(ids, ArrayType(IntegerType()))
-    return docs.select(*columns).mapInArrow(rows, schema)
+    return docs.select(*columns).mapInArrow(rows, schema.add(decoded, StringType()) if decoded else schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The frame with the text that the ids spell; null ids spell an empty one."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(vocabulary_of(path))
+    vocabulary = shared_vocabulary(encoded.sparkSession, path)
     columns = [c for c in encoded.columns if c != text]
     at = columns.index(ids)
 

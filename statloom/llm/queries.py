@@ -71,9 +71,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    text = bpe.decode(coded, path)
+    text = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
