@@ -40,7 +40,7 @@ FAMILY_OF = {code: family for family, codes in FAMILY.items() for code in codes.
 class Settings:
     dims: int = 1 << 13
     longest: int = 4
-    sample: int = 600  # texts of each language that training sees, at most
+    sample: int = 300  # texts of each language that training sees, at most
 
 
 class Features:
