@@ -48,7 +48,8 @@ def tokenizer(name: str) -> str:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    docs, path = read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")
+    return token_counts.token_counts(docs, path, scores=token_counts.fit(docs, path))
 
 
 CONTROL = "\\### Assistant: </turn> ok"

@@ -6,8 +6,10 @@ before and computes only the rest. The terminal count, the number of tokens on t
 pre-token, and a text's count is the sum over its words.
 
 A path's score is the sum of its pieces' scores; of equal scores the path with fewer tokens wins. A character may also be
-spelled by its UTF-8 bytes, one token each, at a score below all pieces. Pieces and scores come from a sentencepiece file
-whose path is a parameter; it is of fixed size (below 1 MB), read on the driver and broadcast.
+spelled by its UTF-8 bytes, one token each, at a score below all pieces. Pieces come from a sentencepiece file whose path
+is a parameter; it is of fixed size (below 1 MB), read on the driver and broadcast. The scores of a BPE file are ranks of
+merges, which do not add up: ``fit`` counts the file's pieces in all pre-tokens of a corpus as the file's own encoder cuts
+them, and gives the logarithms of their shares. Every piece is kept; one never met counts as half an occurrence.
 
 Defined cases: null, empty and blank texts have no tokens; every row is counted, so repeated rows repeat their counts; an
 empty table gives none; further columns are not read.
@@ -15,6 +17,7 @@ empty table gives none; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,13 +30,20 @@ from statloom.llm.common import raw
 START = "▁"
 
 
+def encoder(path: str):
+    """The file's encoder, and the numbers of its pieces that are neither marks nor bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model, [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+
+
 class Unigram:
-    def __init__(self, path: str):
-        import sentencepiece
+    """scores: by piece, from ``fit``; the file's own ones, if it is of a unigram model."""
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in normal}
+    def __init__(self, path: str, scores: dict[str, float] | None = None):
+        model, normal = encoder(path)
+        self.score = {p: model.get_score(i) if scores is None else scores[p] for i in normal for p in [model.id_to_piece(i)]}
         self.longest = max(map(len, self.score))
         self.byte_score = min(self.score.values()) - 10.0
 
@@ -63,9 +73,9 @@ class Unigram:
         return out
 
 
-def token_counts(docs: DataFrame, path: str, batch_words: int = 2_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, batch_words: int = 2_000_000, scores: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens: a row for each document."""
-    model = docs.sparkSession.sparkContext.broadcast(Unigram(path))
+    model = docs.sparkSession.sparkContext.broadcast(Unigram(path, scores))
 
     def counted(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
         words = {w: START + w.decode("utf-8", "replace") for w in {w for t in texts for w in t}}
@@ -98,3 +108,27 @@ def most_common(docs: DataFrame, path: str) -> DataFrame:
             yield pa.record_batch([pa.array([START + w.decode("utf-8", "replace") for w in n], pa.string()), pa.array(n.values(), pa.int64())], names=["pretoken", "n"])
 
     return docs.select("text").mapInArrow(rows, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, path: str) -> dict[str, float]:
+    """Log probabilities of all pieces. Each different pre-token is encoded once, whatever its number of occurrences; the
+    counts are whole numbers, so equal corpora give equal scores. The result is as large as the list of pieces."""
+    model, normal = encoder(path)
+    content = docs.sparkSession.sparkContext.broadcast(model.serialized_model_proto())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        cut, n = sentencepiece.SentencePieceProcessor(model_proto=content.value), Counter()
+        for batch in batches:
+            words = [w[len(START) :] for w in batch.column(0).to_pylist()]
+            for pieces, k in zip(cut.encode(words), batch.column(1).to_pylist(), strict=True):
+                for i in pieces:
+                    n[i] += k
+        yield pa.record_batch([pa.array(n.keys(), pa.int32()), pa.array(n.values(), pa.int64())], names=["piece", "n"])
+
+    met = most_common(docs, path).mapInArrow(rows, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    n = {r.piece: r.n for r in met.collect()}  # at most a row for each piece
+    weight = {i: n.get(i, 0) or 0.5 for i in normal}
+    whole = math.log(sum(weight.values()))
+    return {model.id_to_piece(i): math.log(w) - whole for i, w in weight.items()}

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -35,3 +36,19 @@ def test_rows(spark):
     assert [tuple(r) for r in out] == [(None, 1, brute_force(model, "▁the")), (1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 2, n), (4, 2, n)]
     assert token_counts.token_counts(docs.limit(0), PATH).count() == 0
     assert {r.pretoken: r.n for r in token_counts.most_common(docs, PATH).collect()} == {"▁the": 3, "▁the cat": 2}
+
+
+def test_fitted_scores_count_as_the_encoder(spark):
+    """The file's scores are ranks of merges; summed, they cut this sentence of 12 words into more than 30 pieces."""
+    text = "The quick brown fox jumps over the lazy dog near international organizations"
+    docs = spark.createDataFrame([(1, text), (2, text + "\n" + text), (3, "é☃ T h e"), (4, None)], "doc_id long, text string")
+    scores = token_counts.fit(docs, PATH)
+    assert set(scores) == set(token_counts.Unigram(PATH).score) and max(scores.values()) < 0
+    assert abs(sum(math.exp(s) for s in scores.values()) - 1) < 1e-6
+    encoder, _ = token_counts.encoder(PATH)
+    n = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PATH, scores=scores).collect()}
+    assert n[1] == len(encoder.encode(text)) and n[2] == 2 * n[1]
+    assert {r.n_tokens for r in token_counts.token_counts(docs.where("doc_id = 1"), PATH).collect()} != {n[1]}
+    model = token_counts.Unigram(PATH, scores)
+    words = sorted("▁" + w for w in set(text.split()))
+    assert model.counts(words) == {w: brute_force(model, w) for w in words}
