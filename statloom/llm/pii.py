@@ -8,6 +8,9 @@ stay. So equal values get equal pseudonyms in every document, different ones sta
 of the same form, and whoever holds the key can turn them back (``inverse``). All of it is SQL: no code outside Spark's
 own functions, no shuffle, and each value depends on the key and itself alone.
 
+A date with slashes is read with the day first, and with the month first where it is no date otherwise; such dates are
+permuted among themselves (the permutation is repeated until the day is above 12, so that the way back reads them alike).
+
 Defined cases: a null text stays null with no values; an empty text stays empty; rows are treated one by one, so repeated
 rows give repeated results; an empty table gives none; further columns stay, and columns named as the counts are replaced.
 """
@@ -25,12 +28,14 @@ FORMS = {
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\.\d)",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}",
     "card": r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}",
 }
 KINDS = list(FORMS)
 #: 400 years of days: 1800-01-01 to 2199-12-31 are 189 * 773 days.
 FIRST_DAY, DAYS = "date'1800-01-01'", (189, 773)
+#: How often a date with the month first is permuted at most; 3 of 5 times its day is above 12, so 64 times are enough.
+WALK = 64
 
 
 def quoted(regex: str) -> str:
@@ -70,6 +75,14 @@ def permuted(key: str, kind: str, s: str, radix: int, inverse: bool) -> str:
     return let("p", halves, f"concat({back('p.l', h)}, {back('p.r', f'({n} - {h})')})")
 
 
+def permuted_sign(key: str, kind: str, s: str, inverse: bool) -> str:
+    """SQL for one sign of radix 36: the next one in a keyed cycle of all 36, so that none stays."""
+    turn = lambda x, back: feistel(key, kind, f"{x} DIV 6", f"{x} % 6", "6", "6", back)
+    step = "35" if inverse else "1"
+    place = let("sp", turn(f"CAST(conv({s}, 36, 10) AS BIGINT)", False), f"(sp.l * 6 + sp.r + {step}) % 36")
+    return let("st", place, let("su", turn("st", True), "lower(conv(CAST(su.l * 6 + su.r AS STRING), 10, 36))"))
+
+
 def refill(form: str, signs: str, fill: str) -> str:
     """SQL that puts the signs of fill where form has signs, and keeps what is between them."""
     at = f"transform(sequence(1, length({form})), k -> CASE WHEN substr({form}, k, 1) rlike '{signs}' THEN 1 ELSE 0 END)"
@@ -100,7 +113,7 @@ def iban_rest(x: str) -> str:
 
 
 def day(m: str) -> str:
-    return f"coalesce(try_to_date({m}, 'yyyy-MM-dd'), try_to_date({m}, 'dd.MM.yyyy'), try_to_date({m}, 'dd/MM/yyyy'))"
+    return f"coalesce(try_to_date({m}, 'yyyy-MM-dd'), try_to_date({m}, 'dd.MM.yyyy'), try_to_date({m}, 'dd/MM/yyyy'), try_to_date({m}, 'MM/dd/yyyy'))"
 
 
 def valid(m: str) -> str:
@@ -124,14 +137,16 @@ def pseudonym(m: str, kind: str, key: str, inverse: bool) -> str:
     payload = let("q", f"substr({d}, 1, length({d}) - 1)", permuted(key, "card", "q", 10, inverse))
     check = f"CAST(pmod(10 - {luhn('concat(f, 0)')} % 10, 10) AS STRING)"
     card = refill(m, "[0-9]", let("f", payload, f"concat(f, {check})"))
-    free = f"substr({d}, greatest(length({d}) - 10, 2))"  # the country code stays
+    free = f"substr({d}, CASE WHEN {m} rlike '^[0-9]' THEN 1 ELSE greatest(length({d}) - 10, 2) END)"  # the country code stays
     phone = let("z", free, refill(m, "[0-9]", f"concat(substr({d}, 1, length({d}) - length(z)), {permuted(key, 'phone', 'z', 10, inverse)})"))
     part = lambda k: f"CAST(split({m}, '\\\\.')[{k}] AS BIGINT)"
     octets = feistel(key, "ip", f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", "65536", "65536", inverse)
     ip = let("p", octets, "concat_ws('.', p.l DIV 256, p.l % 256, p.r DIV 256, p.r % 256)")
-    n = f"datediff({day(m)}, {FIRST_DAY})"
-    moved = let("p", feistel(key, "date", f"{n} DIV {DAYS[1]}", f"{n} % {DAYS[1]}", str(DAYS[0]), str(DAYS[1]), inverse), f"date_add({FIRST_DAY}, CAST(p.l * {DAYS[1]} + p.r AS INT))")
+    turned = lambda n: let("p", feistel(key, "date", f"{n} DIV {DAYS[1]}", f"{n} % {DAYS[1]}", str(DAYS[0]), str(DAYS[1]), inverse), f"date_add({FIRST_DAY}, CAST(p.l * {DAYS[1]} + p.r AS INT))")
+    moved = turned(f"datediff({day(m)}, {FIRST_DAY})")
     date = f"date_format({moved}, CASE WHEN {m} LIKE '%-%' THEN 'yyyy-MM-dd' WHEN {m} LIKE '%/%' THEN 'dd/MM/yyyy' ELSE 'dd.MM.yyyy' END)"
+    walk = f"aggregate(sequence(1, {WALK}), {day(m)}, (e, j) -> CASE WHEN j > 1 AND day(e) > 12 THEN e ELSE {turned(f'datediff(e, {FIRST_DAY})')} END)"
+    date = f"CASE WHEN {m} LIKE '%/%' AND try_to_date({m}, 'dd/MM/yyyy') IS NULL THEN date_format({walk}, 'MM/dd/yyyy') ELSE {date} END"
     area = f"CAST(substr({m}, 1, 3) AS INT)"
     l, r = f"(({area} - CASE WHEN {area} > 666 THEN 2 ELSE 1 END) * 99 + CAST(substr({m}, 5, 2) AS INT) - 1)", f"(CAST(substr({m}, 8) AS INT) - 1)"
     new_area = "(p.l DIV 99 + CASE WHEN p.l DIV 99 >= 665 THEN 2 ELSE 1 END)"
@@ -140,7 +155,7 @@ def pseudonym(m: str, kind: str, key: str, inverse: bool) -> str:
     account = let("g", let("z", own, permuted(key, "iban", "z", 10, inverse)), refill(f"substr({m}, 5)", "[0-9]", "g"))
     iban = let("t", account, f"concat(substr({m}, 1, 2), lpad(CAST(98 - {iban_rest(f'concat(substr({m}, 1, 2), 0, 0, t)')} AS STRING), 2, '0'), t)")
     local, signs = f"substring_index({m}, '@', 1)", f"lower(regexp_replace(substring_index({m}, '@', 1), '[^A-Za-z0-9]', ''))"
-    blocks = f"array_join(transform(sequence(0, (length(v) - 1) DIV 24), j -> {let('z', 'substr(v, j * 24 + 1, 24)', 'CASE WHEN length(z) < 2 THEN z ELSE ' + permuted(key, 'email', 'z', 36, inverse) + ' END')}), '')"
+    blocks = f"array_join(transform(sequence(0, (length(v) - 1) DIV 24), j -> {let('z', 'substr(v, j * 24 + 1, 24)', f"CASE WHEN length(z) = 0 THEN z WHEN length(z) = 1 THEN {permuted_sign(key, 'email', 'z', inverse)} ELSE " + permuted(key, 'email', 'z', 36, inverse) + ' END')}), '')"
     email = let("g", let("v", signs, blocks), f"concat({refill(local, '[A-Za-z0-9]', 'g')}, '@', substring_index({m}, '@', -1))")
     by = {"iban": iban, "email": email, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
     return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in by.items()) + f" ELSE {m} END"

@@ -93,3 +93,27 @@ def test_rows(spark):
     by = {r.doc_id: r for r in out}
     assert len(out) == 5 and by[1].text is None and by[1].n_ip == 0 and by[2].text == "" and by[3].n_ip == 1 and by[3].text == by[None].text != "10.0.0.1"
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_months_first_plain_phones_and_lone_signs(spark):
+    signs = "0123456789abcdefghijklmnopqrstuvwxyz"
+    day, days = datetime.date(1980, 1, 13), []
+    while len(days) < 40:
+        if day.day > 12:
+            days.append(day)
+        day += datetime.timedelta(11)
+    texts = [f"born {d:%m/%d/%Y}, gone" for d in days] + [f"{c}@host.com" for c in signs]
+    texts += ["555-123-4567", "call 555.123.4567.", "or 555 123 4567", "1-555-123-4567", "abcdefghijklmnopqrstuvwxy@host.com"]
+    out = run(spark, texts)
+    for r, t in zip(out, texts, strict=True):
+        assert r.text != t and len(r.text) == len(t) and r.n_date + r.n_email + r.n_phone == 1
+    moved = [datetime.datetime.strptime(r.text[5:15], "%m/%d/%Y").day for r in out[: len(days)]]
+    assert min(moved) > 12 and len({r.text for r in out[: len(days)]}) == len(days)
+    assert sorted(r.text[0] for r in out[40:76]) == list(signs)
+    assert [r.text for r in out[76:78]] == [x.format(p[:3], p[3:6], p[6:]) for p in [permuted("phone", "5551234567")] for x in ("{}-{}-{}", "call {}.{}.{}.")]
+    assert [r.text for r in run(spark, [r.text for r in out], True)] == texts
+
+
+@pytest.mark.parametrize("text", ["13/32/1980", "00/13/1980", "02/30/2024", "55-123-4567", "555-123.4567"])
+def test_neither_order_nor_phone(spark, text):
+    assert run(spark, [text])[0].text == text
