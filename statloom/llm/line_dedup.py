@@ -36,6 +36,8 @@ class LineIndex:
     n_shards: int
     min_docs: int
     min_chars: int
+    often: DataFrame  # k1, k2 of the lines at or above min_docs, stored apart: small, so that joins can broadcast it
+    whole: bool = True  # counts has the lines below min_docs too
 
 
 # --- keys -----------------------------------------------------------------------------------------------------------
@@ -201,12 +203,14 @@ def build(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, keys_per_shar
     """keep_rare: keep the counts below min_docs too, which later insertions and deletions need."""
     counts = count_lines(docs, min_chars)
     counts = store(counts if keep_rare else counts.where(F.col("n_docs") >= min_docs), "line-counts")
-    often = counts.where(F.col("n_docs") >= min_docs)
+    often = store(counts.where(F.col("n_docs") >= min_docs).select(*KEY), "line-often")
     n_shards = max(1, -(-often.count() // keys_per_shard))
-    return LineIndex(counts, store(build_filters(often, n_shards), "line-filters"), n_shards, min_docs, min_chars)
+    return LineIndex(counts, store(build_filters(often, n_shards), "line-filters"), n_shards, min_docs, min_chars, often, keep_rare)
 
 
 def change(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
+    if not index.whole:
+        raise ValueError("an index built without its rare lines takes no insertions or deletions")
     delta = count_lines(docs, index.min_chars).select(*KEY, (F.col("n_docs") * sign).alias("delta"))
     both = index.counts.select(*KEY, "n_docs", F.lit(0).cast("long").alias("delta")).unionByName(delta.withColumn("n_docs", F.lit(0).cast("long")))
     both = store(both.groupBy(*KEY).agg(F.sum("n_docs").alias("was"), F.sum("delta").alias("delta")), "line-changes")
@@ -224,7 +228,8 @@ def change(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
 
     filters = index.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(update, FILTER)
     counts = both.select(*KEY, now.alias("n_docs")).where("n_docs > 0")
-    return replace(index, counts=counts, filters=store(filters, "line-filters"))
+    often = store(counts.where(F.col("n_docs") >= index.min_docs).select(*KEY), "line-often")
+    return replace(index, counts=counts, often=often, filters=store(filters, "line-filters"))
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
@@ -242,13 +247,12 @@ def delete(index: LineIndex, docs: DataFrame) -> LineIndex:
 
 def drop_list(docs: DataFrame, index: LineIndex, broadcast_bytes: int) -> DataFrame:
     """doc_id, gone: the keys whose lines the document loses."""
-    often = index.counts.where(F.col("n_docs") >= index.min_docs)
     if (index.filters.agg(F.sum(F.length("slots"))).first()[0] or 0) <= broadcast_bytes:
         shards = {r.shard: (r.n_buckets, bytes(r.slots)) for r in index.filters.collect()}  # bounded by broadcast_bytes
         hits = line_keys(docs, index.min_chars, CuckooProbe(docs.sparkSession.sparkContext.broadcast(shards), index.n_shards))
     else:
         hits = line_keys(docs, index.min_chars)
-    hits = hits.join(often.select(*KEY), KEY)
+    hits = hits.join(index.often, KEY)
     keeper = hits.groupBy(*KEY).agg(F.max("doc_id").alias("keeper"))
     gone = hits.join(keeper, KEY).where("doc_id < keeper")
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone"))

@@ -11,7 +11,7 @@ from statloom.llm.common import read
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    index = line_dedup.build(docs, min_docs=5, min_chars=40, keep_rare=False)
+    index = line_dedup.build(docs, min_docs=5, min_chars=40)
     out = line_dedup.dedup(docs, index)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -100,3 +100,23 @@ def test_query_columns(spark):
 
     r = queries.op1_line_dedup(spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     assert set(r.asDict()) == {"doc_id", "n_lines", "n_dropped", "kept_sha256"} and len(r.kept_sha256) == len(hashlib.sha256().hexdigest())
+
+
+def test_the_query_stores_an_index_that_takes_insertions(spark, monkeypatch):
+    built, build = [], line_dedup.build
+    monkeypatch.setattr(line_dedup, "build", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    from statloom.llm import queries
+
+    queries.op1_line_dedup(spark, "/root/testdata/sf0.001")
+    assert built[0].whole and built[0].counts.where("n_docs < 5").count() > 0
+
+
+def test_a_line_below_the_limit_counts_on_and_a_cut_index_refuses(spark):
+    docs = [(i, "a line of more than forty signs that only four documents have") for i in range(5)]
+    a, b = frame(spark, docs[:4]), frame(spark, docs[4:])
+    assert result(line_dedup.dedup(frame(spark, docs), line_dedup.insert(line_dedup.build(a), b))) == brute_force(docs)
+    cut = line_dedup.build(a, keep_rare=False)
+    assert not cut.whole
+    for change in (line_dedup.insert, line_dedup.delete):
+        with pytest.raises(ValueError):
+            change(cut, b)
