@@ -20,7 +20,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(docs, line_dedup.build(docs, keep_rare=False), keep_columns=True)
+    return line_dedup.dedup(docs, line_dedup.build(docs), keep_columns=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
