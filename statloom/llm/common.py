@@ -16,15 +16,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, from the session; a temporary one only in a local session that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the shared folder."""
+    scratch(df.sparkSession)
+    return df.checkpoint()
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it (Spark compares without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,12 +2,16 @@
 
 A line's key is the line without white space at its ends, A-Z lower-cased. ``counts`` holds each key's exact number of
 documents. ``filters`` holds, by shard of the key's hash, a cuckoo filter of the keys at or above ``min_docs``; it takes
-insertions and deletions, so ``insert`` and ``delete`` of documents leave the index as if built anew from the rest.
-``dedup`` reads the texts once against the filters, confirms the few hits in the exact table and drops the lines.
+insertions and deletions, so ``insert`` and ``delete`` of documents leave the index as if built anew from the rest: a
+shard that outgrows its table is made anew from the exact table, and all are when the number of shards no longer fits.
+``dedup`` sends the keys of all lines to their shard's filter, confirms the few hits in the exact table and drops the
+lines. A shard's keys are dealt to as many places as its lines' occurrences need, each with the filter, and stream past
+it; so no line, however common, makes a task large, and the plan is the same at every size.
 
 Defined cases: a null text is one empty line; rows with the same doc_id are one document; a row with a null doc_id is
-neither counted nor changed; an empty table gives an empty result; columns other than doc_id and text are never read
-unless ``keep_columns`` asks to carry them.
+neither counted nor changed; a very long text or line is read whole, and only hashes of its lines leave its task; an empty
+table gives an empty result; columns other than doc_id and text are never read unless ``keep_columns`` asks to carry them,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,12 +35,12 @@ KEY = ["k1", "k2"]
 @dataclass(frozen=True)
 class LineIndex:
     counts: DataFrame  # k1, k2, n_docs
-    filters: DataFrame  # shard, n_buckets, slots
+    filters: DataFrame  # shard, n_buckets, slots, n_places
     n_shards: int
     min_docs: int
     min_chars: int
-    often: DataFrame  # k1, k2 of the lines at or above min_docs, stored apart: small, so that joins can broadcast it
-    whole: bool = True  # counts has the lines below min_docs too
+    keys_per_shard: int
+    often: DataFrame  # k1, k2, n_docs of the lines at or above min_docs, stored apart
 
 
 # --- keys -----------------------------------------------------------------------------------------------------------
@@ -56,8 +59,9 @@ def keys_of(text: bytes, min_chars: int) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in keys if long_enough(k, min_chars)}
 
 
-def line_keys(docs: DataFrame, min_chars: int, among: CuckooProbe | None = None) -> DataFrame:
-    """A row for each document and different long line: k1, k2, doc_id; only those that the filter may hold, if given."""
+def line_keys(docs: DataFrame, min_chars: int, places: Places | None = None) -> DataFrame:
+    """A row for each document and different long line: k1, k2, doc_id; with places, also the place of its filter, and
+    only those whose shard has one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,12 +72,15 @@ def line_keys(docs: DataFrame, min_chars: int, among: CuckooProbe | None = None)
                     digests.extend(found)
                     owner.extend([doc_id] * len(found))
             k, owner = pair_of_longs(digests), np.array(owner, np.int64)
-            if among is not None:
-                hit = among.may_hold(k)
-                k, owner = k[hit], owner[hit]
-            yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owner)], names=[*KEY, "doc_id"])
+            if places is None:
+                yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owner)], names=[*KEY, "doc_id"])
+                continue
+            at = places.of(k, owner)
+            k, owner, at = k[at >= 0], owner[at >= 0], at[at >= 0]
+            yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owner), pa.array(at)], names=[*KEY, "doc_id", "place"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(rows, "k1 long, k2 long, doc_id long")
+    schema = "k1 long, k2 long, doc_id long" + (", place long" if places else "")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(rows, schema)
 
 
 # --- cuckoo filters -------------------------------------------------------------------------------------------------
@@ -122,13 +129,22 @@ def cuckoo_insert(table: np.ndarray, k: np.ndarray, rounds: int = 400) -> bool:
 
 
 def cuckoo_delete(tables: list[np.ndarray], k: np.ndarray) -> None:
+    """Takes one fingerprint of each key out of the tables, many at a time."""
     n = len(tables[0])
-    for b, f in zip(*prints(k, n), strict=True):
-        two = (b, int(other_bucket(np.array([b]), np.array([f], np.uint16), n)[0]))
-        for table, bucket in ((t, x) for t in tables for x in two):
-            if len(slot := np.flatnonzero(table[bucket] == f)):
-                table[bucket, slot[0]] = 0
-                break
+    at, fp = prints(k, n)
+    left = np.arange(len(at))
+    for table in tables:
+        for bucket in (at, other_bucket(at, fp, n)):
+            tries, gone = left, np.zeros(len(at), bool)
+            while len(tries):
+                _, first = np.unique(bucket[tries], return_index=True)  # one key a bucket in each round
+                turn = tries[first]
+                same = table[bucket[turn]] == fp[turn, None]
+                found = same.any(axis=1)
+                table[bucket[turn[found]], same[found].argmax(axis=1)] = 0
+                gone[turn[found]] = True
+                tries = np.delete(tries, first)
+            left = left[~gone[left]]
 
 
 def cuckoo_grow(tables: list[np.ndarray], k: np.ndarray, n_buckets: int) -> list[np.ndarray]:
@@ -158,24 +174,26 @@ def unpack(slots: bytes, n_buckets: int) -> list[np.ndarray]:
     return list(np.frombuffer(slots, np.uint16).reshape(-1, n_buckets, SLOTS).copy())
 
 
-class CuckooProbe:
-    """Broadcast filters of all shards, probed many keys at a time."""
+def may_hold(k: np.ndarray, n_buckets: int, slots: bytes) -> np.ndarray:
+    hit = np.zeros(len(k), bool)
+    b, f = prints(k, n_buckets)
+    c = other_bucket(b, f, n_buckets)
+    for t in np.frombuffer(slots, np.uint16).reshape(-1, n_buckets, SLOTS):
+        hit |= (t[b] == f[:, None]).any(axis=1) | (t[c] == f[:, None]).any(axis=1)
+    return hit
+
 
-    def __init__(self, broadcast, n_shards: int):
-        self.broadcast, self.n_shards = broadcast, n_shards
+@dataclass(frozen=True)
+class Places:
+    """Where the keys of a shard meet its filter: n places from first on, dealt by document; two numbers for each shard."""
 
-    def may_hold(self, k: np.ndarray) -> np.ndarray:
-        shards = self.broadcast.value
-        hit = np.zeros(len(k), bool)
-        of = (k[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(self.n_shards)
-        for s in np.unique(of):
-            if int(s) in shards:
-                own, (n, slots) = np.flatnonzero(of == s), shards[int(s)]
-                b, f = prints(k[own], n)
-                c = other_bucket(b, f, n)
-                for t in np.frombuffer(slots, np.uint16).reshape(-1, n, SLOTS):
-                    hit[own] |= (t[b] == f[:, None]).any(axis=1) | (t[c] == f[:, None]).any(axis=1)
-        return hit
+    first: np.ndarray
+    n: np.ndarray
+
+    def of(self, k: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        shard = ((k[:, 0].view(np.uint64) >> np.uint64(32)) % np.uint64(len(self.n))).astype(np.int64)
+        deal = ((owner.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        return np.where(self.n[shard] > 0, self.first[shard] + deal % np.maximum(self.n[shard], 1), -1)
 
 
 FILTER = "shard int, n_buckets int, slots binary"
@@ -199,37 +217,58 @@ def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return line_keys(docs, min_chars).groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
-def build(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, keys_per_shard: int = 1 << 18, keep_rare: bool = True) -> LineIndex:
-    """keep_rare: keep the counts below min_docs too, which later insertions and deletions need."""
-    counts = count_lines(docs, min_chars)
-    counts = store(counts if keep_rare else counts.where(F.col("n_docs") >= min_docs), "line-counts")
-    often = store(counts.where(F.col("n_docs") >= min_docs).select(*KEY), "line-often")
-    n_shards = max(1, -(-often.count() // keys_per_shard))
-    return LineIndex(counts, store(build_filters(often, n_shards), "line-filters"), n_shards, min_docs, min_chars, often, keep_rare)
+def with_places(filters: DataFrame, counts: DataFrame, n_shards: int, keys_per_place: int = 1 << 16) -> DataFrame:
+    """filters with n_places: one for so many occurrences of the shard's lines."""
+    n = counts.groupBy(shard_of(n_shards)).agg(F.sum("n_docs").alias("n"))
+    return filters.join(n, "shard", "left").select("shard", "n_buckets", "slots", F.ceil(F.coalesce("n", F.lit(1)) / keys_per_place).cast("int").alias("n_places"))
+
+
+def shards_for(often: DataFrame, keys_per_shard: int) -> int:
+    return max(1, -(-often.count() // keys_per_shard))
+
+
+def build(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, keys_per_shard: int = 1 << 16) -> LineIndex:
+    counts = store(count_lines(docs, min_chars), "line-counts")
+    often = store(counts.where(F.col("n_docs") >= min_docs), "line-often")
+    n_shards = shards_for(often, keys_per_shard)
+    filters = store(with_places(build_filters(often, n_shards), counts, n_shards), "line-filters")
+    return LineIndex(counts, filters, n_shards, min_docs, min_chars, keys_per_shard, often)
 
 
 def change(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
-    if not index.whole:
-        raise ValueError("an index built without its rare lines takes no insertions or deletions")
     delta = count_lines(docs, index.min_chars).select(*KEY, (F.col("n_docs") * sign).alias("delta"))
     both = index.counts.select(*KEY, "n_docs", F.lit(0).cast("long").alias("delta")).unionByName(delta.withColumn("n_docs", F.lit(0).cast("long")))
     both = store(both.groupBy(*KEY).agg(F.sum("n_docs").alias("was"), F.sum("delta").alias("delta")), "line-changes")
     now = F.col("was") + F.col("delta")
-    crossing = both.where((F.col("was") >= index.min_docs) != (now >= index.min_docs))
-    crossing = crossing.select(shard_of(index.n_shards), *KEY, (now >= index.min_docs).alias("up"))
-
-    def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        n = int(old.n_buckets.iloc[0]) if len(old) else buckets_for(len(new))
-        tables = unpack(old.slots.iloc[0], n) if len(old) else []
-        if len(down := new[~new.up]):
-            cuckoo_delete(tables, down[KEY].to_numpy(np.int64))
-        tables = cuckoo_grow(tables, new[new.up][KEY].to_numpy(np.int64), n) if new.up.any() else tables
-        return pd.DataFrame({"shard": [(old if len(old) else new).shard.iloc[0]], "n_buckets": [n], "slots": [pack(tables)]})
-
-    filters = index.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(update, FILTER)
     counts = both.select(*KEY, now.alias("n_docs")).where("n_docs > 0")
-    often = store(counts.where(F.col("n_docs") >= index.min_docs).select(*KEY), "line-often")
-    return replace(index, counts=counts, often=often, filters=store(filters, "line-filters"))
+    often = store(counts.where(F.col("n_docs") >= index.min_docs), "line-often")
+    needed = shards_for(often, index.keys_per_shard)
+    if needed > 2 * index.n_shards:  # split all shards
+        filters, n_shards = build_filters(often, needed), needed
+    else:
+        filters, n_shards = updated(index, both.where((F.col("was") >= index.min_docs) != (now >= index.min_docs)).select(*KEY, (now >= index.min_docs).alias("up")), often), index.n_shards
+    return replace(index, counts=counts, often=often, n_shards=n_shards, filters=store(with_places(filters, counts, n_shards), "line-filters"))
+
+
+def updated(index: LineIndex, crossing: DataFrame, often: DataFrame) -> DataFrame:
+    """The filters after keys have crossed the limit; a shard whose table is too small for its keys is made anew."""
+    shard = shard_of(index.n_shards)
+    filters = index.filters.select("shard", "n_buckets", "slots")
+    size = often.groupBy(shard).agg(F.count("*").alias("n"))
+    anew = size.join(filters.select("shard", "n_buckets"), "shard", "left").where(F.col("n_buckets").isNull() | (F.col("n") > F.col("n_buckets") * (SLOTS * 0.8))).select("shard")
+    anew = store(anew, "line-outgrown")
+
+    def update(old: pa.Table, new: pa.Table) -> pa.Table:
+        if not new.num_rows or not old.num_rows:
+            return old
+        n, tables = old["n_buckets"][0].as_py(), unpack(old["slots"][0].as_py(), old["n_buckets"][0].as_py())
+        k, up = np.column_stack([new["k1"].to_numpy(), new["k2"].to_numpy()]), new["up"].to_numpy()
+        cuckoo_delete(tables, k[~up])
+        tables = cuckoo_grow(tables, k[up], n) if up.any() else tables
+        return pa.table({"shard": old["shard"], "n_buckets": old["n_buckets"], "slots": [pack(tables)]})
+
+    kept = filters.join(anew, "shard", "left_anti").groupBy("shard").cogroup(crossing.select(shard, *KEY, "up").groupBy("shard")).applyInArrow(update, FILTER)
+    return kept.unionByName(build_filters(often.join(anew, shard == anew["shard"], "left_semi"), index.n_shards))
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
@@ -245,26 +284,58 @@ def delete(index: LineIndex, docs: DataFrame) -> LineIndex:
 # --- dropping lines -------------------------------------------------------------------------------------------------
 
 
-def drop_list(docs: DataFrame, index: LineIndex, broadcast_bytes: int) -> DataFrame:
+def hits(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """k1, k2, doc_id of the lines that their shard's filter may hold. At each place the filter comes first, then the keys
+    that are dealt to it."""
+    n = np.zeros(index.n_shards, np.int64)
+    for r in index.filters.select("shard", "n_places").collect():  # a number for each shard
+        n[r.shard] = r.n_places
+    places = Places(np.cumsum(n) - n, n)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, n_buckets, slots in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for place in range(places.first[shard], places.first[shard] + places.n[shard]):
+                    yield pa.record_batch([pa.array([place], pa.int64()), pa.array([n_buckets], pa.int32()), pa.array([slots], pa.binary())], names=["place", "n_buckets", "slots"])
+
+    own = index.filters.select("shard", "n_buckets", "slots").mapInArrow(dealt, "place long, n_buckets int, slots binary")
+    keys = line_keys(docs, index.min_chars, places)
+    met = own.unionByName(keys, allowMissingColumns=True).select("place", *KEY, "doc_id", "n_buckets", "slots")
+    met = met.repartition("place").sortWithinPartitions("place", F.col("slots").isNull())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            k = np.column_stack([batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (1, 2)])
+            filters = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, bool)
+            bounds = np.unique([0, *np.flatnonzero(filters), batch.num_rows])
+            for lo, hi in zip(bounds, bounds[1:]):
+                if filters[lo]:
+                    table = (batch.column(4)[int(lo)].as_py(), batch.column(5)[int(lo)].as_py())
+                    lo += 1
+                if hi > lo:
+                    keep[lo:hi] = may_hold(k[lo:hi], *table)
+            yield batch.select([1, 2, 3]).filter(pa.array(keep))
+
+    return met.mapInArrow(probe, "k1 long, k2 long, doc_id long")
+
+
+def drop_list(docs: DataFrame, index: LineIndex) -> DataFrame:
     """doc_id, gone: the keys whose lines the document loses."""
-    if (index.filters.agg(F.sum(F.length("slots"))).first()[0] or 0) <= broadcast_bytes:
-        shards = {r.shard: (r.n_buckets, bytes(r.slots)) for r in index.filters.collect()}  # bounded by broadcast_bytes
-        hits = line_keys(docs, index.min_chars, CuckooProbe(docs.sparkSession.sparkContext.broadcast(shards), index.n_shards))
-    else:
-        hits = line_keys(docs, index.min_chars)
-    hits = hits.join(index.often, KEY)
-    keeper = hits.groupBy(*KEY).agg(F.max("doc_id").alias("keeper"))
-    gone = hits.join(keeper, KEY).where("doc_id < keeper")
+    found = hits(docs, index).join(index.often.select(*KEY), KEY)
+    keeper = found.groupBy(*KEY).agg(F.max("doc_id").alias("keeper"))
+    gone = found.join(keeper, KEY).where("doc_id < keeper")
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
 
 
-def dedup(docs: DataFrame, index: LineIndex, keep_columns: bool = False, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup(docs: DataFrame, index: LineIndex, keep_columns: bool = False) -> DataFrame:
     """A row for each document. keep_columns: the columns of docs with the new text (and n_chars after it, if there);
     otherwise doc_id, n_lines, n_dropped, kept_text."""
     # The drop list is proportional to the frequent lines only; texts move once, to meet it.
     columns = docs.columns if keep_columns else ["doc_id", "text"]
     lost, lost_id = (max(columns, key=len) + end for end in ("_lost", "_id"))  # names that no column of docs has
-    gone = drop_list(docs, index, broadcast_bytes).select(F.col("doc_id").alias(lost_id), F.col("gone").alias(lost))
+    gone = drop_list(docs, index).select(F.col("doc_id").alias(lost_id), F.col("gone").alias(lost))
     joined = docs.select(*columns).join(gone, F.col("doc_id") == F.col(lost_id), "left").select(*columns, lost)
     min_chars = index.min_chars
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -42,12 +43,30 @@ def result(df):
     return {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in df.collect()}
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 20])
-def test_as_brute_force_with_and_without_a_broadcast(spark, broadcast):
+@pytest.mark.parametrize("keys", [4, 1 << 16])
+def test_as_brute_force(spark, keys):
     docs = corpus(1) + [(100, None), (101, "")]
     df = frame(spark, docs)
-    out = line_dedup.dedup(df, line_dedup.build(df), broadcast_bytes=broadcast)
-    assert result(out) == brute_force(docs)
+    assert result(line_dedup.dedup(df, line_dedup.build(df, keys_per_shard=keys))) == brute_force(docs)
+
+
+def test_places_of_one_shard_split_a_common_line(spark, monkeypatch):
+    """A shard's keys are dealt to many places, and the filter stands at each of them."""
+    docs = corpus(7, 80)
+    df = frame(spark, docs)
+    index = line_dedup.build(df)
+    index = replace(index, filters=line_dedup.with_places(index.filters, index.counts, index.n_shards, keys_per_place=20))
+    assert index.filters.first().n_places > 5 and index.n_shards == 1
+    assert result(line_dedup.dedup(df, index)) == brute_force(docs)
+
+
+def test_hits_are_the_frequent_lines_and_few_others(spark):
+    docs = corpus(5, 80)
+    df = frame(spark, docs)
+    index = line_dedup.build(df)
+    found = {(r.k1, r.k2) for r in line_dedup.hits(df, index).collect()}
+    often = {(r.k1, r.k2) for r in index.often.collect()}
+    assert often <= found and len(found) < index.counts.count() / 2
 
 
 def test_insertions_and_deletions_leave_the_index_as_built_anew(spark):
@@ -71,16 +90,24 @@ def test_cuckoo_tables():
     n = line_dedup.buckets_for(len(k))
     tables = line_dedup.cuckoo_grow([], k, n)
 
-    class Shared:
-        value = {0: (n, line_dedup.pack(tables))}
-
-    probe = line_dedup.CuckooProbe(Shared, 1)
-    assert probe.may_hold(k).all()
+    hold = lambda keys: line_dedup.may_hold(keys, n, line_dedup.pack(tables))
+    assert hold(k).all()
     other = rng.integers(-(2**63), 2**63 - 1, (20_000, 2))
-    assert probe.may_hold(other).mean() < 0.005
+    assert hold(other).mean() < 0.005
     line_dedup.cuckoo_delete(tables, k[:15_000])
-    Shared.value = {0: (n, line_dedup.pack(tables))}
-    assert probe.may_hold(k[15_000:]).all() and probe.may_hold(k[:15_000]).mean() < 0.005
+    assert hold(k[15_000:]).all() and hold(k[:15_000]).mean() < 0.005
+
+
+def test_an_index_grown_from_nothing_is_as_a_fresh_one(spark):
+    docs = [(i, "\n".join(f"a line of more than forty signs with the number {j}" for j in range(3000))) for i in range(5)]
+    df = frame(spark, docs)
+    empty = line_dedup.build(df.limit(0), keys_per_shard=500)
+    index, fresh = line_dedup.insert(empty, df), line_dedup.build(df, keys_per_shard=500)
+    assert index.n_shards == fresh.n_shards == 6
+    sizes = lambda x: sorted((r.shard, r.n_buckets, len(r.slots)) for r in x.filters.collect())
+    assert sizes(index) == sizes(fresh)
+    some = line_dedup.insert(line_dedup.build(frame(spark, [(9, "x")])), df)  # one shard that outgrows its table
+    assert sizes(some) == sizes(line_dedup.build(df))
 
 
 def test_odd_rows_and_columns(spark):
@@ -108,15 +135,16 @@ def test_the_query_stores_an_index_that_takes_insertions(spark, monkeypatch):
     from statloom.llm import queries
 
     queries.op1_line_dedup(spark, "/root/testdata/sf0.001")
-    assert built[0].whole and built[0].counts.where("n_docs < 5").count() > 0
+    assert built[0].counts.where("n_docs < 5").count() > 0
 
 
-def test_a_line_below_the_limit_counts_on_and_a_cut_index_refuses(spark):
+def test_a_line_below_the_limit_counts_on(spark):
     docs = [(i, "a line of more than forty signs that only four documents have") for i in range(5)]
     a, b = frame(spark, docs[:4]), frame(spark, docs[4:])
     assert result(line_dedup.dedup(frame(spark, docs), line_dedup.insert(line_dedup.build(a), b))) == brute_force(docs)
-    cut = line_dedup.build(a, keep_rare=False)
-    assert not cut.whole
-    for change in (line_dedup.insert, line_dedup.delete):
-        with pytest.raises(ValueError):
-            change(cut, b)
+
+
+def test_very_long_texts_and_lines(spark):
+    docs = [(i, "long line " * 300_000 + "\n" + "\n".join(f"{'short line of forty signs and some more'} {j}" for j in range(50_000))) for i in range(5)]
+    got = line_dedup.dedup(frame(spark, docs), line_dedup.build(frame(spark, docs))).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == [(i, 50_001, 50_001 if i < 4 else 0) for i in range(5)]
