@@ -1,8 +1,9 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns; a template makes them text.
 
-A record is JSON. Its fingerprint is a hash of its nested field paths (without types), read off ``schema_of_variant``.
-``MAPPINGS`` says, for each known set of paths, where the turns are; a record whose fingerprint is unknown has none and
-is reported by ``unmapped``. All of it is SQL: no code outside Spark's own functions.
+A record's fingerprint is a hash of its nested field paths, read off ``schema_of_variant`` without types and without the
+fields that no mapping needs (``IGNORED``). ``MAPPINGS`` says, for each known set of paths, where the turns are; a record
+whose fingerprint is unknown has none and is reported by ``unmapped``. Records come as JSON (``canonical``), or as rows of
+one turn each (``from_turn_rows``), whose texts never become JSON. All of it is SQL: no code outside Spark's own functions.
 
 The template writes a turn as ``### role``, a line break, the text and ``</turn>`` with a line break. In roles and texts a
 backslash is doubled, and one is put into every ``</turn>`` and ``##``, so a marker in the output is always the
@@ -10,25 +11,51 @@ template's own and reading back gives the texts as they were. The loss mask name
 characters of assistant texts.
 
 Defined cases: a null text or role is an empty one; rows that repeat a turn are turns of their own, ordered by turn, role
-and text, null turns first; rows with a null conv_id form one conversation; an empty table gives none; further columns
-are not read. A conversation is one value of the result, so one task holds it however long it is.
+and text, null turns first; rows with a null conv_id form one conversation; an empty table gives none; columns of any name
+stay (``canonical``, ``render``, ``read_back``) or are not read (``from_turn_rows``). A conversation is one value of the
+result, so one task holds it however long it is; no text is cut or lost for its length. JSON that can't be parsed (the
+parser takes strings of up to 20,000,000 characters) raises an error unless ``broken_as_null`` asks for null turns.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import fresh
+
 END = "</turn>\n"
+#: Fields that say nothing about where the turns are, at any depth.
+IGNORED = "id uid uuid name source dataset category lang language timestamp created metadata tool_calls tools weight score".split()
+NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
+
+
+def two(user: str, assistant: str, *before: str) -> str:
+    turn = lambda role, text: f"named_struct('role', '{role}', 'text', {text})"
+    return f"array({', '.join([*before, turn('user', user), turn('assistant', assistant)])})"
+
+
+ASKED = r"concat_ws('\n\n', {r}:$.instruction, nullif({r}:$.input, ''))"
+SYSTEM = "named_struct('role', 'system', 'text', {r}:$.system)"
 #: Where the turns of each layout are. paths: the layout's fields as ``schema_of_variant`` nests them, without types.
 MAPPINGS = [
     {"name": "turn row", "paths": "OBJECT<content, role>", "turns": "array(named_struct('role', {r}:$.role, 'text', {r}:$.content))"},
     {"name": "messages", "paths": "OBJECT<messages: ARRAY<OBJECT<content, role>>>", "list": "$.messages", "role": "$.role", "text": "$.content"},
-    {"name": "conversations", "paths": "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "list": "$.conversations", "role": "$.from", "text": "$.value", "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
-    {"name": "prompt", "paths": "OBJECT<completion, prompt>", "turns": "array(named_struct('role', 'user', 'text', {r}:$.prompt), named_struct('role', 'assistant', 'text', {r}:$.completion))"},
-    {"name": "question", "paths": "OBJECT<answer, question>", "turns": "array(named_struct('role', 'user', 'text', {r}:$.question), named_struct('role', 'assistant', 'text', {r}:$.answer))"},
-    {"name": "instruction", "paths": "OBJECT<input, instruction, output>", "turns": "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', {r}:$.instruction, nullif({r}:$.input, ''))), named_struct('role', 'assistant', 'text', {r}:$.output))"},
-    {"name": "system instruction", "paths": "OBJECT<input, instruction, output, system>", "turns": "array(named_struct('role', 'system', 'text', {r}:$.system), named_struct('role', 'user', 'text', concat_ws('\\n\\n', {r}:$.instruction, nullif({r}:$.input, ''))), named_struct('role', 'assistant', 'text', {r}:$.output))"},
+    {"name": "data messages", "paths": "OBJECT<data: OBJECT<messages: ARRAY<OBJECT<content, role>>>>", "list": "$.data.messages", "role": "$.role", "text": "$.content"},
+    {"name": "conversation", "paths": "OBJECT<conversation: ARRAY<OBJECT<content, role>>>", "list": "$.conversation", "role": "$.role", "text": "$.content"},
+    {"name": "conversations", "paths": "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "list": "$.conversations", "role": "$.from", "text": "$.value", "roles": NAMES},
+    {"name": "system conversations", "paths": "OBJECT<conversations: ARRAY<OBJECT<from, value>>, system>", "list": "$.conversations", "role": "$.from", "text": "$.value", "roles": NAMES, "before": SYSTEM},
+    {"name": "preference", "paths": "OBJECT<chosen: ARRAY<OBJECT<content, role>>, rejected: ARRAY<OBJECT<content, role>>>", "list": "$.chosen", "role": "$.role", "text": "$.content"},
+    {"name": "preference pair", "paths": "OBJECT<chosen, prompt, rejected>", "turns": two("{r}:$.prompt", "{r}:$.chosen")},
+    {"name": "prompt", "paths": "OBJECT<completion, prompt>", "turns": two("{r}:$.prompt", "{r}:$.completion")},
+    {"name": "prompt response", "paths": "OBJECT<prompt, response>", "turns": two("{r}:$.prompt", "{r}:$.response")},
+    {"name": "query response", "paths": "OBJECT<query, response>", "turns": two("{r}:$.query", "{r}:$.response")},
+    {"name": "question", "paths": "OBJECT<answer, question>", "turns": two("{r}:$.question", "{r}:$.answer")},
+    {"name": "instruction", "paths": "OBJECT<input, instruction, output>", "turns": two(ASKED, "{r}:$.output")},
+    {"name": "plain instruction", "paths": "OBJECT<instruction, output>", "turns": two("{r}:$.instruction", "{r}:$.output")},
+    {"name": "system instruction", "paths": "OBJECT<input, instruction, output, system>", "turns": two(ASKED, "{r}:$.output", SYSTEM)},
 ]
 
 
@@ -36,40 +63,53 @@ MAPPINGS = [
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a variant: its schema without the types of its leaves."""
+    """The nested field paths of a variant: its schema without the types of its leaves and without ignored fields."""
     leaf = r"(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9,]*\))?"
-    return F.regexp_replace(F.regexp_replace(F.schema_of_variant(record), f": {leaf}", ""), f"ARRAY<{leaf}>", "ARRAY<>")
+    paths = F.regexp_replace(F.regexp_replace(F.schema_of_variant(record), f": {leaf}", ""), f"ARRAY<{leaf}>", "ARRAY<>")
+    inner = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"  # a value of up to three levels
+    field = rf"(?:{'|'.join(IGNORED)})(?:: (?:OBJECT|ARRAY){inner})?(?=[,>])"
+    return F.regexp_replace(F.regexp_replace(paths, rf"(?<=<){field}(?:, {field})*(?:, )?", ""), rf", {field}", "")
 
 
 def fingerprint(record: Column) -> Column:
     return F.xxhash64(field_paths(record))
 
 
-def expression(mapping: dict, record: str) -> str:
-    """SQL for the turns of a record: an array of role and text."""
-    import re
+def filled(sql: str, get) -> str:
+    """A mapping's SQL, with get(path) for each path of the record."""
+    return re.sub(r"\{r\}:(\$[.\w]+)", lambda m: f"coalesce({get(m[1])}, '')", sql)
+
 
-    get = lambda sql: re.sub(r"\{r\}:(\$[.\w]+)", lambda m: f"coalesce(try_variant_get({record}, '{m[1]}', 'string'), '')", sql)
+def expression(mapping: dict, record: str) -> str:
+    """SQL for the turns of a variant: an array of role and text."""
+    get = lambda path: f"try_variant_get({record}, '{path}', 'string')"
     if "turns" in mapping:
-        return get(mapping["turns"])
+        return filled(mapping["turns"], get)
     item = lambda path: f"coalesce(try_variant_get(x, '{path}', 'string'), '')"
     role = item(mapping["role"])
     if "roles" in mapping:
         role = f"CASE {role} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in mapping["roles"].items()) + f" ELSE {role} END"
-    return f"transform(try_variant_get({record}, '{mapping['list']}', 'array<variant>'), x -> named_struct('role', {role}, 'text', {item(mapping['text'])}))"
+    turns = f"transform(try_variant_get({record}, '{mapping['list']}', 'array<variant>'), x -> named_struct('role', {role}, 'text', {item(mapping['text'])}))"
+    return f"concat(array({filled(mapping['before'], get)}), {turns})" if "before" in mapping else turns
+
+
+def of_layout(mark: str, mappings: list[dict], make) -> Column:
+    """make(mapping) for the mapping whose fingerprint the column mark is."""
+    return F.expr("CASE " + " ".join(f"WHEN {mark} = xxhash64('{m['paths']}') THEN {make(m)}" for m in mappings) + " END")
 
 
-def canonical(records: DataFrame, json: str = "record", mappings: list[dict] = MAPPINGS) -> DataFrame:
+def canonical(records: DataFrame, json: str = "record", mappings: list[dict] = MAPPINGS, broken_as_null: bool = False) -> DataFrame:
     """records with the columns layout (null if unknown) and turns array<struct<role, text>>, for the JSON column."""
-    known = records.sparkSession.range(1).select(*[F.xxhash64(F.lit(m["paths"])) for m in mappings]).first()  # the mappings' own fingerprints
-    parsed = records.withColumn("_v", F.try_parse_json(json)).withColumn("_f", fingerprint(F.col("_v")))
-    of = lambda make: F.expr("CASE " + " ".join(f"WHEN _f = {known[i]}L THEN {make(m)}" for i, m in enumerate(mappings)) + " END")
-    return parsed.withColumns({"layout": of(lambda m: f"'{m['name']}'"), "turns": of(lambda m: expression(m, "_v"))}).drop("_v", "_f")
+    v, f = fresh([*records.columns, "layout", "turns"], "variant", "fingerprint")
+    parse = F.try_parse_json if broken_as_null else F.parse_json
+    parsed = records.withColumn(v, parse(json)).withColumn(f, fingerprint(F.col(v)))
+    turns = of_layout(f, mappings, lambda m: expression(m, v))
+    return parsed.withColumns({"layout": of_layout(f, mappings, lambda m: f"'{m['name']}'"), "turns": turns}).drop(v, f)
 
 
 def unmapped(records: DataFrame, json: str = "record") -> DataFrame:
-    """paths, n: the layouts that no mapping knows."""
-    return canonical(records, json).where("layout IS NULL").groupBy(field_paths(F.try_parse_json(json)).alias("paths")).agg(F.count("*").alias("n"))
+    """paths, n: the layouts that no mapping knows; null paths: what is no JSON."""
+    return canonical(records, json, broken_as_null=True).where("layout IS NULL").groupBy(field_paths(F.try_parse_json(json)).alias("paths")).agg(F.count("*").alias("n"))
 
 
 # --- template -------------------------------------------------------------------------------------------------------
@@ -96,17 +136,22 @@ def render(conversations: DataFrame, turns: str = "turns") -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The frame with turns_back (role, text) and loss_texts, from formatted and loss_mask alone."""
+    (own,) = fresh([*formatted.columns, "turns_back", "loss_texts"], "blocks")
     blocks = r"filter(split(formatted, '</turn>\n', -1), b -> b <> '')"
     turn = r"regexp_extract(b, '(?s)^### ((?:[^\n\\\\]|\\\\.)*+)\n(.*)$', {0})"
-    back = f"transform(_blocks, b -> named_struct('role', {unescaped(turn.format(1))}, 'text', {unescaped(turn.format(2))}))"
-    loss = f"transform(loss_mask, m -> {unescaped('substring(_blocks[m.block], m.start, m.length)')})"
-    return formatted.withColumn("_blocks", F.expr(blocks)).withColumns({"turns_back": F.expr(back), "loss_texts": F.expr(loss)}).drop("_blocks")
-
-
-def from_turn_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turns: conversations that come as a row for each turn (conv_id, turn, role, text), through their records."""
-    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))
-    each = canonical(rows.select("conv_id", "turn", record.alias("record")))
-    whole = each.select("conv_id", F.struct("turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text")).alias("t"))
-    turns = F.expr("transform(sort_array(collect_list(t)), t -> named_struct('role', t.role, 'text', t.text))")
-    return whole.groupBy("conv_id").agg(turns.alias("turns"))
+    back = f"transform({own}, b -> named_struct('role', {unescaped(turn.format(1))}, 'text', {unescaped(turn.format(2))}))"
+    loss = f"transform(loss_mask, m -> {unescaped(f'substring({own}[m.block], m.start, m.length)')})"
+    return formatted.withColumn(own, F.expr(blocks)).withColumns({"turns_back": F.expr(back), "loss_texts": F.expr(loss)}).drop(own)
+
+
+def from_turn_rows(rows: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
+    """conv_id, turns: conversations that come as a row for each turn (conv_id, turn, role, text). A row is a record of
+    role and content; its fingerprint is taken from its fields, and its mapping reads them in place, as strings."""
+    paths = F.to_variant_object(F.struct(F.lit("").alias("role"), F.lit("").alias("content")))  # fields do not depend on values
+    rows = rows.select("conv_id", "turn", "role", F.col("text").alias("content"), fingerprint(paths).alias("mark"))
+    rows_of = [m for m in mappings if "turns" in m]
+    turns = of_layout("mark", rows_of, lambda m: filled(m["turns"], lambda p: p[2:] if p[2:] in ("role", "content") else "''"))
+    each = rows.select("conv_id", "turn", F.posexplode(turns).alias("at", "t"))
+    ordered = F.struct("turn", F.col("t.role").alias("role"), F.col("t.text").alias("text"), "at")
+    whole = F.expr("transform(sort_array(collect_list(t)), t -> named_struct('role', t.role, 'text', t.text))")
+    return each.select("conv_id", ordered.alias("t")).groupBy("conv_id").agg(whole.alias("turns"))

@@ -57,7 +57,8 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    said = F.lit(CONTROL)
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     back = chat.read_back(chat.render(chat.from_turn_rows(rows.unionByName(control))))
     turns = F.expr(r"array_join(transform(turns_back, t -> concat(t.role, '\n', t.text, '\n')), '')")
     loss = F.array_join("loss_texts", "")

@@ -1,5 +1,6 @@
 """Chat formatting, quality rules and licence scans: odd rows, other layouts, and plain versions."""
 
+import hashlib
 import json
 import re
 
@@ -41,6 +42,38 @@ def test_no_marker_of_the_template_inside_texts(spark):
     assert r.formatted.count("</turn>") == 1 and len(re.findall("###", r.formatted)) == 1
 
 
+def test_further_fields_and_layouts(spark):
+    said = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    for record, layout in [
+        ({"id": 5, "messages": said, "metadata": {"x": {"y": [1]}}}, "messages"), ({"messages": [{**said[0], "name": "Z", "tool_calls": [{"f": {"g": 1}}]}, said[1]], "source": "web"}, "messages"),
+        ({"data": {"messages": said, "id": "q"}}, "data messages"), ({"chosen": said, "rejected": said[:1], "score": 1.5}, "preference"), ({"prompt": "a", "chosen": "b", "rejected": "c"}, "preference pair"),
+        ({"prompt": "a", "response": "b"}, "prompt response"), ({"instruction": "a", "output": "b"}, "plain instruction"), ({"uuid": 1, "answer": "b", "question": "a"}, "question"),
+    ]:
+        r = back(spark, [record])[0]
+        assert r.layout == layout and [(x.role, x.text) for x in r.turns_back] == [("user", "a"), ("assistant", "b")], record
+    r = back(spark, [{"system": "s", "conversations": [{"from": "human", "value": "a"}]}])[0]
+    assert [(x.role, x.text) for x in r.turns_back] == [("system", "s"), ("user", "a")]
+
+
+def test_very_long_turns_come_back(spark):
+    df = spark.range(2).selectExpr("1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "repeat(if(id = 0, 'ab \\\\', 'c##d'), 6250000) AS text")
+    r = chat.read_back(chat.render(chat.from_turn_rows(df))).selectExpr("size(turns_back) AS n", "char_length(turns_back[0].text) AS a", "char_length(turns_back[1].text) AS b", "sha2(loss_texts[0], 256) AS loss").first()
+    assert (r.n, r.a, r.b) == (2, 25_000_000, 25_000_000) and r.loss == hashlib.sha256(b"c##d" * 6_250_000).hexdigest()
+
+
+def test_broken_json_is_an_error_unless_asked(spark):
+    df = spark.createDataFrame([("no json",)], "record string")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        chat.canonical(df).collect()
+    assert chat.canonical(df, broken_as_null=True).first().turns is None
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([('{"prompt": "a", "response": "b"}', 1, 2, 3, 4)], "record string, variant int, Fingerprint int, blocks int, _v int")
+    r = chat.read_back(chat.render(chat.canonical(df))).first()
+    assert (r["variant"], r["Fingerprint"], r["blocks"], r["_v"]) == (1, 2, 3, 4) and len(r.turns_back) == 2
+
+
 def test_unmapped_layouts_are_counted(spark):
     df = spark.createDataFrame([('{"x": {"y": [1]}}',), ('{"x": {"y": [2]}}',), ("no json",), (None,)], "record string")
     got = {r.paths: r.n for r in chat.unmapped(df).collect()}
