@@ -148,8 +148,9 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i,
 l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
 x AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS key FROM l),
 y AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM x WHERE n > 0 GROUP BY doc_id),
-h AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-a AS (SELECT x.host, key FROM x JOIN h ON h.host IS NOT DISTINCT FROM x.host WHERE x.n > 0 GROUP BY x.host, key, h.n HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.01 * h.n),
+h AS (SELECT host, count(DISTINCT doc_id) AS n FROM d WHERE text IS NOT NULL GROUP BY host),
+a AS (SELECT x.host, key FROM x JOIN h ON h.host IS NOT DISTINCT FROM x.host WHERE x.n > 0 GROUP BY x.host, key, h.n
+      HAVING count(DISTINCT doc_id) > 100 OR (count(DISTINCT doc_id) >= 10 AND count(DISTINCT doc_id) > 0.01 * h.n)),
 z AS (SELECT doc_id, sum(x.n) AS n FROM x JOIN a ON a.host IS NOT DISTINCT FROM x.host AND a.key = x.key GROUP BY doc_id),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS n_removed

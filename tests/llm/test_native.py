@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -97,7 +98,7 @@ def repeat_words(w):
 
 def test_base_figures(spark):
     texts = [None, "", " \n\t", "a b c d e f a b c d e f", "x " * 40, "one\none\n \n one\ntwo #$% <|>", "é b " + "w " * 4, "a b c d", "q w e r t q w e r t q"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", chat.F.lit("x")).drop("n_words")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words_", chat.F.lit("x")).withColumn("_w", chat.F.lit(1))
     for r in quality.base(df).collect():
         t = texts[r.doc_id] or ""
         w = [x.decode() for x in t.encode().split()]
@@ -106,17 +107,57 @@ def test_base_figures(spark):
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeat_words(w))
 
 
-def test_depletion(spark):
-    line = "this line stands in every document of the host and is removed"
-    own = "but these words are of one document only and they are more than the others number {} which stays"
-    rows = [(i, f"{line}\n{own.format(chr(97 + i) * 3)}", "h") for i in range(12)] + [(50 + i, f"{line}  \n{line.upper()} {i}", "h") for i in range(12)]
-    rows += [(100, rows[0][1], "other"), (101, rows[0][1], None), (0, rows[0][1], "h"), (102, None, "h"), (103, "short", "h")]
-    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, host string"))
-    out = {(r.doc_id, r.n_removed): r.kept for r in got.collect()}
-    assert got.count() == len(rows)
-    assert all(out[i, 12] for i in range(12)) and not any(out[50 + i, r] for i in range(12) for r in (12, 24, 25) if (50 + i, r) in out)
-    assert out[100, 0] and out[101, 0] and not out[102, 0] and not out[103, 0]
-    assert quality.judged(spark.createDataFrame([], "doc_id long, text string, host string")).count() == 0
+def normal_line(x):
+    return re.sub("[0-9]+", "0", " ".join(x.lower().encode().split()[i].decode() for i in range(len(x.encode().split()))))
+
+
+def brute_quality(rows, limits):
+    """doc_id, host, text: n_removed, kept and clean text by plain loops."""
+    docs, hosts = {}, {}
+    for d, t, h in rows:
+        if t is not None:
+            hosts.setdefault(h, set()).add(d)
+            for x in t.split("\n"):
+                if x.split():
+                    docs.setdefault((h, normal_line(x)), set()).add(d)
+    above = {k for k, v in docs.items() if len(v) > limits.max_docs or len(v) >= limits.min_docs and len(v) > limits.max_share * len(hosts[k[0]])}
+    out = []
+    for d, t, h in rows:
+        words = (t or "").split()
+        lost = [x for x in (t or "").split("\n") if x.split() and (h, normal_line(x)) in above]
+        gone = sum(len(x.split()) for x in lost)
+        bad = len(words) < limits.min_words or 100 * repeat_words(words) > limits.max_repeat_percent * len(words)
+        clean = None if t is None else "\n".join(x for x in t.split("\n") if not (x.split() and (h, normal_line(x)) in above))
+        out.append((d, gone, not bad and len(words) - gone >= limits.min_left * len(words), clean))
+    return out
+
+
+@pytest.mark.parametrize("limits", [quality.Limits(max_docs=8, min_docs=3, max_share=0.2), quality.Limits(max_docs=20, min_docs=5, max_share=0.5), quality.Limits()])
+def test_line_limits_as_brute_force(spark, limits):
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) + str(rng.randrange(3)) for _ in range(rng.randrange(1, 12))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice([x, x.upper(), "  " + x.replace(" ", "\t ")]) for x in (rng.choice(lines) if rng.random() < 0.7 else f"own {i} words {rng.random()} of it" for _ in range(rng.randrange(0, 9)))), rng.choice(["a", "b", None])) for i in range(150)]
+    rows += [(200 + i, rows[3][1] + "\nsame for all the copies of this page on its host", "c") for i in range(120)] + [(400, None, "a"), (401, "", "a"), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    want = sorted(brute_quality(rows, limits), key=str)
+    assert sorted(((r.doc_id, r.n_removed, r.kept) for r in quality.judged(df, limits).collect()), key=str) == [x[:3] for x in want]
+    own = df.withColumnRenamed("host", "place").withColumn("key", chat.F.lit(1)).withColumn("lost", chat.F.lit("x"))
+    got = quality.clean(own, limits, host="place")
+    assert got.columns == own.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == [(x[0], x[3]) for x in sorted(want, key=lambda x: str((x[0], x[3])))]
+
+
+def test_copies_count_as_documents(spark):
+    text = "this page was copied to very many documents of its host and it has one line only"
+    df = spark.createDataFrame([(i, text, "h") for i in range(150)] + [(1000 + i, f"{text} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{i // 100 * 'u'}x", "h") for i in range(20_000 // 100)], "doc_id long, text string, host string")
+    kept = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert not any(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(200))
+    assert quality.judged(df.limit(0)).count() == 0 and quality.clean(df.limit(0)).count() == 0
+
+
+def test_quality_of_a_very_long_text(spark):
+    df = spark.range(2).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 200000), i -> concat('w', i * (id + 1), ' v', i)), '\n') AS text", "'h' AS host", "1 AS n_words")
+    got = quality.judged(df).collect()
+    assert [(r.n_words, r.n_removed, r.kept) for r in got] == [(400_000, 0, True)] * 2
 
 
 def dice(a, b):
