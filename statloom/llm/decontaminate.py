@@ -1,14 +1,18 @@
 """Benchmark decontamination on a positional inverted index that is distributed by documents.
 
 ``build_index`` cuts the corpus into segments of bounded size and stores, for each, the terms with the positions of all
-their occurrences. ``match`` takes the benchmark in blocks of bounded size; in every segment it looks up a phrase's
-posting lists, shifts each by its term's offset and intersects them from the rarest on, so most phrases end after one
-look-up. What is left when all lists are through is where the whole phrase stands: no further check is needed.
-``slop`` asks for proximity matches too: all different words of a phrase in any order within its length plus slop.
-
-Defined cases: null or word-less documents have no words and no hits; repeated rows are matched one by one; a benchmark
-item without words has no windows; rows of the same item_id are one item; an item whose item_id is null marks words but
-is not listed or counted; an empty benchmark hits nothing; further columns of either table are not read.
+their occurrences. The benchmark's windows are a table of any size: each is keyed by its rarest term in the corpus, and
+meets by a join only the segments that have this term. There a window's posting lists are shifted by their terms' offsets
+and intersected from the rarest on, so most windows end after one look-up. What is left when all lists are through is
+where the whole phrase stands: no further check is needed. Windows stream past their segment; neither they nor the
+benchmark are gathered on the driver or in a task. ``slop`` asks for proximity matches too: all different words of a
+phrase in any order within its length plus slop.
+
+Defined cases: null or word-less documents have no words and no hits; a very long text is read whole (a
+segment ends with a text, so the longest text bounds what a task holds); repeated rows are matched one by one; a
+benchmark item without words has no windows; rows of the same item_id are one item; an item whose item_id is null marks
+words but is not listed or counted; an empty benchmark hits nothing; further columns of either table, whatever their
+names, are not read, and ``decontaminate`` keeps those of the documents.
 """
 
 from __future__ import annotations
@@ -21,13 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import raw, store
+from statloom.llm.common import fresh, raw, store
 
 #: A-Z to a-z; digits, a-z and all bytes of non-ASCII characters stay; other ASCII parts words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT = "segment string, doc_ids array<long>, starts array<long>, n_words array<long>, terms binary, ends array<int>, postings binary"
 MATCH = "segment string, ord int, doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>"
-GAP = 64  # unused positions between documents, so that no phrase spans two
+WINDOWS = "item_id string, phrase string"
+TERMS = "term string, segment string, n int"
+GAP = 64  # unused positions between documents, so that no phrase and no match by proximity spans two
+
+
+NONE = np.empty(0, np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -118,55 +127,112 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 # --- the benchmark --------------------------------------------------------------------------------------------------
 
 
-def windows(items: list[tuple[str | None, bytes | None]], width: int) -> dict:
-    """Different windows of a block of items, as numbers of terms, with the items that have them."""
-    number: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str | None]] = {}
-    for item_id, text in items:
-        codes = [number.setdefault(w, len(number)) for w in words_of(text)]
-        for i in range(max(1, len(codes) - width + 1) if codes else 0):
-            found.setdefault(tuple(codes[i : i + width]), set()).add(item_id)
-    return {"terms": list(number), "windows": [(np.array(w, np.int64), sorted(i for i in ids if i is not None)) for w, ids in found.items()]}
+def windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item_id, phrase (the words, with blanks between): a row for each different window of an item."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                w = words_of(text)
+                found = {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else []
+                yield pa.record_batch([pa.array([item_id] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string())], names=["item_id", "phrase"])
 
-def match_block(index: DataFrame, items: list[tuple[str | None, bytes | None]], width: int, slop: int | None) -> DataFrame:
-    block = index.sparkSession.sparkContext.broadcast(windows(items, width))
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(rows, WINDOWS).distinct()
+
+
+def terms_of(index: DataFrame) -> DataFrame:
+    """term, segment, n: how often a segment has a term."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield matched({name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)})
-
-    def matched(row: dict) -> pa.RecordBatch:
-        index = Postings(row["terms"].as_py(), row["ends"].values.to_numpy(), row["postings"].as_py())
-        starts, n_words = row["starts"].values.to_numpy(), row["n_words"].values.to_numpy()
-        here = np.array([index.number.get(w, -1) for w in block.value["terms"]] or [-1], np.int64)
-        spans: list[tuple[np.ndarray, int]] = []
-        exact: list[set] = [set() for _ in starts]
-        near: list[set] = [set() for _ in starts]
-        for window, ids in block.value["windows"]:
-            terms = here[window]
-            if terms.min() < 0:
-                continue
-            at = index.phrase(terms)
-            if len(at):
-                spans.append((at, len(window)))
-                for k in np.unique(np.searchsorted(starts, at, "right") - 1):
-                    exact[k].update(ids)
-            if slop is not None:
-                for k in np.unique(np.searchsorted(starts, index.near(terms, len(window) + slop), "right") - 1):
-                    near[k].update(ids)
-        merged: list[list] = [[] for _ in starts]
-        for s, e in joined(spans):
-            k = int(np.searchsorted(starts, s, "right") - 1)
-            merged[k].append({"s": int(s - starts[k]), "e": int(e - starts[k])})
-        n = len(starts)
+            for segment, terms, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                names = zstandard.decompress(terms)
+                names = pa.array(names.split(b"\n") if names else [], pa.binary()).cast(pa.string())
+                n = np.diff(ends.values.to_numpy(), prepend=0).astype(np.int32)
+                yield pa.record_batch([names, pa.array([segment] * len(names), pa.string()), pa.array(n)], names=["term", "segment", "n"])
+
+    return index.select("segment", "terms", "ends").mapInArrow(rows, TERMS)
+
+
+def candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """segment, item_id, phrase: the windows all of whose terms the corpus has, with the segments of their rarest term."""
+    each = windows.select("item_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term"))
+    wanted = store(each.select("term").distinct(), "wanted")
+    terms = store(terms_of(index).join(wanted, "term", "left_semi"), "terms")
+    total = terms.groupBy("term").agg(F.sum("n").alias("n"))
+    rarest = each.join(total, "term").groupBy("item_id", "phrase").agg(F.min(F.struct("n", "term")).alias("rare"), F.count("*").alias("met"))
+    rarest = rarest.where(F.col("met") == F.size(F.array_distinct(F.split("phrase", " ")))).select("item_id", "phrase", F.col("rare.term").alias("term"))
+    return rarest.join(terms.select("term", "segment"), "term").select("segment", "item_id", "phrase")
+
+
+class Segment:
+    """A segment while windows pass by."""
+
+    def __init__(self, row: dict, slop: int | None):
+        self.row, self.slop, self.index, self.last = row, slop, None, None
+        self.starts = row["starts"].values.to_numpy()
+        self.spans: list[tuple[np.ndarray, int]] = []
+        self.items: list[set] = [set() for _ in self.starts]
+        self.near: list[set] = [set() for _ in self.starts]
+
+    def documents(self, at: np.ndarray) -> np.ndarray:
+        return np.unique(np.searchsorted(self.starts, at, "right") - 1)
+
+    def look_up(self, phrase: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that have the phrase, and those that have its words together."""
+        if self.index is None:
+            self.index = Postings(self.row["terms"].as_py(), self.row["ends"].values.to_numpy(), self.row["postings"].as_py())
+        terms = np.array([self.index.number.get(w, -1) for w in phrase.split()], np.int64)
+        if terms.min() < 0:
+            return NONE, NONE
+        at = self.index.phrase(terms)
+        if len(at):
+            self.spans.append((at, len(terms)))
+        return self.documents(at), NONE if self.slop is None else self.documents(self.index.near(terms, len(terms) + self.slop))
+
+    def pass_by(self, item_id: str | None, phrase: bytes) -> None:
+        if self.last is None or self.last[0] != phrase:  # the same window of other items comes next to it
+            self.last = (phrase, *self.look_up(phrase))
+        for docs, found in ((self.last[1], self.items), (self.last[2], self.near)):
+            for k in docs if item_id is not None else NONE:
+                found[k].add(item_id)
+
+    def result(self) -> pa.RecordBatch:
+        merged: list[list] = [[] for _ in self.starts]
+        for s, e in joined(self.spans):
+            k = int(np.searchsorted(self.starts, s, "right") - 1)
+            merged[k].append({"s": int(s - self.starts[k]), "e": int(e - self.starts[k])})
+        n = len(self.starts)
         return pa.RecordBatch.from_arrays([
-            pa.array([row["segment"].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), row["doc_ids"].values, pa.array(n_words),
-            pa.array(merged, pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string())),
+            pa.array([self.row["segment"].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), self.row["doc_ids"].values, pa.array(self.row["n_words"].values),
+            pa.array(merged, pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))), pa.array([sorted(x) for x in self.items], pa.list_(pa.string())), pa.array([sorted(x) for x in self.near], pa.list_(pa.string())),
         ], names=["segment", "ord", "doc_id", "n_words", "spans", "items", "near"])
 
-    return index.mapInArrow(rows, MATCH)
+
+def match(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int | None = None) -> DataFrame:
+    """segment, ord, doc_id, n_words, spans of hit words (s to e, without e), items, near: a row for each document."""
+    if width + (slop or 0) > GAP:
+        raise ValueError(f"windows, with their slop, may have {GAP} words at most")
+    met = candidates(index, store(windows(benchmark, width), "windows"))
+    both = index.unionByName(met, allowMissingColumns=True).select(*index.columns, "item_id", "phrase")
+    both = both.repartition("segment").sortWithinPartitions("segment", "phrase", "item_id")  # the segment itself first
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for batch in batches:
+            names = batch.schema.names
+            item_ids, phrases = batch.column(names.index("item_id")).to_pylist(), raw(batch.column(names.index("phrase")))
+            for i, phrase in enumerate(phrases):
+                if phrase is not None:
+                    here.pass_by(item_ids[i], phrase)
+                    continue
+                if here is not None:
+                    yield here.result()
+                here = Segment({name: batch.column(k)[i] for k, name in enumerate(names)}, slop)
+        if here is not None:
+            yield here.result()
+
+    return both.mapInArrow(rows, MATCH)
 
 
 def joined(spans: list[tuple[np.ndarray, int]]) -> list[tuple[int, int]]:
@@ -182,41 +248,15 @@ def joined(spans: list[tuple[np.ndarray, int]]) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), e[last].tolist(), strict=True))
 
 
-def match(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
-    """segment, ord, doc_id, n_words, spans of hit words (s to e, without e), items, near: a row for each document."""
-    if width > GAP:
-        raise ValueError(f"windows may have {GAP} words at most")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    n_blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_bytes
-    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    blocks = []
-    for b in range(n_blocks):
-        block = [(r.item_id, bytes(r.text) if r.text is not None else None) for r in items.where(of == b).collect()]  # about block_bytes
-        blocks.append(match_block(index, block, width, slop))
-    if n_blocks == 1:
-        return blocks[0]
-    union = blocks[0]
-    for x in blocks[1:]:
-        union = union.unionByName(x)
-    both = union.groupBy("segment", "ord").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_words")), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")))
-    return both.withColumns({"items": F.array_sort(F.array_distinct("items")), "near": F.array_sort(F.array_distinct("near"))})
-
-
-def n_covered(spans: str):
-    """The number of words in spans, which may overlap if they come from several blocks."""
-    step = "(a, x) -> named_struct('n', a.n + greatest(0, x.e - greatest(x.s, a.e)), 'e', greatest(a.e, x.e))"
-    return F.expr(f"aggregate(array_sort({spans}), named_struct('n', 0L, 'e', 0L), {step}, a -> a.n)")
-
-
-def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int | None = None, block_bytes: int = 16 << 20, segment_words: int = 1 << 20) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int | None = None, segment_words: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items, near, contaminated: a row for each document."""
-    index = store(build_index(docs, segment_words), "postings")
-    found = match(index, benchmark, width, slop, block_bytes)
-    hit = found.withColumn("n_hit", n_covered("spans"))
+    found = match(store(build_index(docs, segment_words), "postings"), benchmark, width, slop)
+    hit = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.e - x.s)"))
     return hit.select("doc_id", "n_words", "n_hit", "items", "near", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents without a benchmark window; rows with a null doc_id can't be named in the report and stay."""
-    bad = report(docs, benchmark, width).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    (own,) = fresh(docs.columns, "bad_id")
+    bad = report(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias(own))
+    return docs.join(bad, F.col("doc_id") == F.col(own), "left_anti")
