@@ -7,7 +7,8 @@
    paired with the pivot only, which is linear in the bucket's size. Pairs pass a signature test, then the full sets decide.
 4. Connected components by alternating large-star and small-star.
 5. The exact way for what stars can't see: a pivot's members that have not joined the pivot's component are compared with
-   all its other members, in blocks of bounded size. Only links that join two components leave a block.
+   all its other members, in blocks of bounded size: their signatures first, then the texts of those members only whose
+   signatures allow a link. Only links that join two components leave a block.
 6. Components again with these links.
 
 So every two documents that share a bucket are either in one component or were compared on their full sets. At a
@@ -15,7 +16,9 @@ similarity of 0.8, 32 bands of 5 miss a pair with probability 3e-6; at 0.85, 25
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; a text with fewer words than a shingle
 is one shingle; rows with the same doc_id but other texts are linked through their id; a row with a null doc_id links
-with nothing, has a null component and is kept; further columns are not read unless asked to be carried.
+with nothing, has a null component and is kept; a very long text is read whole, and blocks are cut by the size of their
+sets, so that long texts make smaller blocks; further columns, whatever their names, are not read, and ``keep_first``
+keeps them.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import pair_of_longs, raw, store
+from statloom.llm.common import cut, fresh, pair_of_longs, raw, store
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,9 @@ class Settings:
     percent: int = 80  # documents link if 100 * intersection >= percent * union
     bands: int = 32
     rows: int = 5
-    block: int = 512
+    block: int = 512  # members of a block, at most on average
+    block_shingles: int = 1 << 20  # shingles of a block, at most on average
+    salts: int = 256  # places to which the rows of a large class are dealt
     seed: int = 20
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -184,49 +189,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return both.mapInArrow(rows, "a long, b long")
 
 
-def rest(pairs: DataFrame, labels: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def rest(pairs: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Links between members of one pivot that are still in different components."""
     members = pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b")).distinct())
     of = labels.select(F.col("node").alias("b"), "component")
     members = members.join(of, "b", "left").withColumn("component", F.coalesce("component", "b"))
     own = members.where("a = b").select("a", F.col("component").alias("main"))
-    members = store(members.join(own, "a"), "members")  # a, b, component, main
-    open_ = members.where("component <> main").groupBy("a").agg(F.count("*").alias("n_out"))
-    total = members.groupBy("a").agg(F.count("*").alias("n"))
+    members = members.join(own, "a").join(sigs.select(F.col("doc_id").alias("b"), "n_shingles", "minima"), "b")
+    members = store(members, "members")  # a, b, component, main, n_shingles, minima
+    open_ = members.where("component <> main").groupBy("a").agg(F.count("*").alias("n_out"), F.sum("n_shingles").alias("s_out"))
+    total = members.groupBy("a").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     open_ = open_.join(total, "a").where("n > 2")  # with two, the pivot and the other are compared already
-    texts = docs.select(F.col("doc_id").alias("b"), "text")
-    members = members.join(open_, "a").join(texts, "b")
+    members = members.join(open_, "a")
     # Outsiders are cut into blocks by a hash, and all members into other blocks; each pair of blocks is a group.
-    block = lambda n, salt: F.pmod(F.xxhash64("b", F.lit(salt)), F.ceil(F.col(n) / s.block)).cast("int")
-    members = members.withColumns({"n_row": F.ceil(F.col("n_out") / s.block).cast("int"), "n_col": F.ceil(F.col("n") / s.block).cast("int")})
-    as_col = members.select("a", "b", "component", "text", F.explode(F.sequence(F.lit(0), F.col("n_row") - 1)).alias("row"), block("n", 1).alias("col"), F.lit(False).alias("out"))
-    as_row = members.where("component <> main").select("a", "b", "component", "text", block("n_out", 2).alias("row"), F.explode(F.sequence(F.lit(0), F.col("n_col") - 1)).alias("col"), F.lit(True).alias("out"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        sets, hashes, found = Shingler(s.shingle), s.hashes(), []
-        out = table["out"].to_numpy()
-        ids, comps = table["b"].to_numpy(), table["component"].to_numpy()
+    count = lambda n, size: F.ceil(F.greatest(F.col(n) / s.block, F.col(size) / s.block_shingles)).cast("int")
+    members = members.withColumns({"n_row": count("n_out", "s_out"), "n_col": count("n", "s")})
+    block = lambda n, salt: F.pmod(F.xxhash64("b", F.lit(salt)), F.col(n)).cast("int")
+    kept = ["a", "b", "component", "minima"]
+    as_col = members.select(*kept, F.explode(F.sequence(F.lit(0), F.col("n_row") - 1)).alias("row"), block("n_col", 1).alias("col"), F.lit(False).alias("out"))
+    as_row = members.where("component <> main").select(*kept, block("n_row", 2).alias("row"), F.explode(F.sequence(F.lit(0), F.col("n_col") - 1)).alias("col"), F.lit(True).alias("out"))
+
+    def possible(table: pa.Table) -> pa.Table:
+        """The members of a pair of blocks that have a partner of another component whose signature allows a link."""
+        out, comps = table["out"].to_numpy(), table["component"].to_numpy()
+        hit = np.zeros(table.num_rows, bool)
         if len(np.unique(comps)) > 1 and out.any() and not out.all():
-            own = [sets(t) for t in raw(table["text"].combine_chunks())]
-            sig = np.stack([minima(x, hashes) for x in own])
+            sig = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
             cols = np.flatnonzero(~out)
-            parent: dict[int, int] = {}
-
-            def top(c: int) -> int:
-                while (p := parent.get(c, c)) != c:
-                    c = p
-                return c
-
             for i in np.flatnonzero(out):
-                matches = (sig[cols] == sig[i]).sum(axis=1)
-                for j in cols[np.argsort(-matches, kind="stable")[: int((matches >= s.least_matches()).sum())]]:
-                    x, y = top(int(comps[i])), top(int(comps[j]))
-                    if x != y and linked(own[i], own[j], s.percent):
-                        parent[max(x, y)] = min(x, y)
-                        found.append((int(ids[i]), int(ids[j])))
+                near = cols[((sig[cols] == sig[i]).sum(axis=1) >= s.least_matches()) & (comps[cols] != comps[i])]
+                hit[near], hit[i] = True, hit[i] or len(near) > 0
+        return table.select(["a", "row", "col", "b", "component", "minima", "out"]).filter(pa.array(hit))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets, found = Shingler(s.shingle), []
+        out, ids, comps = table["out"].to_numpy(), table["b"].to_numpy(), table["component"].to_numpy()
+        sig = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        own = [sets(t) for t in raw(table["text"].combine_chunks())]
+        cols = np.flatnonzero(~out)
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (p := parent.get(c, c)) != c:
+                c = p
+            return c
+
+        for i in np.flatnonzero(out):
+            matches = (sig[cols] == sig[i]).sum(axis=1)
+            for j in cols[np.argsort(-matches, kind="stable")[: int((matches >= s.least_matches()).sum())]]:
+                x, y = top(int(comps[i])), top(int(comps[j]))
+                if x != y and linked(own[i], own[j], s.percent):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return as_row.unionByName(as_col).groupBy("a", "row", "col").applyInArrow(compare, "a long, b long")
+    group = ["a", "row", "col"]
+    near = as_row.unionByName(as_col).groupBy(*group).applyInArrow(possible, "a long, row int, col int, b long, component long, minima binary, out boolean")
+    near = store(near, "near")
+    return near.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").groupBy(*group).applyInArrow(compare, "a long, b long")
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -234,7 +254,8 @@ def rest(pairs: DataFrame, labels: DataFrame, docs: DataFrame, s: Settings) -> D
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that each node of an edge reaches."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = cut(edges)
     print_ = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = print_(edges)
     for _ in range(most_rounds):
@@ -245,7 +266,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = down.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = cut(down.union(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := print_(edges)) == before:
             leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -257,28 +278,33 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: a row for each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = store(signatures(docs, s), "signatures")
+    # A class's rows are dealt to places by their doc_id; it is known at those places only where it has rows.
+    salt = F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(s.salts)).cast("int"))
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = store(full.withColumn("salt", salt).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.collect_set("salt").alias("at")), "classes")
     # A representative is one row; where a doc_id has several texts, each text has its own row.
     chosen = full.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     reps = chosen.select("doc_id", "n_shingles", "minima")
     pairs = store(pivots(banded(reps, s)), "pairs")
     texts = texts_in(pairs, docs)
-    first = confirmed(likely(pairs, reps, s), texts, s).checkpoint()
+    first = cut(confirmed(likely(pairs, reps, s), texts, s))
     # Rows of one doc_id with several texts tie these texts' classes together.
-    ties = full.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    repeated = full.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
-    first = first.union(ties.join(repeated, "b", "left_semi").select("a", "b"))
+    repeated = full.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
+    ties = full.join(repeated, "doc_id", "left_semi").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"])
+    first = first.union(ties.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     labels = components(first)
-    more = rest(pairs, labels, texts, s).checkpoint()
+    more = cut(rest(pairs, labels, reps, texts, s))
     if not more.isEmpty():
         labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
-    member = sigs.join(classes, ["s1", "s2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), F.explode("at").alias("salt"))
+    member = sigs.select("doc_id", "n_shingles", "s1", "s2", salt.alias("salt")).join(named, ["s1", "s2", "salt"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    out = member.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents, one of each component: that with the smallest doc_id."""
-    return docs.join(near_duplicates(docs, s).where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    (own,) = fresh(docs.columns, "gone_id")
+    gone = near_duplicates(docs, s).where("NOT kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

@@ -86,6 +86,7 @@ def test_odd_rows(spark):
 def test_extra_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, component long, n_shingles string")
     assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()) == [(1, 1), (2, 1)]
+    docs = docs.withColumnRenamed("component", "gone_id").withColumn("Salt", near_dup.F.lit(1))
     assert near_dup.keep_first(docs).columns == docs.columns and near_dup.keep_first(docs).count() == 1
 
 
@@ -100,3 +101,24 @@ def test_components(spark):
     spark.conf.get("spark.checkpoint.dir", None) or near_dup.store(spark.range(1), "x")
     got = {r.node: r.component for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_bucket_of_texts_that_share_half_and_long_ones(spark):
+    """Texts of one form share buckets without being linked; pairs of them that are near are found by blocks."""
+    rng = random.Random(3)
+    form = [f"f{i}" for i in range(90)]
+    docs = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(25)]
+        docs.append((2 * i, " ".join(form + own)))
+        if i % 3 == 0:
+            docs.append((2 * i + 1, " ".join(form + edited(rng, own, 1))))
+    docs += [(1000 + i, " ".join(f"l{j}" for j in range(i, 300_000))) for i in range(3)]
+    s = near_dup.Settings(shingle=3, percent=85, block=8, block_shingles=2000, rows=3, bands=40)
+    assert {r.doc_id: r.component_id for r in run(spark, docs, s)} == brute_force(docs, s)
+
+
+def test_rows_of_a_large_class(spark):
+    docs = [(i, "the same words in every copy of this text") for i in range(400)] + [(1000 + i, f"own words of {i} only {i}") for i in range(50)]
+    got = {r.doc_id: r.component_id for r in run(spark, docs, near_dup.Settings(shingle=3, percent=85, bands=25, salts=8))}
+    assert got == {d: 0 if d < 1000 else d for d, _ in docs}
