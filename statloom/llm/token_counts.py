@@ -1,18 +1,23 @@
 """Token counts of texts under a unigram model, by dynamic programming that shared prefixes share.
 
-A pre-token is a word (between the six ASCII blanks) after the mark for a word's start. The different pre-tokens of a
-batch, in order, are a walk through their trie: a pre-token keeps the forward scores of the prefix it shares with the one
-before and computes only the rest. The terminal count, the number of tokens on the best path, is stored for each
-pre-token, and a text's count is the sum over its words.
+A pre-token is a word (between the six ASCII blanks) after the mark for a word's start. ``vocabulary`` has each different
+pre-token of the corpus once, with its occurrences. ``terminal_counts`` deals them out in ranges, sorted, so that a task
+walks the trie of its range: a pre-token keeps the forward scores of the prefix it shares with the one before and
+computes only the rest. The terminal count, the number of tokens on the best path, is stored for each pre-token, once for
+the whole corpus; a text's count is the sum over its words. Words with more than one in ``shared`` occurrences of the
+corpus, of which there are at most ``shared``, and of ``short`` bytes at most, are looked up in a broadcast table; all
+other words meet their terminal counts by a join.
 
 A path's score is the sum of its pieces' scores; of equal scores the path with fewer tokens wins. A character may also be
 spelled by its UTF-8 bytes, one token each, at a score below all pieces. Pieces come from a sentencepiece file whose path
 is a parameter; it is of fixed size (below 1 MB), read on the driver and broadcast. The scores of a BPE file are ranks of
 merges, which do not add up: ``fit`` counts the file's pieces in all pre-tokens of a corpus as the file's own encoder cuts
-them, and gives the logarithms of their shares. Every piece is kept; one never met counts as half an occurrence.
+them, and gives the logarithms of their shares. Every piece is kept; one never met counts as half an occurrence. Texts are
+not normalised before.
 
-Defined cases: null, empty and blank texts have no tokens; every row is counted, so repeated rows repeat their counts; an
-empty table gives none; further columns are not read.
+Defined cases: null, empty and blank texts have no tokens; a very long text is read whole, and a very long word is a
+pre-token like others; every row is counted, so repeated rows repeat their counts; an empty table gives none; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import raw
+from statloom.llm.common import raw, store
 
 START = "▁"
 
@@ -73,33 +78,7 @@ class Unigram:
         return out
 
 
-def token_counts(docs: DataFrame, path: str, batch_words: int = 2_000_000, scores: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens: a row for each document."""
-    model = docs.sparkSession.sparkContext.broadcast(Unigram(path, scores))
-
-    def counted(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-        words = {w: START + w.decode("utf-8", "replace") for w in {w for t in texts for w in t}}
-        found = model.value.counts(sorted(set(words.values())))
-        n = {w: found[s] for w, s in words.items()}
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([sum(map(n.__getitem__, t)) for t in texts], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                ids.append(doc_id)
-                texts.append(text.split() if text else [])
-                size += len(texts[-1])
-                if size >= batch_words or len(ids) >= 20_000:
-                    yield counted(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield counted(ids, texts)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_pretokens long, n_tokens long")
-
-
-def most_common(docs: DataFrame, path: str) -> DataFrame:
+def vocabulary(docs: DataFrame) -> DataFrame:
     """pretoken, n: the corpus's pre-tokens with their numbers of occurrences, counted before and after one shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,25 +89,70 @@ def most_common(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str) -> dict[str, float]:
-    """Log probabilities of all pieces. Each different pre-token is encoded once, whatever its number of occurrences; the
-    counts are whole numbers, so equal corpora give equal scores. The result is as large as the list of pieces."""
+def fit(words: DataFrame, path: str) -> dict[str, float]:
+    """Log probabilities of all pieces, from a vocabulary. Each different pre-token is encoded once; the counts are whole
+    numbers, so equal corpora give equal scores. The result is as large as the list of pieces."""
     model, normal = encoder(path)
-    content = docs.sparkSession.sparkContext.broadcast(model.serialized_model_proto())
+    content = words.sparkSession.sparkContext.broadcast(model.serialized_model_proto())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         cut, n = sentencepiece.SentencePieceProcessor(model_proto=content.value), Counter()
         for batch in batches:
-            words = [w[len(START) :] for w in batch.column(0).to_pylist()]
-            for pieces, k in zip(cut.encode(words), batch.column(1).to_pylist(), strict=True):
+            own = [w[len(START) :] for w in batch.column(0).to_pylist()]
+            for pieces, k in zip(cut.encode(own), batch.column(1).to_pylist(), strict=True):
                 for i in pieces:
                     n[i] += k
         yield pa.record_batch([pa.array(n.keys(), pa.int32()), pa.array(n.values(), pa.int64())], names=["piece", "n"])
 
-    met = most_common(docs, path).mapInArrow(rows, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    met = words.select("pretoken", "n").mapInArrow(rows, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     n = {r.piece: r.n for r in met.collect()}  # at most a row for each piece
     weight = {i: n.get(i, 0) or 0.5 for i in normal}
     whole = math.log(sum(weight.values()))
     return {model.id_to_piece(i): math.log(w) - whole for i, w in weight.items()}
+
+
+def terminal_counts(words: DataFrame, path: str, scores: dict[str, float] | None = None) -> DataFrame:
+    """pretoken, n, n_tokens: the walk through the trie of all pre-tokens of a vocabulary."""
+    model = words.sparkSession.sparkContext.broadcast(Unigram(path, scores))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # sorted, so that a batch is a stretch of the trie
+            own = batch.column(0).to_pylist()
+            found = model.value.counts(own)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([found[w] for w in own], pa.int64())], names=["pretoken", "n", "n_tokens"])
+
+    return words.select("pretoken", "n").repartitionByRange("pretoken").sortWithinPartitions("pretoken").mapInArrow(rows, "pretoken string, n long, n_tokens long")
+
+
+def token_counts(docs: DataFrame, path: str, fitted: bool = True, shared: int = 1 << 19, short: int = 48) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens: a row for each document. fitted: with log probabilities counted over docs, else with
+    the file's own scores."""
+    words = store(vocabulary(docs), "vocabulary")
+    known = store(terminal_counts(words, path, fit(words, path) if fitted else None), "terminal-counts")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    common = known.where((F.col("n") * shared > total) & (F.octet_length("pretoken") <= short))  # at most `shared` rows
+    table = docs.sparkSession.sparkContext.broadcast({r.pretoken[len(START) :].encode(): r.n_tokens for r in common.select("pretoken", "n_tokens").collect()})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = table.value.get
+        for batch in batches:
+            n_pretokens, n_tokens, others = [], [], []
+            for text in raw(batch.column(2)):
+                w = text.split() if text else []
+                n = list(map(get, w))
+                rare = [x for x, k in zip(w, n) if k is None] if None in n else []
+                n_pretokens.append(len(w))
+                n_tokens.append(sum(filter(None, n)))
+                others.append([START + x.decode("utf-8", "replace") for x in rare])
+            arrays = [batch.column(0), batch.column(1), pa.array(n_pretokens, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(others, pa.list_(pa.string()))]
+            yield pa.record_batch(arrays, names=["row", "doc_id", "n_pretokens", "n_common", "others"])
+
+    schema = "row long, doc_id long, n_pretokens long, n_common long, others array<string>"
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counted = store(numbered.mapInArrow(rows, schema), "counted")  # row is fixed from here on
+    rare = counted.select("row", F.explode("others").alias("pretoken")).join(known.select("pretoken", "n_tokens"), "pretoken")
+    rare = rare.groupBy("row").agg(F.sum("n_tokens").alias("n_rare"))
+    both = counted.drop("others").join(rare, "row", "left")
+    return both.select("doc_id", "n_pretokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_tokens"))
