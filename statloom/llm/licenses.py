@@ -1,13 +1,16 @@
-"""License scans: lines, paragraphs and whole texts against licence templates by the Dice coefficient of word bigrams.
-
-Texts and templates are normalised alike: lower case, all but letters and digits to blanks. A unit of b different bigrams
-can reach a coefficient t with a template of a only if t / (2 - t) <= b / a <= (2 - t) / t. So the templates are
-written out for every number of bigrams they allow, and a unit meets only those templates, by an equality of sizes; that
-table has a fixed size (templates times sizes) and is broadcast. All of it is SQL: no code outside Spark's own functions.
-
-Defined cases: null, empty and word-less texts have no licence; a unit that repeats in a text counts once; of templates
-with equal coefficients the first by name is the best; every row gets a result of its own, so repeated rows repeat it; an
-empty table gives none; further columns are not read.
+"""License scans: windows of normalised text against licence templates by the Dice coefficient of word bigrams.
+
+Texts and templates are normalised alike: lower case, all but letters and digits to blanks. A template of L words is
+compared with windows of L words of the text, at a stride of L div 20 words (1 at least), so a licence is found wherever
+it stands: within a line, over several lines or paragraphs. Sets of b and a bigrams can reach a coefficient t only if
+t / (2 - t) <= b / a <= (2 - t) / t, and then share at least a * t / (2 - t) bigrams; so only those templates are
+candidates of a text that share as many different bigrams with all of it, and their windows alone are made. The bigrams
+of all templates are a table of fixed size, each bigram of a template once. All of it is SQL: no code outside Spark's own
+functions.
+
+Defined cases: null, empty and word-less texts and those of one word have no licence; of templates with equal coefficients
+the first by name is the best; a very long text is read whole, in one row's work; rows with equal doc_id and text get equal
+results, each its own row; an empty table gives none; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The notices by which public licences are applied, and the short licences themselves.
+#: The notices by which public licences are applied, the short licences themselves, and the openings of
+#: long ones. Further templates, such as whole texts of long licences, can be given to ``scan``.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-licensed": "This software is licensed under the MIT License.",
@@ -38,6 +42,19 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "GPL-3.0-opening": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "GPL-2.0-opening": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it.",
+    "LGPL-3.0-opening": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "Apache-2.0-opening": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "MPL-2.0-opening": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "All-rights-reserved-short": "All rights reserved.",
     "All-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission.",
 }
 
@@ -46,41 +63,52 @@ def normal(text: str) -> str:
     return rf"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' '))"
 
 
-def bigrams(text: str) -> str:
-    """SQL for the different bigrams of a text; the array of words is named, so that it is made once."""
-    grams = "CASE WHEN size(w) > 1 THEN array_distinct(transform(sequence(1, size(w) - 1), i -> xxhash64(w[i - 1], w[i]))) END"
-    return f"transform(array(split({normal(text)}, ' ')), w -> {grams})[0]"
+def words(text: str) -> str:
+    return f"split({normal(text)}, ' ')"
+
+
+def grams(w: str) -> str:
+    """SQL for the bigrams of a named array of words, in their order; no repeated ones are left out."""
+    return f"CASE WHEN size({w}) > 1 THEN transform(sequence(1, size({w}) - 1), i -> xxhash64({w}[i - 1], {w}[i])) END"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL that names a value, so that it is made once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def template_table(spark: SparkSession, templates: dict[str, str], t: float) -> DataFrame:
-    """license, grams, n_template, n: a row for each template and number of bigrams it allows."""
-    known = spark.createDataFrame([(k, [v]) for k, v in templates.items()], "license string, notice array<string>")
-    grams = known.select("license", F.explode(F.expr(f"transform(notice, x -> {bigrams('x')})")).alias("t_grams")).withColumn("n_template", F.size("t_grams")).where("n_template > 0")
-    lo, hi = F.greatest(F.lit(1), F.ceil(F.col("n_template") * t / (2 - t) - 1e-9).cast("int")), F.floor(F.col("n_template") * (2 - t) / t + 1e-9).cast("int")
-    return grams.select("license", "t_grams", "n_template", F.explode(F.sequence(lo, hi)).alias("n"))
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """license, n_words, t_grams: a row for each template of two words or more."""
+    known = spark.createDataFrame(list(templates.items()), "license string, notice string")
+    parts = known.select("license", F.expr(words("notice")).alias("w"))
+    return parts.where("size(w) > 1").select("license", F.size("w").alias("n_words"), F.expr(f"array_distinct({grams('w')})").alias("t_grams"))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """row, grams: a row for each different line, paragraph and whole text. The bigrams are made in the generator, as
-    filters on them would else make them again."""
-    parts = r"concat(split(text, '\n'), split(text, '\n[ \t\r]*\n'), array(text))"
-    return docs.select("row", F.explode(F.expr(f"transform(array_distinct({parts}), u -> {bigrams('u')})")).alias("grams"))
+def candidates(docs: DataFrame, table: DataFrame, t: float) -> DataFrame:
+    """h1, h2, license, n_words, t_grams: the templates that share enough different bigrams with a whole text."""
+    inverted = table.select("license", F.size("t_grams").alias("n"), F.explode("t_grams").alias("gram"))
+    each = docs.select("h1", "h2", F.explode(F.expr(let("w", words("text"), grams("w")))).alias("gram"))
+    shared = each.join(inverted, "gram").groupBy("h1", "h2", "license", "n").agg(F.size(F.collect_set("gram")).alias("both"))
+    return shared.where(F.col("both") >= F.col("n") * (t / (2 - t)) - 1e-9).join(table, "license").select("h1", "h2", "license", "n_words", "t_grams")
 
 
 def matches(docs: DataFrame, t: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """row, license, dice: for docs (row, text), each unit's templates at or above t."""
-    table = template_table(docs.sparkSession, templates, t)
-    grams = units(docs).withColumn("n", F.size("grams"))
-    met = grams.join(F.broadcast(table), "n")
-    dice = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("n") + F.col("n_template"))
-    return met.select("row", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= t)
+    """h1, h2, license, dice: for docs (h1, h2, text), each template at or above t in its best window."""
+    met = docs.join(candidates(docs, template_table(docs.sparkSession, templates), t), ["h1", "h2"])
+    stride = "greatest(1, n_words DIV 20)"
+    coefficient = "2 * size(array_intersect(x, t_grams)) / (size(x) + size(t_grams))"
+    window = let("x", "array_distinct(slice(g, at + 1, n_words - 1))", coefficient)
+    best = let("g", let("w", words("text"), grams("w")), f"array_max(transform(sequence(0, size(g) - 1, {stride}), at -> {window}))")
+    found = met.select("h1", "h2", "license", F.expr(best).alias("dice")).where(F.col("dice") >= t - 1e-9)
+    return found.select("h1", "h2", "license", F.round("dice", 6).alias("dice")).distinct()  # rows of equal doc_id and text
 
 
 def scan(docs: DataFrame, t: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, licenses (sorted, null if none), best (license), dice (its coefficient): a row for each document."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = matches(rows, t, templates).groupBy("row").agg(
+    key = [F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("h2")]
+    rows = docs.select("doc_id", *key, "text")
+    found = matches(rows, t, templates).groupBy("h1", "h2").agg(
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("top")
     )
-    found = found.select("row", "licenses", F.col("top.license").alias("best"), (-F.col("top.d")).alias("dice"))
-    return rows.select("doc_id", "row").join(found, "row", "left").drop("row")
+    found = found.select("h1", "h2", "licenses", F.col("top.license").alias("best"), (-F.col("top.d")).alias("dice"))
+    return rows.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left").drop("h1", "h2")
