@@ -11,8 +11,12 @@ own functions, no shuffle, and each value depends on the key and itself alone.
 A date with slashes is read with the day first, and with the month first where it is no date otherwise; such dates are
 permuted among themselves (the permutation is repeated until the day is above 12, so that the way back reads them alike).
 
-Defined cases: a null text stays null with no values; an empty text stays empty; rows are treated one by one, so repeated
-rows give repeated results; an empty table gives none; further columns stay, and columns named as the counts are replaced.
+The name of a mail address is matched from the first sign of its run only, and each form's length is bounded, so finding
+values takes time in proportion to the text.
+
+Defined cases: a null text stays null with no values; an empty text stays empty; a very long text is read whole; rows are
+treated one by one, so repeated rows give repeated results; an empty table gives none; further columns of any name stay,
+and columns named as the counts are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm.common import fresh
+
 ROUNDS = 10
 #: Forms by kind, tried in this order at each place.
 FORMS = {
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,60}[A-Za-z]{2,63}",
     "date": r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\.\d)",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}",
@@ -75,12 +81,26 @@ def permuted(key: str, kind: str, s: str, radix: int, inverse: bool) -> str:
     return let("p", halves, f"concat({back('p.l', h)}, {back('p.r', f'({n} - {h})')})")
 
 
-def permuted_sign(key: str, kind: str, s: str, inverse: bool) -> str:
-    """SQL for one sign of radix 36: the next one in a keyed cycle of all 36, so that none stays."""
-    turn = lambda x, back: feistel(key, kind, f"{x} DIV 6", f"{x} % 6", "6", "6", back)
-    step = "35" if inverse else "1"
-    place = let("sp", turn(f"CAST(conv({s}, 36, 10) AS BIGINT)", False), f"(sp.l * 6 + sp.r + {step}) % 36")
-    return let("st", place, let("su", turn("st", True), "lower(conv(CAST(su.l * 6 + su.r AS STRING), 10, 36))"))
+def permuted_sign(key: str, kind: str, s: str, inverse: bool, radix: int = 36) -> str:
+    """SQL for one sign (of radix 36, or a capital letter for 26): the next one in a keyed cycle of all, so that none stays."""
+    a, b = (6, 6) if radix == 36 else (2, 13)
+    number = f"CAST(conv({s}, 36, 10) AS BIGINT)" if radix == 36 else f"CAST(ascii({s}) - 65 AS BIGINT)"
+    sign = (lambda x: f"lower(conv(CAST({x} AS STRING), 10, 36))") if radix == 36 else (lambda x: f"chr(65 + {x})")
+    turn = lambda x, back: feistel(key, kind, f"{x} DIV {b}", f"{x} % {b}", str(a), str(b), back)
+    step = radix - 1 if inverse else 1
+    place = let("sp", turn(number, False), f"(sp.l * {b} + sp.r + {step}) % {radix}")
+    return let("st", place, let("su", turn("st", True), sign(f"(su.l * {b} + su.r)")))
+
+
+def permuted_letters(key: str, kind: str, s: str, inverse: bool) -> str:
+    """SQL for a string of up to 24 capital letters, permuted among those of its length."""
+    number = lambda x: f"aggregate(split({x}, ''), 0L, (u, c) -> CASE WHEN c = '' THEN u ELSE u * 26 + ascii(c) - 65 END)"
+    power = lambda k: f"CAST(CAST(pow(26, {k}) AS DECIMAL(38,0)) AS BIGINT)"
+    back = lambda x, n: f"array_join(transform(sequence({n} - 1, 0, -1), e -> chr(65 + ({x} DIV {power('e')}) % 26)), '')"
+    h, n = f"(length({s}) DIV 2)", f"length({s})"
+    halves = feistel(key, kind, number(f"substr({s}, 1, {h})"), number(f"substr({s}, {h} + 1)"), power(h), power(f"({n} - {h})"), inverse)
+    many = let("pl", halves, f"concat({back('pl.l', h)}, {back('pl.r', f'({n} - {h})')})")
+    return f"CASE {n} WHEN 0 THEN {s} WHEN 1 THEN {permuted_sign(key, kind, s, inverse, 26)} ELSE {many} END"
 
 
 def refill(form: str, signs: str, fill: str) -> str:
@@ -152,7 +172,9 @@ def pseudonym(m: str, kind: str, key: str, inverse: bool) -> str:
     new_area = "(p.l DIV 99 + CASE WHEN p.l DIV 99 >= 665 THEN 2 ELSE 1 END)"
     ssn = let("p", feistel(key, "ssn", l, r, "88902", "9999", inverse), f"concat_ws('-', lpad(CAST({new_area} AS STRING), 3, '0'), lpad(CAST(p.l % 99 + 1 AS STRING), 2, '0'), lpad(CAST(p.r + 1 AS STRING), 4, '0'))")
     own = digits(f"substr({m}, 5)")
+    bank = f"regexp_replace(substr({m}, 5), '[^A-Z]', '')"  # the letters of the bank code
     account = let("g", let("z", own, permuted(key, "iban", "z", 10, inverse)), refill(f"substr({m}, 5)", "[0-9]", "g"))
+    account = let("t0", account, let("gl", let("zl", bank, permuted_letters(key, "iban letters", "zl", inverse)), refill("t0", "[A-Z]", "gl")))
     iban = let("t", account, f"concat(substr({m}, 1, 2), lpad(CAST(98 - {iban_rest(f'concat(substr({m}, 1, 2), 0, 0, t)')} AS STRING), 2, '0'), t)")
     local, signs = f"substring_index({m}, '@', 1)", f"lower(regexp_replace(substring_index({m}, '@', 1), '[^A-Za-z0-9]', ''))"
     blocks = f"array_join(transform(sequence(0, (length(v) - 1) DIV 24), j -> {let('z', 'substr(v, j * 24 + 1, 24)', f"CASE WHEN length(z) = 0 THEN z WHEN length(z) = 1 THEN {permuted_sign(key, 'email', 'z', inverse)} ELSE " + permuted(key, 'email', 'z', 36, inverse) + ' END')}), '')"
@@ -165,10 +187,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
     """docs with the text's valid values replaced, and n_<kind> for each kind (long)."""
     key = quoted(key)
     form = quoted(whole_form())
-    plan = docs.withColumn("_m", F.expr(f"regexp_extract_all({text}, {form}, 0)"))
-    plan = plan.withColumn("_k", F.expr(f"transform(_m, m -> {valid('m')})"))
-    plan = plan.withColumn("_p", F.expr(f"zip_with(_m, _k, (m, kind) -> {pseudonym('m', 'kind', key, inverse)})"))
-    joined = f"array_join(zip_with(split({text}, {form}, -1), _p, (x, y) -> concat(x, coalesce(y, ''))), '')"
-    counts = {f"n_{k}": F.expr(f"CAST(coalesce(size(filter(_k, k -> k = '{k}')), 0) AS BIGINT)") for k in KINDS}
-    plan = plan.withColumns({text: F.expr(f"CASE WHEN size(_m) > 0 THEN {joined} ELSE {text} END"), **counts})
-    return plan.drop("_m", "_k", "_p")
+    found, kinds, new = fresh([*docs.columns, *(f"n_{k}" for k in KINDS)], "found", "kinds", "new")
+    plan = docs.withColumn(found, F.expr(f"regexp_extract_all({text}, {form}, 0)"))
+    plan = plan.withColumn(kinds, F.expr(f"transform({found}, m -> {valid('m')})"))
+    plan = plan.withColumn(new, F.expr(f"zip_with({found}, {kinds}, (m, kind) -> {pseudonym('m', 'kind', key, inverse)})"))
+    joined = f"array_join(zip_with(split({text}, {form}, -1), {new}, (x, y) -> concat(x, coalesce(y, ''))), '')"
+    counts = {f"n_{k}": F.expr(f"CAST(coalesce(size(filter({kinds}, k -> k = '{k}')), 0) AS BIGINT)") for k in KINDS}
+    plan = plan.withColumns({text: F.expr(f"CASE WHEN size({found}) > 0 THEN {joined} ELSE {text} END"), **counts})
+    return plan.drop(found, kinds, new)

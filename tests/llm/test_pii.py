@@ -117,3 +117,24 @@ def test_months_first_plain_phones_and_lone_signs(spark):
 @pytest.mark.parametrize("text", ["13/32/1980", "00/13/1980", "02/30/2024", "55-123-4567", "555-123.4567"])
 def test_neither_order_nor_phone(spark, text):
     assert run(spark, [text])[0].text == text
+
+
+def test_mail_names_take_time_in_proportion(spark):
+    texts = ["a." * 500_000, "x@" + "a." * 500_000, "-" * 300_000 + "@", "see .ann-lee@mail.org, _z@x.org and b@c.d"]
+    out = run(spark, texts)
+    assert [r.text for r in out[:3]] == texts[:3] and [r.n_email for r in out] == [0, 0, 0, 2]
+    assert [r.text for r in run(spark, [r.text for r in out], True)] == texts
+
+
+def test_letters_of_bank_codes_are_replaced_and_come_back(spark):
+    texts = ["GB29 NWBK 6016 1331 9268 19", "MT84MALT011000012345MTLCAST001S", "FR1420041010050500013M02606"]
+    out = run(spark, texts)
+    assert [r.n_iban for r in out] == [1, 1, 1] == [r.n_iban for r in run(spark, [r.text for r in out])]
+    assert "NWBK" not in out[0].text and "MALT" not in out[1].text and out[2].text[:2] == "FR" and out[2].text[14 + 7] != "M"
+    assert [len(r.text) for r in out] == [len(t) for t in texts] and [r.text for r in run(spark, [r.text for r in out], True)] == texts
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([("mail a@b.org", 1, 2, 3, 4)], "text string, found int, Kinds int, _m int, new int")
+    r = pii.pseudonymise(df, KEY).first()
+    assert (r["found"], r["Kinds"], r["_m"], r["new"]) == (1, 2, 3, 4) and r.n_email == 1
