@@ -7,7 +7,9 @@ bound and the number of bins are the only limits, and every text is read whole,
 
 Defined cases: ``und`` with score 0 for a null text and one without a letter, and for every text if no language could be
 learned; a single learned language is always predicted, with score 1; rows are predicted one by one, so repeated rows get
-equal results; a null doc_id is held in (it has no remainder) and predicted like others; further columns are not read.
+equal results; a null doc_id is held in (it has no remainder) and predicted like others; a very long text is read whole; an empty
+table gives none; further columns, whatever their names, are not read, or stay where ``keep_columns`` asks for them (but for
+columns named as the results, which are replaced).
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from statloom.llm.common import cut
+
 #: Families of ISO 639-1 codes. A language that is not here is a family of its own.
 FAMILY = {
     "romance": "ca es fr gl it la oc pt ro",
@@ -86,8 +90,7 @@ def training_rows(docs: DataFrame, s: Settings) -> DataFrame:
     """lang, text: at most s.sample rows of each language among rows that are not held out."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     n = known.groupBy("lang").agg(F.count("*").alias("n"))
-    some = known.join(F.broadcast(n), "lang") if n.count() <= 10_000 else known.join(n, "lang")
-    some = some.where(F.pmod("h", F.lit(1 << 20)) < F.ceil(F.lit(1 << 20) * (2.0 * s.sample + 50) / F.col("n")))  # before the window, so that it stays small
+    some = known.join(n, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.ceil(F.lit(1 << 20) * (2.0 * s.sample + 50) / F.col("n")))  # before the window, so that it stays small
     return some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= s.sample).select("lang", "text")
 
 
@@ -104,7 +107,8 @@ def train(docs: DataFrame, s: Settings = Settings()) -> dict:
             x = [(lang, v.tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(text)) is not None]
             yield pa.record_batch([pa.array([k for k, _ in x], pa.string()), pa.array([v for _, v in x], pa.binary())], names=["lang", "x"])
 
-    rows = training_rows(docs, s).mapInArrow(vectors, "lang string, x binary").checkpoint()  # bounded by s.sample a language
+    rows = training_rows(docs, s).mapInArrow(vectors, "lang string, x binary")
+    rows = cut(rows)  # bounded by s.sample a language
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     family = {x: FAMILY_OF.get(x, x) for x in langs}
     pairs = [("family", *p) for p in combinations(sorted(set(family.values())), 2)] + [("lang", a, b) for a, b in combinations(langs, 2) if family[a] == family[b]]

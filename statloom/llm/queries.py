@@ -20,12 +20,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-PSEUDONYM_KEY = "corpus key 1"  # in production the job's secret
+PSEUDONYM_KEY = "corpus key 1"  # where the session has no secret of its own in statloom.pseudonym.key
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+    return pii.pseudonymise(docs, spark.conf.get("statloom.pseudonym.key", PSEUDONYM_KEY))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +123,15 @@ c AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
     "op3_license_scan": rf"""
-WITH t AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+WITH t AS (SELECT name, len(w) AS n_words, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
            FROM (SELECT name, string_split({DUCK_NORMAL.format("notice")}, ' ') AS w FROM (VALUES {TEMPLATE_ROWS}) AS v(name, notice))),
-u AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n')), [text])) AS unit FROM documents WHERE text IS NOT NULL),
-g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT doc_id, string_split({DUCK_NORMAL.format("unit")}, ' ') AS w FROM u) WHERE len(w) > 1),
-m AS (SELECT doc_id, name, round(2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)), 6) AS dice FROM g JOIN t ON len(g.g) <= 1.5 * len(t.g) + 1 AND len(t.g) <= 1.5 * len(g.g) + 1
-      WHERE 2 * len(list_intersect(g.g, t.g)) >= 0.8 * (len(g.g) + len(t.g))),
-a AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id),
+d AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT doc_id, string_split({DUCK_NORMAL.format("text")}, ' ') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 1),
+c AS (SELECT doc_id, gram, name FROM (SELECT DISTINCT doc_id, unnest(g) AS gram FROM d) JOIN (SELECT name, unnest(g) AS gram FROM t) USING (gram)),
+k AS (SELECT doc_id, name FROM c JOIN t USING (name) GROUP BY doc_id, name, len(t.g) HAVING 3 * count(*) >= 2 * len(t.g)),
+x AS (SELECT doc_id, name, t.g AS tg, list_distinct(list_slice(d.g, at + 1, at + n_words - 1)) AS x
+      FROM (SELECT doc_id, name, unnest(range(0, len(d.g), greatest(1, n_words // 20))) AS at FROM k JOIN d USING (doc_id) JOIN t USING (name)) JOIN d USING (doc_id) JOIN t USING (name)),
+m AS (SELECT doc_id, name, round(max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))), 6) AS dice FROM x GROUP BY doc_id, name HAVING max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))) >= 0.8),
+a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id),
 b AS (SELECT doc_id, name AS best, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
 SELECT d.doc_id, a.licenses, b.best, b.dice FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""",
     "op7_chat_format": r"""
