@@ -128,8 +128,8 @@ WITH t AS (SELECT name, len(w) AS n_words, list_distinct(list_transform(range(1,
 d AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT doc_id, string_split({DUCK_NORMAL.format("text")}, ' ') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 1),
 c AS (SELECT doc_id, gram, name FROM (SELECT DISTINCT doc_id, unnest(g) AS gram FROM d) JOIN (SELECT name, unnest(g) AS gram FROM t) USING (gram)),
 k AS (SELECT doc_id, name FROM c JOIN t USING (name) GROUP BY doc_id, name, len(t.g) HAVING 3 * count(*) >= 2 * len(t.g)),
-x AS (SELECT doc_id, name, t.g AS tg, list_distinct(list_slice(d.g, at + 1, at + n_words - 1)) AS x
-      FROM (SELECT doc_id, name, unnest(range(0, len(d.g), greatest(1, n_words // 20))) AS at FROM k JOIN d USING (doc_id) JOIN t USING (name)) JOIN d USING (doc_id) JOIN t USING (name)),
+x AS (SELECT doc_id, name, t.g AS tg, list_distinct(list_slice(d.g, p + 1, p + n_words - 1)) AS x
+      FROM (SELECT doc_id, name, unnest(range(0, len(d.g), greatest(1, n_words // 20))) AS p FROM k JOIN d USING (doc_id) JOIN t USING (name)) JOIN d USING (doc_id) JOIN t USING (name)),
 m AS (SELECT doc_id, name, round(max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))), 6) AS dice FROM x GROUP BY doc_id, name HAVING max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))) >= 0.8),
 a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id),
 b AS (SELECT doc_id, name AS best, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
