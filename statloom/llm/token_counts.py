@@ -126,7 +126,7 @@ def terminal_counts(words: DataFrame, path: str, scores: dict[str, float] | None
     return words.select("pretoken", "n").repartitionByRange("pretoken").sortWithinPartitions("pretoken").mapInArrow(rows, "pretoken string, n long, n_tokens long")
 
 
-def token_counts(docs: DataFrame, path: str, fitted: bool = True, shared: int = 1 << 19, short: int = 48) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, fitted: bool = True, shared: int = 1 << 21, short: int = 32) -> DataFrame:
     """doc_id, n_pretokens, n_tokens: a row for each document. fitted: with log probabilities counted over docs, else with
     the file's own scores."""
     words = store(vocabulary(docs), "vocabulary")
