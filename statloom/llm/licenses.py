@@ -5,7 +5,7 @@ compared with windows of L words of the text, at a stride of L div 20 words (1 a
 it stands: within a line, over several lines or paragraphs. Sets of b and a bigrams can reach a coefficient t only if
 t / (2 - t) <= b / a <= (2 - t) / t, and then share at least a * t / (2 - t) bigrams; so only those templates are
 candidates of a text that share as many different bigrams with all of it, and their windows alone are made. The bigrams
-of all templates are a table of fixed size, each bigram of a template once. All of it is SQL: no code outside Spark's own
+of all templates are a table, each bigram of a template once, that is broadcast up to ``BROADCAST_CHARS``. All of it is SQL: no code outside Spark's own
 functions.
 
 Defined cases: null, empty and word-less texts and those of one word have no licence; of templates with equal coefficients
@@ -59,6 +59,10 @@ TEMPLATES = {
 }
 
 
+#: Templates of so many characters in all, which have fewer bigrams, are broadcast; beyond that their bigrams are joined.
+BROADCAST_CHARS = 1 << 22
+
+
 def normal(text: str) -> str:
     return rf"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' '))"
 
@@ -84,9 +88,11 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return parts.where("size(w) > 1").select("license", F.size("w").alias("n_words"), F.expr(f"array_distinct({grams('w')})").alias("t_grams"))
 
 
-def candidates(docs: DataFrame, table: DataFrame, t: float) -> DataFrame:
-    """h1, h2, license, n_words, t_grams: the templates that share enough different bigrams with a whole text."""
+def candidates(docs: DataFrame, table: DataFrame, t: float, small: bool) -> DataFrame:
+    """h1, h2, license, n_words, t_grams: the templates that share enough different bigrams with a whole text. small: the
+    templates may be broadcast."""
     inverted = table.select("license", F.size("t_grams").alias("n"), F.explode("t_grams").alias("gram"))
+    inverted = F.broadcast(inverted) if small else inverted
     each = docs.select("h1", "h2", F.explode(F.expr(let("w", words("text"), grams("w")))).alias("gram"))
     shared = each.join(inverted, "gram").groupBy("h1", "h2", "license", "n").agg(F.size(F.collect_set("gram")).alias("both"))
     return shared.where(F.col("both") >= F.col("n") * (t / (2 - t)) - 1e-9).join(table, "license").select("h1", "h2", "license", "n_words", "t_grams")
@@ -94,7 +100,8 @@ def candidates(docs: DataFrame, table: DataFrame, t: float) -> DataFrame:
 
 def matches(docs: DataFrame, t: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """h1, h2, license, dice: for docs (h1, h2, text), each template at or above t in its best window."""
-    met = docs.join(candidates(docs, template_table(docs.sparkSession, templates), t), ["h1", "h2"])
+    small = sum(map(len, templates.values())) <= BROADCAST_CHARS
+    met = docs.join(candidates(docs, template_table(docs.sparkSession, templates), t, small), ["h1", "h2"])
     stride = "greatest(1, n_words DIV 20)"
     coefficient = "2 * size(array_intersect(x, t_grams)) / (size(x) + size(t_grams))"
     window = let("x", "array_distinct(slice(g, at + 1, n_words - 1))", coefficient)

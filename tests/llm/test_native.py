@@ -185,6 +185,10 @@ def test_licences_as_brute_force(spark, t):
         assert r.dice == (max(want.values()) if want else None)
         assert r.best == (min(n for n, d in want.items() if d == max(want.values())) if want else None)
         assert {9: "MIT", 10: "MIT-notice", 11: "All-rights-reserved-short"}.get(r.doc_id, r.best) == r.best or t < 0.8
+    joined = sorted(map(str, licenses.scan(df, t).collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(licenses, "BROADCAST_CHARS", 0)
+        assert sorted(map(str, licenses.scan(df, t).collect())) == joined
     assert licenses.scan(df, t).count() == len(docs) and licenses.scan(df.limit(0), t).count() == 0
 
 
