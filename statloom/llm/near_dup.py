@@ -195,12 +195,13 @@ def rest(pairs: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame,
     of = labels.select(F.col("node").alias("b"), "component")
     members = members.join(of, "b", "left").withColumn("component", F.coalesce("component", "b"))
     own = members.where("a = b").select("a", F.col("component").alias("main"))
-    members = members.join(own, "a").join(sigs.select(F.col("doc_id").alias("b"), "n_shingles", "minima"), "b")
-    members = store(members, "members")  # a, b, component, main, n_shingles, minima
-    open_ = members.where("component <> main").groupBy("a").agg(F.count("*").alias("n_out"), F.sum("n_shingles").alias("s_out"))
-    total = members.groupBy("a").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    open_ = open_.join(total, "a").where("n > 2")  # with two, the pivot and the other are compared already
-    members = members.join(open_, "a")
+    members = store(members.join(own, "a"), "members")  # a, b, component, main
+    # Only groups with a member outside go on (with two members, the pivot and the other are compared already).
+    out = F.col("component") != F.col("main")
+    groups = members.groupBy("a").agg(F.count_if(out).alias("n_out"), F.count("*").alias("n")).where("n_out > 0 AND n > 2").select("a")
+    members = store(members.join(groups, "a").join(sigs.select(F.col("doc_id").alias("b"), "n_shingles", "minima"), "b"), "open")
+    sizes = members.groupBy("a").agg(F.count_if(out).alias("n_out"), F.sum(F.when(out, F.col("n_shingles"))).alias("s_out"), F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    members = members.join(sizes, "a")
     # Outsiders are cut into blocks by a hash, and all members into other blocks; each pair of blocks is a group.
     count = lambda n, size: F.ceil(F.greatest(F.col(n) / s.block, F.col(size) / s.block_shingles)).cast("int")
     members = members.withColumns({"n_row": count("n_out", "s_out"), "n_col": count("n", "s")})
