@@ -80,7 +80,7 @@ def derived(facts: DataFrame) -> DataFrame:
     gap = F.col("total_assets") - F.col("equity")
     out = facts.withColumn("liabilities", F.coalesce("liabilities", F.when(gap / F.when(F.col("total_assets") != 0, F.col("total_assets")) >= 0.02, gap)))
     short = F.col("liabilities") - F.col("long_term_liabilities")
-    out = out.withColumn("short_term_liabilities", F.when(short >= 0, short))
+    out = out.withColumn("short_term_liabilities", F.coalesce("short_term_liabilities", F.when(short >= 0, short)) if "short_term_liabilities" in facts.columns else F.when(short >= 0, short))
     left = F.col("total_assets") - F.col("equity") - F.col("liabilities")
     parts = F.array_compact(F.array(*[F.col(c) for c in ("inventory", "accounts_receivable", "cash_and_equivalents") if c in facts.columns]))
     total = F.when(F.size(parts) >= 2, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))

@@ -261,14 +261,15 @@ def g2_g3_guardrails(spark, sf):
 # --- model responses ------------------------------------------------------------------------------------------------
 
 RESPONSES = f"""WITH facts AS ({FACTS_DUCK}), r AS (SELECT entity_id, period_label, fy, unnest([1, 2]) AS chunk_no, liabilities, current_assets FROM facts),
-i AS (SELECT entity_id, period_label, chunk_no, 'liabilities' AS metric_key, CAST(floor(liabilities) AS DOUBLE) AS value, CAST(0.6 + (entity_id + chunk_no) % 3 * 0.1 AS DOUBLE) AS confidence FROM r
- UNION ALL SELECT entity_id, period_label, chunk_no, 'current_assets', CAST(floor(current_assets) AS DOUBLE), 0.5 FROM r WHERE (entity_id + fy) % 4 <> 0)"""
+written AS (SELECT entity_id, period_label, chunk_no, 'liabilities' AS metric_key, CAST(floor(liabilities) AS DOUBLE) AS value, CAST(0.6 + (entity_id + chunk_no) % 3 * 0.1 AS DOUBLE) AS confidence FROM r
+ UNION ALL SELECT entity_id, period_label, chunk_no, 'current_assets', CAST(floor(current_assets) AS DOUBLE), 0.5 FROM r WHERE (entity_id + fy) % 4 <> 0),
+i AS (SELECT * FROM written WHERE value IS NOT NULL)"""
 
 
 def responses(spark, sf):
     """Responses of a model: JSON, every fifth in a fence, every fourth cut off inside its last item."""
     facts = statement_facts(spark, sf).withColumn("chunk_no", F.explode(F.array(F.lit(1), F.lit(2))))
-    item = lambda k, c: F.concat(F.lit('{"metric": "%s", "value": ' % k), F.floor(k).cast("string"), F.lit(', "confidence_score": '), c, F.lit("}"))
+    item = lambda k, c: F.concat(F.lit('{"metric": "%s", "value": ' % k), F.coalesce(F.floor(k).cast("string"), F.lit("null")), F.lit(', "confidence_score": '), c, F.lit("}"))
     first = item("liabilities", F.element_at(F.array(F.lit("0.6"), F.lit("0.7"), F.lit("0.8")), ((F.col("entity_id") + F.col("chunk_no")) % 3 + 1).cast("int")))
     second = item("current_assets", F.lit("0.5"))
     cut = (F.col("entity_id") + F.col("fy")) % 4 == 0

@@ -275,7 +275,7 @@ def k11_capped_scores(spark, sf):
     return out.select(*KEYS, F.col("capped_score").alias("score"), F.col("capped_risk").alias("risk_level"), F.array_join("guardrails", ",").alias("guardrails"))
 
 
-@query(f"{SCORED}, f AS (" + " UNION ALL ".join(f"SELECT entity_id, period_label, '{n}' AS ratio, {HALF_EVEN.format(x='s_' + n, m=10000)} AS normalised FROM sc" for n, _, _ in score_sql()) + ") SELECT *, CASE WHEN normalised >= 0.65 THEN 'positive' WHEN normalised >= 0.35 THEN 'neutral' ELSE 'negative' END AS impact FROM f WHERE normalised IS NOT NULL")
+@query(f"{SCORED}, f AS (" + " UNION ALL ".join(f"SELECT entity_id, period_label, '{n}' AS ratio, {HALF_EVEN.replace('DECIMAL(30,12)', 'DECIMAL(22,18)').format(x='s_' + n, m=10000)} AS normalised FROM sc" for n, _, _ in score_sql()) + ") SELECT *, CASE WHEN normalised >= 0.65 THEN 'positive' WHEN normalised >= 0.35 THEN 'neutral' ELSE 'negative' END AS impact FROM f WHERE normalised IS NOT NULL")
 def k1_k12_factors(spark, sf):
     return scoring.factors(ratios.wide(all_ratios(spark, sf, True), KEYS), KEYS)
 
