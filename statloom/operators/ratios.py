@@ -18,7 +18,7 @@ def input_reasons(key: Column, value: Column, unit: Column) -> Column:
     """Why an input is not usable: its unit, then not finite, then negative where that can't be."""
     infinite = F.isnan(value) | (F.abs(value) == float("inf"))
     reason = (
-        F.when(F.coalesce(~unit.isin(dims.UNITS), F.lit(True)), "MATH_INPUT_UNEXPECTED_UNIT")
+        F.when(~unit.isin(dims.UNITS), "MATH_INPUT_UNEXPECTED_UNIT")  # no unit is none to object to
         .when(infinite, "MATH_INPUT_NON_FINITE")
         .when((value < 0) & key.isin(dims.NON_NEGATIVE), "MATH_INPUT_UNEXPECTED_NEGATIVE")
     )
