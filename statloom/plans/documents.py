@@ -103,14 +103,14 @@ def t11_t13_line_scores(spark, sf):
 
 COMPACT = rf"""{LINES}, fit AS (SELECT * FROM lines WHERE length(line) >= 5 AND NOT {NOISE} AND ({any_of('lower(line)', words.FINANCIAL)} OR regexp_matches(line, '[0-9]{{3}}'))),
 one AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY doc, {KEY} ORDER BY line_no) = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {SCORE} DESC, line_no) AS r FROM one) WHERE r <= 8),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {SCORE} DESC, line_no) AS r FROM one) WHERE r <= 120),
 cum AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY line_no) AS c, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k FROM best),
-kept AS (SELECT * FROM (SELECT *, max(CASE WHEN c > 200 AND k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS over FROM cum) WHERE over = 0)"""
+kept AS (SELECT * FROM (SELECT *, max(CASE WHEN c > 4000 AND k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS over FROM cum) WHERE over = 0)"""
 
 
 @query(f"{COMPACT} SELECT doc, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS compact FROM kept GROUP BY doc")
 def t12_compacted(spark, sf):
-    return text.compacted(texts(spark, sf), 200, 8)
+    return text.compacted(texts(spark, sf), 4000, 120)
 
 
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(text, '[0-9]', '', 'g'))) AS BIGINT) AS n_other FROM documents GROUP BY source, lang")
