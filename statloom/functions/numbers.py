@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often it stands in the result: lambdas share no parts of expressions."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def canonical(x: Column | str, digits: int = 4) -> Column:
     """Half-even rounding of the shortest decimal form; NaN and infinities become null, -0 becomes 0."""
     x = col(x)
@@ -40,13 +47,23 @@ def parse_amount(raw: Column | str) -> Column:
     raw = col(raw)
     trimmed = F.regexp_replace(raw, r"^\s+|\s+$", "")
     negative = (raw.contains("(") & raw.contains(")")) | trimmed.rlike("^[−-]") | trimmed.rlike("−$")
-    s = F.regexp_replace(F.translate(raw, "  \t", ""), "−", "-")
-    s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.translate(raw, "  \t", ""), "−", "-"), r"^\s+|\s+$", "")
+    value = let(bare, lambda s: let(F.regexp_replace(ungrouped(s), r"[^0-9.\-]", ""), plain_amount))
+    return F.when(negative, -F.abs(value)).otherwise(value)
+
+
+def plain_amount(clean: Column) -> Column:
+    digits = F.length(F.regexp_replace(clean, "[^0-9]", ""))
+    return F.when((digits <= 16) & (digits > 0) & clean.rlike(r"^-?[0-9]*\.?[0-9]*$"), clean.try_cast("double"))
+
+
+def ungrouped(s: Column) -> Column:
+    """A printed number without separators of thousands, its decimal sign a dot."""
     commas, dots = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))), F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     no_comma, no_dot = F.replace(s, F.lit(","), F.lit("")), F.replace(s, F.lit("."), F.lit(""))
     last = lambda sep: F.length(s) - F.length(F.substring_index(s, sep, -1))
     right = lambda sep: F.regexp_replace(F.substring_index(s, sep, -1), r"\)+$", "")
-    joined = (
+    return (
         F.when((commas > 0) & (dots > 0), F.when(last(".") > last(","), no_comma).otherwise(F.replace(no_dot, F.lit(","), F.lit("."))))
         .when(commas > 1, no_comma)
         .when(dots > 1, no_dot)
@@ -54,10 +71,40 @@ def parse_amount(raw: Column | str) -> Column:
         .when((dots == 1) & grouped_digits(right("."), F.substring_index(s, ".", 1)), F.concat(F.substring_index(s, ".", 1), right(".")))
         .otherwise(s)
     )
-    clean = F.regexp_replace(joined, r"[^0-9.\-]", "")
-    digits = F.length(F.regexp_replace(clean, "[^0-9]", ""))
-    value = F.when((digits <= 16) & (digits > 0) & clean.rlike(r"^-?[0-9]*\.?[0-9]*$"), clean.try_cast("double"))
-    return F.when(negative, -F.abs(value)).otherwise(value)
+
+
+#: A number within a text, grouped by comma, blank or dot, or plain.
+NUMBER = r"[-(]?\$?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\)?|[-(]?\$?[0-9]{1,3}(?:[ \t\xa0][0-9]{3})+(?:[.,][0-9]+)?\)?|[-(]?\$?[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?\)?|[-(]?\$?[0-9]+(?:[.,][0-9]+)?\)?"
+
+
+def numbers_in(text: Column | str) -> Column:
+    """The numbers of a text as printed, in their order."""
+    return F.regexp_extract_all(col(text), F.lit(NUMBER), F.lit(0))
+
+
+def last_amount(text: Column | str) -> Column:
+    return parse_amount(F.try_element_at(numbers_in(text), F.lit(-1)))
+
+
+def first_period(raw: Column) -> Column:
+    """Of a run of four groups of digits that prints two periods' amounts, the first amount."""
+    groups = F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0))
+    two = raw.rlike(r"^\D*([0-9]{3}(\D+[0-9]{3}){3}|[0-9]{1,2}\D+[0-9]{3}\D+[0-9]{1,2}\D+[0-9]{3})\D*$")
+    return F.when(two, F.array_join(F.slice(groups, 1, 2), " ")).otherwise(raw)
+
+
+def preferred_amount(text: Column | str) -> Column:
+    """The first amount of a text that is no year; references of up to three digits and form numbers (07...) are taken only
+    if there is nothing else, and then the last. Null or no number: null."""
+    read = F.transform(F.transform(numbers_in(text), first_period), lambda r: F.struct(F.regexp_replace(r, "[^0-9]", "").alias("digits"), parse_amount(r).alias("value")))
+    year = lambda v: (v == F.floor(v)) & v.between(1900, 2100)
+    form = lambda d: d.startswith("07") & (F.length(d) >= 6)
+
+    def chosen(found: Column) -> Column:
+        better = F.filter(found, lambda x: ~((F.length(x["digits"]) <= 3) & (F.size(found) > 1)) & ~form(x["digits"]))
+        return F.coalesce(F.try_element_at(better, F.lit(1))["value"], F.try_element_at(found, F.lit(-1))["value"])
+
+    return let(F.filter(read, lambda x: x["value"].isNotNull() & ~year(x["value"])), chosen)
 
 
 #: Words for scales.

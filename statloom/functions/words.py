@@ -31,3 +31,17 @@ PRINTED = {
     "equity": "Total equity", "liabilities": "Total liabilities", "current_assets": "Total current assets", "short_term_liabilities": "Short-term liabilities",
     "accounts_receivable": "Trade receivables", "cash_and_equivalents": "Cash and cash equivalents",
 }
+#: Marks of narrative on a line that names a metric.
+NARRATIVE = [
+    "consolidated statements of", "statement of stockholders", "statement of shareholders", "increase", "decrease", "decline", "growth", "represented more than",
+    "customer accounted", "future", "may ", "could ", "price", "market value", "equity compensation", "risk", "table of contents",
+]
+#: Marks of the pages that hold a balance and the results, and of their rows.
+BALANCE_MARKS = ["бухгалтерский баланс", "отчет о финансовом положении", "balance sheet"]
+RESULT_MARKS = ["отчет о финансовых результатах", "отчет о прибыли и убытке", "statement of income", "statements of operations"]
+ROW_MARKS = ["1600", "1200", "1250", "2110", "2400", "выручка", "чистая прибыль", "итого по разделу"]
+#: Marks of liabilities: each line is a set of alternatives, of which every part (and of a part, one form) has to be there.
+LIABILITY_MARKS = [
+    [["1700"]], [["1400"], ["1500"]], [["итого по разделу iv"], ["итого по разделу v", "итого по разделу у"]], [["total liabilities"], ["current liabilities", "non-current liabilities"]],
+]
+HIDDEN_TEXT = "[DEMO: текст скрыт]"

@@ -106,14 +106,19 @@ LABELS = ["Итого оборотных активов", "Total current assets"
 LABELLED = [*d.LABEL_RULES, "accounts_receivable", "net_profit", "revenue"]
 
 
-def quality_sql() -> str:
+def quality_case() -> str:
+    """The quality of a label l for metric_key."""
     has = lambda words: "(" + (" OR ".join(f"contains(l, '{w}')" for w in words) or "false") + ")"
     rules = " ".join(f"WHEN '{m}' THEN CASE WHEN NOT {has(no)} AND {has(yes)} THEN {q} END" for m, (no, yes, q) in d.LABEL_RULES.items())
     owed = f"CASE WHEN {has(['долгосрочн', 'long-term', 'non-current'])} THEN NULL WHEN {has(['торговая и прочая дебиторская задолженность', 'trade receivables'])} THEN 88 WHEN {has(['дебиторск', 'receivable'])} THEN 70 END"
     profit = f"CASE WHEN contains(l, 'совокупный финансовый результат периода') AND NOT {has(['чистая прибыль', '2400'])} THEN NULL WHEN contains(l, 'total comprehensive income') AND NOT {has(['net profit', 'net income', '2400'])} THEN NULL ELSE 50 END"
+    return f"CASE metric_key {rules} WHEN 'accounts_receivable' THEN {owed} WHEN 'net_profit' THEN {profit} ELSE 50 END"
+
+
+def quality_sql() -> str:
     metrics, labels = (", ".join(f"('{x}')" for x in xs) for xs in (LABELLED, LABELS))
     return f"""{WITH_FACTS}, x AS (SELECT metric_key, label, trim(regexp_replace(lower(label || ' ' || coalesce(currency, '')), '\\s+', ' ', 'g')) AS l, n FROM (SELECT currency, count(*) AS n FROM facts GROUP BY 1), (VALUES {metrics}) AS m(metric_key), (VALUES {labels}) AS b(label))
-SELECT metric_key, label, l AS text, n, CASE metric_key {rules} WHEN 'accounts_receivable' THEN {owed} WHEN 'net_profit' THEN {profit} ELSE 50 END AS quality FROM x"""
+SELECT metric_key, label, l AS text, n, {quality_case()} AS quality FROM x"""
 
 
 @query(quality_sql())
