@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, chat, decontaminate, lang_id, licenses, line_dedup, near_dup, pii, quality, token_counts
+from statloom.llm import bpe, chat, decontaminate, lang_id, licenses, line_dedup, near_dup, pii, quality, records, token_counts
 from statloom.llm.common import read
 
 
@@ -83,7 +83,18 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_license_scan, op4_pii, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_quality, op9_bpe, op10_lang_id)}
+def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.new_folder(spark)
+    records.write(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
+    return records.fetch(records.index(spark, folder), folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_token_counts, op3_license_scan, op4_pii, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_quality, op9_bpe, op10_lang_id, op12_records,
+    )
+}
 
 DUCK_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
