@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import bpe, chat, decontaminate, lang_id, licenses, line_dedup, near_dup, pii, quality, records, token_counts
+from statloom.llm import bpe, chat, collocations, decontaminate, lang_id, licenses, line_dedup, near_dup, pii, quality, records, search, token_counts
 from statloom.llm.common import read
 
 
@@ -83,21 +83,31 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), collocations.Settings(max_words=3, least=10, contained=50, top=2000))
+
+
 def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.new_folder(spark)
     records.write(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
     return records.fetch(records.index(spark, folder), folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return search.search(search.build(docs), docs, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_line_dedup, op2_token_counts, op3_license_scan, op4_pii, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_quality, op9_bpe, op10_lang_id, op12_records,
+        op1_line_dedup, op2_token_counts, op3_license_scan, op4_pii, op5_decontaminate, op6_near_dedup, op7_chat_format, op8_quality, op9_bpe, op10_lang_id, op11_collocations, op12_records, op13_search,
     )
 }
 
 DUCK_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE = {
     "op1_line_dedup": r"""
@@ -168,4 +178,30 @@ f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
       CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS n_removed
       FROM d LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (n_words - n_removed) >= 0.5 * n_words AS kept FROM f""",
+    "op11_collocations": r"""
+WITH RECURSIVE p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, string_split(array_to_string(list_slice(w, i, i + k - 1), ' '), ' ') AS v, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT g.lang, g.k, g.phrase, g.v, g.f AS a, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * g.f * g.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM g WHERE k > 1 AND f >= 10) AS g
+      JOIN g AS x ON x.lang = g.lang AND x.phrase = array_to_string(list_slice(g.v, 1, j), ' ') JOIN g AS y ON y.lang = g.lang AND y.phrase = array_to_string(list_slice(g.v, j + 1, g.k), ' ')
+      QUALIFY row_number() OVER (PARTITION BY g.lang, g.phrase ORDER BY score, j) = 1),
+e AS (SELECT lang, phrase, v[1] || ' ' || v[2] AS u1, v[2] || ' ' || v[3] AS u2, f FROM g WHERE k = 3 AND f >= 10),
+i AS (SELECT lang, u AS phrase, max(f) AS most FROM (SELECT lang, u1 AS u, f FROM e UNION ALL SELECT lang, u2, f FROM e) GROUP BY ALL),
+n AS (SELECT e.lang, e.phrase AS p, x.phrase AS q FROM e JOIN e AS x ON x.lang = e.lang AND x.u1 = e.u2 AND x.f = e.f JOIN g ON g.lang = e.lang AND g.phrase = e.u2 AND g.f = e.f),
+h AS (SELECT lang, phrase AS head, phrase AS here FROM e WHERE NOT EXISTS (FROM n WHERE n.lang = e.lang AND n.q = e.phrase) UNION ALL SELECT h.lang, h.head, n.q FROM h JOIN n ON n.lang = h.lang AND n.p = h.here),
+s AS (SELECT lang, here AS phrase, count(*) OVER (PARTITION BY lang, head) + 2 AS path_words FROM h),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang)
+SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, t.n, c.score, coalesce(s.path_words, c.k) AS path_words
+FROM c JOIN t ON t.lang = c.lang LEFT JOIN i ON i.lang = c.lang AND i.phrase = c.phrase LEFT JOIN s ON s.lang = c.lang AND s.phrase = c.phrase
+WHERE c.k = 3 OR coalesce(100 * i.most < 50 * c.a, true) QUALIFY rank <= 2000""",
+    "op13_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term FROM benchmark),
+t AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, 10 + (90 * len(w) * c.n) // c.l AS m, unnest(w) AS term FROM d, c WHERE len(w) > 0) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(c.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term),
+x AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10""",
 }

@@ -12,7 +12,7 @@ its own attempt and then renamed: a task that is run again, or twice at once, le
 
 Texts are encoded by the ``tokenizers`` library. Where the file is plain byte-level BPE, a text is cut before spaces that
 the library's own rule never joins to what stands before, and each different part is encoded once and remembered up to
-a bound; other files go to the library text by text.
+a bound (a part of letters by the library's model at once, as it is one word); other files go to the library text by text.
 
 Defined cases: a null or empty text is a record with the end id alone; rows with one doc_id are records of their own,
 shortest text first, then by the text, and a null doc_id counts as the smallest number of 64 bits; very long texts are one
@@ -28,9 +28,9 @@ import os
 import posixpath
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.bpe import by_size
+from statloom.llm.bpe import by_size, byte_letters
 from statloom.llm.common import scratch
 
 NO_ID = -(2**63)
@@ -128,8 +128,9 @@ class Parts:
     texts may be cut there; spaces before white space stay inside their part."""
 
     SPACED = re.compile(r" (?=\s|$)")
+    MARKS = frozenset(".,;:!?)")
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,6 +153,8 @@ class Parts:
                 self.width[i] = len(token)  # a letter stands for a byte
             for t in added:
                 self.width[t["id"]] = len(t["content"].encode())
+            self.letters = {b: c for c, b in byte_letters().items()}
+            self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in self.MARKS}
         self.remember, self.known = remember, {}
 
     def cut(self, text: str) -> list[str]:
@@ -169,36 +172,38 @@ class Parts:
 
     def learn(self, parts: list[str]) -> None:
         """Encodes the parts, each with a space before it, many to a text; the tokens' lengths say where each ends."""
-        groups, size = [[]], 0
-        for p in parts:
-            if size > 4000:
-                groups.append([])
-                size = 0
-            groups[-1].append(p)
-            size += len(p) + 1
-        for group, found in zip(groups, self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
-            bytes_ = np.cumsum([len(p.encode()) + 1 for p in group])
-            ends = np.searchsorted(np.cumsum(self.width[ids]), bytes_) + 1
-            coded, cuts = ids.tobytes(), (4 * ends).tolist()
-            self.known.update((p, coded[i:j]) for p, i, j in zip(group, [0, *cuts[:-1]], cuts, strict=True))
+            bytes_ = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1)
+            cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), bytes_) + 4).tolist()
+            coded = ids.tobytes()
+            self.known.update(zip(group, map(coded.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
         if not self.plain:
             return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        known = self.known
+        if len(known) > self.remember:
+            known.clear()
         split = [self.cut(t) for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        firsts = [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch([s[0] for s in split], add_special_tokens=False)]
-        rest = [s[1:] for s in split]
-        new = [p for p in set(chain.from_iterable(rest)) if p not in self.known]
-        if new:
-            self.learn(new)
-        out = [b"".join([f, *map(self.known.__getitem__, r)]) for f, r in zip(firsts, rest, strict=True)]
-        for p in new:
+        firsts = [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast([s.pop(0) for s in split], add_special_tokens=False)]
+        new = set().union(*(set(s).difference(known) for s in split))
+        # A mark at the end of a part of letters is a token of its own, so the part without it is learnt, for other marks too.
+        marked = [p for p in new if p[-1:] in self.MARKS and p[:-1].isascii() and p[:-1].isalpha()]
+        plain = new.difference(marked).union(p[:-1] for p in marked).difference(known)
+        words = [p for p in plain if p.isalpha() and max(p) <= "ÿ"]  # one word each, so the library need not look for its bounds
+        tokenize, letters = self.library.model.tokenize, self.letters
+        for p in words:
+            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
+            known[p] = array("I", [t.id for t in tokenize(letters[32] + spelled)]).tobytes()
+        self.learn(list(plain.difference(words)))
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        out = [b"".join([f, *map(known.__getitem__, s)]) for f, s in zip(firsts, split, strict=True)]
+        for p in plain:
             if len(p) > 100:
-                del self.known[p]
+                del known[p]
         return out
 
 
