@@ -298,8 +298,9 @@ def candidates(index: Index, pack, stats: tuple[int, int], least: np.ndarray) ->
     return index.blocks.mapInArrow(rows, "query int, doc_id long")
 
 
-def scored(docs: DataFrame, found: DataFrame, pack, stats: tuple[int, int], least: np.ndarray, name: str) -> DataFrame:
-    """query, doc_id, score of the found pairs whose exact score reaches the query's least, from the whole texts."""
+def scored(docs: DataFrame, found: DataFrame, pack, stats: tuple[int, int], least: np.ndarray, most: int, name: str) -> DataFrame:
+    """query, doc_id, score: of the found pairs whose exact score (from the whole texts) reaches the query's least, the best
+    that each task has; these hold the best of all."""
     n_docs, n_terms = stats
     null = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("key"), F.col(c).isNull().alias("none")]
     wanted = store(found.select(*null("doc_id"), "query").groupBy("key", "none").agg(F.collect_set("query").alias("queries")), name)
@@ -308,8 +309,8 @@ def scored(docs: DataFrame, found: DataFrame, pack, stats: tuple[int, int], leas
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pack.value
         known = {t: i for i, t in enumerate(p.terms)}
+        top: dict[int, list[tuple[int, bool, int]]] = {}  # a task's best of each query, in the order of ranks
         for batch in batches:
-            out = []
             for key, none, queries, text in zip(*(batch.column(k).to_pylist() for k in range(3)), raw(batch.column(3)), strict=True):
                 terms = terms_of(text)
                 n = len(terms)
@@ -324,8 +325,12 @@ def scored(docs: DataFrame, found: DataFrame, pack, stats: tuple[int, int], leas
                 for q in queries:
                     score = int(worth[p.places[p.begins[q] : p.begins[q + 1]]].sum())
                     if score >= least[q]:
-                        out.append((q, None if none else key, score))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["query", "doc_id", "score"])
+                        each = top.setdefault(q, [])
+                        each.append((-score, not none, key))
+                        if len(each) >= 20 * most:
+                            top[q] = heapq.nsmallest(most, each)
+        out = [(q, d if there else None, -score) for q, each in top.items() for score, there, d in heapq.nsmallest(most, each)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["query", "doc_id", "score"])
 
     return wanted.join(texts, ["key", "none"]).select("key", "none", "queries", "text").mapInArrow(rows, "query int, doc_id long, score long")
 
@@ -353,12 +358,12 @@ def answer(index: Index, docs: DataFrame, spark: SparkSession, pack: Pack, stats
     s = index.settings
     shared = spark.sparkContext.broadcast(pack.weighted(document_counts(index, spark, pack), stats[0]))
     nothing = np.ones(len(pack.numbers), np.int64)
-    first = scored(docs, highest_bounds(index, shared, stats), shared, stats, nothing, "first")
+    first = scored(docs, highest_bounds(index, shared, stats), shared, stats, nothing, s.best, "first")
     tenth = best(first, s.best).where(F.col("rank") == s.best).select("query", "score").collect()  # a row for each query of the pack
     least = nothing.copy()
     for r in tenth:
         least[r.query] = r.score
-    found = scored(docs, candidates(index, shared, stats, least), shared, stats, least, "candidates")
+    found = scored(docs, candidates(index, shared, stats, least), shared, stats, least, s.best, "candidates")
     numbers = spark.createDataFrame(list(enumerate(pack.numbers)), "query int, number long")
     return store(best(found, s.best).join(numbers, "query").select("number", "rank", "doc_id", "score"), "answers")
 
