@@ -106,9 +106,11 @@ def vocabulary(docs: DataFrame, s: Settings) -> DataFrame:
     each = docs.mapInArrow(rows, "lang string, code long, word string, n long")
     words = each.groupBy("lang", "code").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.sum("n").alias("n"))
     clash = F.raise_error(F.concat(F.lit("two words with one digest: "), "word", F.lit(" "), "last")).cast("string")
-    frequent = words.where(F.col("n") >= s.least).select("lang", "code", F.when(F.col("word") == F.col("last"), F.col("word")).otherwise(clash).alias("word"), "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("long").alias("code"), F.lit(None).cast("string").alias("word"), "n")
-    return store(frequent.unionByName(totals), "words")
+    own = F.when(F.col("n") >= s.least, F.struct("code", F.when(F.col("word") == F.col("last"), F.col("word")).otherwise(clash).alias("word"), "n"))
+    whole = F.struct(F.lit(None).cast("long").alias("code"), F.lit(None).cast("string").alias("word"), "n")
+    # In one pass: the frequent words as they are, and a row for all words of the language, added up again.
+    both = words.select("lang", F.explode(F.array_compact(F.array(own, whole))).alias("x")).select("lang", "x.code", "x.word", "x.n")
+    return store(both.groupBy("lang", "code", "word").agg(F.sum("n").alias("n")), "words")
 
 
 def filter_of(words: DataFrame, bits: int) -> np.ndarray:
@@ -195,18 +197,28 @@ def edges(docs: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
             yield from emitted(added([np.concatenate(c) for c in zip(*held, strict=True)]))
 
     schema = ", ".join(f"{w} long" for w in [*names(s.max_words), "n"])
-    return docs.mapInArrow(rows, schema).groupBy(*names(s.max_words)).agg(F.sum("n").alias("n"))
+    # Dealt by their first node, so that its flow is added up where its edges are; tasks have put equal edges together before.
+    dealt = docs.mapInArrow(rows, schema).repartition(*names(s.max_words - 1))
+    return dealt.groupBy(*names(s.max_words)).agg(F.sum("n").alias("n"))
 
 
 def phrases(docs: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """size, w1, w2, ..., n: all phrases of at least s.least occurrences; shorter ones by the flow out of their node."""
-    level, kept = edges(docs, words, s), []
+    """size, w1, w2, ..., n: all phrases of at least s.least occurrences; shorter ones by the flow out of their node.
+
+    The edges are read once: at each level, rows that stay go on as they are, and each row of the level goes on as flow of
+    its node, with one word less."""
+    all_ = names(s.max_words)
+    level = edges(docs, words, s).withColumn("size", F.lit(s.max_words))
     for k in range(s.max_words, 0, -1):
-        if k < s.max_words:
-            level = level.groupBy(*names(k)).agg(F.sum("n").alias("n"))
-        missing = [F.lit(None).cast("long").alias(w) for w in names(s.max_words)[k:]]
-        kept.append(level.where((F.col("n") >= s.least) & (F.col(f"w{k}") != RARE)).select(F.lit(k).alias("size"), *names(k), *missing, "n"))
-    return store(functools.reduce(DataFrame.unionByName, kept), "phrases")
+        stays = (F.col("size") > k) | ((F.col("n") >= s.least) & (F.col(f"w{k}") != RARE))
+        if k == 1:
+            level = level.where(stays)
+            break
+        head, tail = all_[: k - 1], all_[k - 1 :]
+        row = F.when(stays, F.struct("size", *tail, "n"))
+        flow = F.when(F.col("size") == k, F.struct(F.lit(k - 1).alias("size"), *(F.lit(RARE).cast("long").alias(w) for w in tail), "n"))
+        level = level.select(*head, F.explode(F.array_compact(F.array(row, flow))).alias("x")).select(*head, "x.*").groupBy(*head, "size", *tail).agg(F.sum("n").alias("n"))
+    return store(level.select("size", *all_, "n"), "phrases")
 
 
 def of_size(found: DataFrame, k: int, as_: list[str] | None = None, n: str = "n") -> DataFrame:
