@@ -143,3 +143,64 @@ def masked(x: Column | str) -> Column:
     x = col(x)
     digits = F.format_number(F.abs(x), 0)
     return F.when(x.isNull(), None).when(x == 0, "X").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.regexp_replace(digits, "[0-9]", "X")))
+
+
+# --- numbers of scanned forms ---------------------------------------------------------------------------------------
+
+#: A run of groups of digits, and a number of a scanned form (its first group may have four digits).
+RUN = r"[-(]?\$?[0-9]+(?:[ \t\xa0]+[0-9]+)+(?:[.,][0-9]+)?\)?"
+SCANNED = r"[-(]?\$?[0-9]{1,4}(?:[ \t\xa0][0-9]{3})+(?:[.,][0-9]+)?\)?|[-(]?\$?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\)?|[-(]?\$?[0-9]{1,3}(?:\.[0-9]{3})+(?:,[0-9]+)?\)?|[-(]?\$?[0-9]+(?:[.,][0-9]+)?\)?"
+
+
+def is_year(v: Column) -> Column:
+    return (v == F.floor(v)) & v.between(1900, 2100)
+
+
+def first_of_periods(raw: Column) -> Column:
+    """Of a run of 4, 6, 8, 9 or 12 groups of digits, which a scan made of two or three periods' amounts, the first amount:
+    as many groups as its period has. Six groups are two amounts of three groups, or three of two where the first group
+    has four digits."""
+
+    def cut(groups: Column) -> Column:
+        n = F.size(groups)
+        take = F.when(n == 4, 2).when(n == 6, F.when(F.length(groups[0]) == 4, 2).otherwise(3)).when(n == 8, 4).when(n == 9, 3).when(n == 12, 4)
+        sign = F.when(raw.rlike(r"^\s*[(−-]"), "-").otherwise("")
+        return F.when(take.isNotNull() & ~raw.contains("\n"), F.concat(sign, F.array_join(F.slice(groups, F.lit(1), F.coalesce(take, F.lit(1))), " "))).otherwise(raw)
+
+    return let(F.regexp_extract_all(raw, F.lit("[0-9]+"), F.lit(0)), cut)
+
+
+def scanned_amounts(text: Column | str) -> Column:
+    """The different numbers of a scanned text, runs of groups first: an array of (digits, value), years left out."""
+    text = col(text)
+    raw = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.regexp_extract_all(text, F.lit(SCANNED), F.lit(0))))
+    each = F.transform(raw, lambda r: F.struct(F.regexp_replace(r, "[^0-9]", "").alias("digits"), parse_amount(first_of_periods(r)).alias("value")))
+    return F.filter(each, lambda x: x["value"].isNotNull() & ~is_year(x["value"]))
+
+
+def preferred_scanned_amount(text: Column | str) -> Column:
+    """The first amount of a scanned text: neither a reference of up to three digits, nor a line code of four beside longer
+    numbers, nor a form number (07...), unless there is nothing else; then the last."""
+
+    def chosen(found: Column) -> Column:
+        n, long = F.length, F.exists(found, lambda x: F.length(x["digits"]) >= 6)
+        several = F.size(found) > 1
+        bad = lambda x: (several & (n(x["digits"]) <= 3)) | (several & long & (n(x["digits"]) == 4) & (F.abs(x["value"]) < 10000)) | (x["digits"].startswith("07") & (n(x["digits"]) >= 6))
+        return F.coalesce(F.try_element_at(F.filter(found, lambda x: ~bad(x)), F.lit(1))["value"], F.try_element_at(found, F.lit(-1))["value"])
+
+    return let(scanned_amounts(text), chosen)
+
+
+def amount_after_code(text: Column | str) -> Column:
+    """The first amount of five digits or more behind a line code; beside others none above 1e10, which are joined columns."""
+
+    def chosen(found: Column) -> Column:
+        fit = F.filter(found, lambda x: (F.length(x["digits"]) >= 5) & ((F.size(found) == 1) | (F.abs(x["value"]) <= 1e10)))
+        return F.try_element_at(fit, F.lit(1))["value"]
+
+    return let(scanned_amounts(text), chosen)
+
+
+def valid(x: Column) -> Column:
+    """x where it may be a metric's value, else null."""
+    return let(x, lambda v: F.when(valid_value(v), v))

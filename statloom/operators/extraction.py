@@ -23,16 +23,6 @@ def by_code(rows: DataFrame) -> DataFrame:
     return known.select("doc", "row_no", "metric_key", value.alias("value"), F.lit(120).alias("quality")).where(F.col("value").isNotNull())
 
 
-def by_label(rows: DataFrame) -> DataFrame:
-    """The same by the English label: the first keyword in order decides; amounts below 1000 are page numbers. The
-    keywords are a fixed list, so they are tried within the row and nothing is joined."""
-    label = F.lower(F.col("cells")[1])
-    metric = F.coalesce(*[F.when(label.contains(k), F.lit(m)) for k, m in words.LABELS.items()])
-    value = first_number(F.slice("cells", 3, F.greatest(F.size("cells"), F.lit(1))))
-    out = rows.where(F.size("cells") >= 3).select("doc", "row_no", metric.alias("metric_key"), value.alias("value"), F.lit(85).alias("quality"))
-    return out.where(F.col("metric_key").isNotNull() & (F.abs("value") >= 1000))
-
-
 def financial_tables(rows: DataFrame) -> DataFrame:
     """doc, n_rows, n_large (rows with an amount of six digits), financial."""
     row = F.lower(F.array_join("cells", " "))

@@ -15,9 +15,7 @@ from statloom.operators.decisions import label_quality
 from statloom.operators.extraction import first_number
 from statloom.operators.text import contains_any, lines, plain_quotes, squeezed
 
-KEYWORDS: dict[str, list[str]] = {}
-for _keyword, _metric in words.LABELS.items():
-    KEYWORDS.setdefault(_metric, []).append(_keyword)
+KEYWORDS = words.KEYWORDS
 
 
 def given(x: Column) -> Column:
@@ -25,11 +23,25 @@ def given(x: Column) -> Column:
     return F.explode(F.array_compact(F.array(x)))
 
 
+def strings(parts: list[str]) -> Column:
+    return F.array(*[F.lit(p) for p in parts])
+
+
+def keyword_table(longest_first: bool = False) -> Column:
+    """(metric_key, keywords) of all metrics as one constant: code stays small, however many keywords there are."""
+    order = (lambda ks: sorted(ks, key=len, reverse=True)) if longest_first else list
+    return F.array(*[F.struct(F.lit(m).alias("metric_key"), strings(order(ks)).alias("keywords")) for m, ks in KEYWORDS.items()])
+
+
+def single_keywords() -> Column:
+    """(metric_key, no, keyword), a place for each keyword."""
+    return F.array(*[F.struct(F.lit(m).alias("metric_key"), F.lit(i).alias("no"), F.lit(k).alias("keyword")) for m, ks in KEYWORDS.items() for i, k in enumerate(ks)])
+
+
 def longest_keywords(low: Column) -> Column:
     """metric_key, keyword: the longest keyword of each metric that a text in lower case has."""
-    first = lambda ks: F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in sorted(ks, key=len, reverse=True)])
-    each = F.array(*[F.struct(F.lit(m).alias("metric_key"), first(ks).alias("keyword")) for m, ks in KEYWORDS.items()])
-    return F.filter(each, lambda x: x["keyword"].isNotNull())
+    found = F.transform(keyword_table(True), lambda x: F.struct(x["metric_key"].alias("metric_key"), F.try_element_at(F.filter(x["keywords"], lambda k: low.contains(k)), F.lit(1)).alias("keyword")))
+    return F.filter(found, lambda x: x["keyword"].isNotNull())
 
 
 def line_score(line: Column, keyword: Column) -> Column:
@@ -66,26 +78,31 @@ def by_line(docs: DataFrame) -> DataFrame:
 def near_keyword(docs: DataFrame, width: int = 60) -> DataFrame:
     """doc, metric_key, value: the first number within some characters after a metric's keyword, wherever it stands; an
     earlier keyword of the list decides, then an earlier place."""
-    low = F.lower("text")
-    windows = lambda k: F.regexp_extract_all(low, F.lit(rf"\Q{k}\E(?=([\s\S]{{0,{width}}}))"), F.lit(1))
-    each = F.array(*[F.struct(F.lit(m).alias("metric_key"), F.concat(*map(windows, ks)).alias("windows")) for m, ks in KEYWORDS.items()])
-    found = docs.select("doc", F.explode(F.filter(each, lambda x: F.size(x["windows"]) > 0)).alias("x")).select("doc", "x.*")
+    named = docs.select("doc", F.lower("text").alias("low")).select("doc", "low", F.explode(F.filter(single_keywords(), lambda x: F.col("low").contains(x["keyword"]))).alias("x"))
+    pattern = F.concat(F.lit(r"\Q"), F.col("x.keyword"), F.lit(rf"\E(?=([\s\S]{{0,{width}}}))"))
+    windows = named.select("doc", "x.metric_key", "x.no", F.regexp_extract_all("low", pattern, F.lit(1)).alias("windows"))
     amounts = F.filter(F.transform("windows", preferred_amount), lambda v: v.isNotNull())
-    return found.select("doc", "metric_key", F.explode(F.slice(amounts, 1, 1)).alias("value"))
+    read = windows.select("doc", "metric_key", "no", F.explode(F.slice(amounts, 1, 1)).alias("value"))
+    return read.groupBy("doc", "metric_key").agg(F.min_by("value", "no").alias("value"))
 
 
 def by_any_cell(rows: DataFrame) -> DataFrame:
-    """doc, row_no, metric_key, value, quality, is_exact, is_total: the amount right of the first cell with a keyword of the
-    metric, else the row's last number."""
-    cell = F.transform("cells", lambda c: F.trim(F.lower(c)))
-    label = lambda ks: F.try_element_at(F.filter(cell, lambda c: contains_any(c, ks)), F.lit(1))
-    each = F.array(*[F.struct(F.lit(m).alias("metric_key"), label(ks).alias("label"), label(ks).isin(ks).alias("is_exact")) for m, ks in KEYWORDS.items()])
-    hit = rows.select("doc", "row_no", "cells", cell.alias("low"), F.explode(F.filter(each, lambda x: x["label"].isNotNull())).alias("x")).select("doc", "row_no", "cells", "low", "x.*")
-    right = F.slice("cells", F.array_position("low", F.col("label")).cast("int") + 1, F.greatest(F.size("cells"), F.lit(1)))
+    """doc, row_no, metric_key, value, quality, is_exact, is_total: for each metric with a keyword in the row, the amount right
+    of the first cell that has one (of the first cell, if the keyword goes over several), else the row's last number."""
+    text = F.lower(F.array_join("cells", " "))
+    some = lambda c, ks: F.exists(ks, lambda k: c.contains(k))
+    named = F.filter(keyword_table(), lambda x: some(F.col("row"), x["keywords"]))
+    hit = rows.select("doc", "row_no", "cells", text.alias("row")).select("doc", "row_no", "cells", "row", F.explode(named).alias("x")).select("*", F.transform("cells", lambda c: F.trim(F.lower(c))).alias("low"))
+    places = F.filter(F.transform("low", lambda c, i: F.when(some(c, F.col("x.keywords")), i)), lambda i: i.isNotNull())
+    placed = hit.withColumn("at", F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(0)))
+    label = F.coalesce(F.nullif(F.get("low", F.col("at")), F.lit("")), F.col("row"))
+    right = F.slice("cells", F.col("at") + 2, F.greatest(F.size("cells"), F.lit(1)))
     value = let(F.coalesce(first_number(right), last_amount(F.array_join("cells", " "))), lambda v: F.when(valid_value(v), v))
-    total = F.col("label").startswith("итого") | F.col("label").startswith("total ")
-    out = hit.select("doc", "row_no", "metric_key", given(value).alias("value"), label_quality(F.col("metric_key"), F.col("label")).alias("quality"), "is_exact", total.alias("is_total"))
-    return out.where("quality IS NOT NULL")
+    own = F.coalesce(F.get("low", F.col("at")), F.lit(""))
+    total = own.startswith("итого") | own.startswith("total ")
+    out = placed.select("doc", "row_no", "x.metric_key", "x.keywords", given(value).alias("value"), label.alias("label"), own.alias("own"), total.alias("is_total"))
+    read = out.select("doc", "row_no", "metric_key", "value", label_quality(F.col("metric_key"), F.col("label")).alias("quality"), F.array_contains("keywords", F.col("own")).alias("is_exact"), "is_total")
+    return read.where("quality IS NOT NULL")
 
 
 def enough_pages(pages: DataFrame, least: int = 5) -> DataFrame:

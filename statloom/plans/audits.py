@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.functions import dims, words
-from statloom.operators import audit, extraction, periods, ratios, scoring, text
+from statloom.operators import audit, extraction, forms, periods, ratios, scoring, text
 from statloom.plans import documents, operations, statements
 from statloom.plans.statements import KEYS, LINKED, RATIO_ROWS, RISK, SCORED, SCORES, WIDE_SQL, WITH_FACTS, WITH_INPUTS
 from statloom.sources.facts import analyses, read, statement_facts, statement_inputs
@@ -45,11 +45,11 @@ def r6_complete_metadata(spark, sf):
     return audit.complete(inputs, KEYS, KNOWN)
 
 
-@query(f"{documents.cells_sql()}, {documents.LABELS_SQL}, hit AS (SELECT doc, row_no, metric_key, v, row_number() OVER (PARTITION BY doc, row_no ORDER BY no) AS rn FROM cells JOIN labels_ ON contains(lower(label), keyword)) SELECT doc, metric_key, row_no, v * CASE WHEN CAST(right(doc, 4) AS INT) % 2 = 0 THEN 1e3 ELSE 1e6 END AS value FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
+@query(f"{documents.cells_sql()}, {documents.LABELS_SQL}, hit AS (SELECT doc, row_no, metric_key, v, 1 AS rn FROM cells JOIN labels_ ON labels_.label = cells.label) SELECT doc, metric_key, row_no, v * CASE WHEN CAST(right(doc, 4) AS INT) % 2 = 0 THEN 1e3 ELSE 1e6 END AS value FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
 def r7_scaled_values(spark, sf):
     """Table values times the scale that the statement's text names."""
     scales = text.scale(documents.texts(spark, sf).where(F.col("doc").startswith("s")))
-    hits = extraction.by_label(documents.table_rows(spark, sf))
+    hits = forms.by_english_label(documents.table_rows(spark, sf).withColumn("cells", F.slice("cells", 2, 9)))
     return hits.join(scales, "doc").select("doc", "metric_key", "row_no", (F.col("value") * F.col("scale")).alias("value"))
 
 
@@ -124,12 +124,12 @@ def p15_display_classes(spark, sf):
     return out.groupBy("metric_id", F.when(F.col("value") >= 1, "good").when(F.col("value") > 0, "bad").otherwise("none").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f"{documents.cells_sql()}, {documents.LABELS_SQL}, hit AS (SELECT doc, metric_key, v, row_number() OVER (PARTITION BY doc, row_no ORDER BY no) AS rn FROM cells JOIN labels_ ON contains(lower(label), keyword)), m AS (SELECT doc, max(v) AS got FROM hit WHERE rn = 1 AND metric_key = 'total_assets' AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100) GROUP BY doc), x AS (SELECT 's' || entity_id || '-' || period_label AS doc, total_assets / 1000 * CASE WHEN entity_id % 5 = 0 THEN 1.2 ELSE 1 END AS want FROM facts) SELECT x.doc, abs(got - want) <= greatest(1.0, abs(want) * 0.01) AS ok FROM x JOIN m ON m.doc = x.doc")
+@query(f"{documents.cells_sql()}, {documents.LABELS_SQL}, hit AS (SELECT doc, metric_key, v, 1 AS rn FROM cells JOIN labels_ ON labels_.label = cells.label), m AS (SELECT doc, max(v) AS got FROM hit WHERE rn = 1 AND metric_key = 'total_assets' AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100) GROUP BY doc), x AS (SELECT 's' || entity_id || '-' || period_label AS doc, total_assets / 1000 * CASE WHEN entity_id % 5 = 0 THEN 1.2 ELSE 1 END AS want FROM facts) SELECT x.doc, abs(got - want) <= greatest(1.0, abs(want) * 0.01) AS ok FROM x JOIN m ON m.doc = x.doc")
 def e11_acceptance(spark, sf):
     """Extracted values against expected ones, of which a fifth are wrong on purpose."""
     wrong = F.when(F.col("entity_id") % 5 == 0, 1.2).otherwise(1.0)
     want = statement_facts(spark, sf).select(F.concat(F.lit("s"), "entity_id", F.lit("-"), "period_label").alias("doc"), (F.col("total_assets") / 1000 * wrong).alias("want"))
-    got = extraction.by_label(documents.table_rows(spark, sf)).where("metric_key = 'total_assets'").groupBy("doc").agg(F.max("value").alias("got"))
+    got = forms.by_english_label(documents.table_rows(spark, sf).withColumn("cells", F.slice("cells", 2, 9))).where("metric_key = 'total_assets'").groupBy("doc").agg(F.max("value").alias("got"))
     return want.join(got, "doc").select("doc", (F.abs(F.col("got") - F.col("want")) <= F.greatest(F.lit(1.0), F.abs("want") * 0.01)).alias("ok"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.functions import dims, numbers, words
-from statloom.operators import extraction, text
+from statloom.operators import extraction, forms, text
 from statloom.sources.facts import FACTS_DUCK, read, statement_facts
 
 QUERIES, ORACLE = {}, {}
@@ -169,7 +169,6 @@ def cells_sql():
 
 
 CODES_SQL = "codes AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{m}')" for c, m in words.CODES.items()) + ") AS v(code, metric_key))"
-LABELS_SQL = "labels_ AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{m}')" for i, (k, m) in enumerate(words.LABELS.items())) + ") AS v(no, keyword, metric_key))"
 SHORT = "(v IS NULL OR abs(v) < 1000)"  # codes and notes of one to three digits are no amounts
 
 
@@ -178,10 +177,17 @@ def c1_code_candidates(spark, sf):
     return extraction.by_code(table_rows(spark, sf))
 
 
-@query(f"""{cells_sql()}, {LABELS_SQL}, hit AS (SELECT doc, row_no, metric_key, v, row_number() OVER (PARTITION BY doc, row_no ORDER BY no) AS rn FROM cells JOIN labels_ ON contains(lower(label), keyword))
-SELECT doc, row_no, metric_key, v AS value, 85 AS quality FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)""")
+#: Metric and quality of the printed labels, as written down by hand; those of no label are not there.
+LABEL_ROWS = {
+    "Revenue": ("revenue", 50), "Net profit": ("net_profit", 50), "Interest expense": ("interest_expense", 50), "Total assets": ("total_assets", 50), "Total equity": ("equity", 50), "Total liabilities": ("liabilities", 90),
+    "Total current assets": ("current_assets", 90), "Trade receivables": ("accounts_receivable", 88), "Cash and cash equivalents": ("cash_and_equivalents", 50), "Inventories": ("inventory", 50),
+}
+LABELS_SQL = "labels_ AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}', {q})" for k, (m, q) in LABEL_ROWS.items()) + ") AS v(label, metric_key, quality))"
+
+
+@query(f"{cells_sql()}, {LABELS_SQL} SELECT doc, row_no, metric_key, v AS value, quality FROM cells JOIN labels_ ON labels_.label = cells.label WHERE abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
 def c3_c7_label_candidates(spark, sf):
-    return extraction.by_label(table_rows(spark, sf))
+    return forms.by_english_label(table_rows(spark, sf).withColumn("cells", F.slice("cells", 2, 9)))
 
 
 @query(f"{cells_sql()} SELECT doc, count(*) AS n_rows, count(*) FILTER (abs(v) >= 100000) AS n_large, true AS financial FROM cells GROUP BY doc")

@@ -67,7 +67,7 @@ def found_sql(window: str) -> str:
 
 #: Of such a list c the preferred amount.
 PREFERRED = "coalesce(list_filter(c, lambda y: NOT (length(y.d) <= 3 AND len(c) > 1) AND NOT (starts_with(y.d, '07') AND length(y.d) >= 6))[1].v, c[-1].v)"
-KEYWORDS_SQL = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i}, '{k}')" for m, ks in reading.KEYWORDS.items() for i, k in enumerate(ks)) + ") AS v(metric_key, no, keyword))"
+KEYWORDS_SQL = "kw AS (SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}')".format(m, i, k.replace("'", "''")) for m, ks in reading.KEYWORDS.items() for i, k in enumerate(ks)) + ") AS v(metric_key, no, keyword))"
 LINES_SQL = rf"{TEXTS}, {KEYWORDS_SQL}, cut AS (SELECT doc, string_split(text, chr(10)) AS l FROM texts), lines AS (SELECT doc, unnest(range(0, len(l))) AS line_no, replace(trim(regexp_replace(unnest(l), '\s+', ' ', 'g')), '’', '''') AS line FROM cut)"
 
 
@@ -81,7 +81,7 @@ SCORE = f"""least(4, len(string_split(keyword, ' ')) - 1) + CASE WHEN a = 0 THEN
  + CASE WHEN {COUNT} BETWEEN 2 AND 4 THEN 2 WHEN {COUNT} = 1 THEN 1 WHEN {COUNT} > 6 THEN -2 ELSE 0 END + CASE WHEN length(line) <= 120 THEN 1 WHEN length(line) > 220 THEN -2 ELSE 0 END
  - CASE WHEN contains(line, '%') THEN 3 ELSE 0 END - CASE WHEN {any_of('lower(line)', words.NARRATIVE)} THEN 5 ELSE 0 END
  - CASE WHEN keyword = 'total liabilities' AND (contains(lower(line), 'stockholders'' equity') OR contains(lower(line), 'shareholders'' equity')) THEN 4 ELSE 0 END"""
-NAMED = f"{LINES_SQL}, named AS (SELECT *, position(keyword IN lower(line)) - 1 AS a FROM lines JOIN kw ON contains(lower(line), keyword) QUALIFY row_number() OVER (PARTITION BY doc, line_no, metric_key ORDER BY length(keyword) DESC) = 1)"
+NAMED = f"{LINES_SQL}, named AS (SELECT *, position(keyword IN lower(line)) - 1 AS a FROM lines JOIN kw ON contains(lower(line), keyword) QUALIFY row_number() OVER (PARTITION BY doc, line_no, metric_key ORDER BY length(keyword) DESC, no) = 1)"
 
 
 @query(f"{NAMED} SELECT doc, line_no, metric_key, keyword, {SCORE} AS score FROM named")
