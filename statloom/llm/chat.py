@@ -3,7 +3,8 @@
 A record's fingerprint is a hash of its nested field paths, read off ``schema_of_variant`` without types and without the
 fields that no mapping needs (``IGNORED``). ``MAPPINGS`` says, for each known set of paths, where the turns are; a record
 whose fingerprint is unknown has none and is reported by ``unmapped``. Records come as JSON (``canonical``), or as rows of
-one turn each (``from_turn_rows``), whose texts never become JSON. All of it is SQL: no code outside Spark's own functions.
+one turn each (``from_turn_rows``): these are gathered and dressed in one of several layouts by their conv_id, as variants
+that hold the places of the texts, so that each record is fingerprinted and mapped while texts never become JSON. All of it is SQL: no code outside Spark's own functions.
 
 The template writes a turn as ``### role``, a line break, the text and ``</turn>`` with a line break. In roles and texts a
 backslash is doubled, and one is put into every ``</turn>`` and ``##``, so a marker in the output is always the
@@ -144,14 +145,48 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn(own, F.expr(blocks)).withColumns({"turns_back": F.expr(back), "loss_texts": F.expr(loss)}).drop(own)
 
 
-def from_turn_rows(rows: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
-    """conv_id, turns: conversations that come as a row for each turn (conv_id, turn, role, text). A row is a record of
-    role and content; its fingerprint is taken from its fields, and its mapping reads them in place, as strings."""
-    paths = F.to_variant_object(F.struct(F.lit("").alias("role"), F.lit("").alias("content")))  # fields do not depend on values
-    rows = rows.select("conv_id", "turn", "role", F.col("text").alias("content"), fingerprint(paths).alias("mark"))
-    rows_of = [m for m in mappings if "turns" in m]
-    turns = of_layout("mark", rows_of, lambda m: filled(m["turns"], lambda p: p[2:] if p[2:] in ("role", "content") else "''"))
-    each = rows.select("conv_id", "turn", F.posexplode(turns).alias("at", "t"))
-    ordered = F.struct("turn", F.col("t.role").alias("role"), F.col("t.text").alias("text"), "at")
+# --- rows of one turn each ------------------------------------------------------------------------------------------
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """conv_id, said: the roles and texts of a conversation from its rows (conv_id, turn, role, text), in their order."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = F.expr("transform(sort_array(collect_list(t)), t -> named_struct('role', t.role, 'text', t.text))")
-    return each.select("conv_id", ordered.alias("t")).groupBy("conv_id").agg(whole.alias("turns"))
+    return rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(whole.alias("said"))
+
+
+def turns_of(role: str, text: str, role_sql: str = "t.role", more: str = "") -> str:
+    return f"transform(said, (t, i) -> named_struct('{role}', {role_sql}, '{text}', CAST(i AS STRING){more}))"
+
+
+#: The layouts in which ``dressed`` gives conversations, and what they have to be for it.
+PLAIN_ROLES = "forall(said, t -> t.role NOT IN (" + ", ".join(f"'{n}'" for n in NAMES) + "))"
+PAIR = "size(said) = 2 AND said[0].role = 'user' AND said[1].role = 'assistant'"
+DRESSES = [
+    ("true", f"named_struct('messages', {turns_of('role', 'content')})"),
+    (PLAIN_ROLES, f"named_struct('conversations', {turns_of('from', 'value', chr(39).join(['CASE t.role WHEN ', 'user', ' THEN ', 'human', ' WHEN ', 'assistant', ' THEN ', 'gpt', ' ELSE t.role END']))})"),
+    ("true", f"named_struct('data', named_struct('id', CAST(conv_id AS STRING), 'messages', {turns_of('role', 'content')}))"),
+    ("true", f"named_struct('conversation', {turns_of('role', 'content')}, 'source', 'rows')"),
+    (PAIR, "named_struct('prompt', '0', 'response', '1', 'metadata', named_struct('turns', size(said)))"),
+    ("true", f"named_struct('uuid', conv_id, 'messages', {turns_of('role', 'content', more=', ' + chr(39) + 'weight' + chr(39) + ', 1')})"),
+]
+
+
+def dressed(conversations: DataFrame) -> DataFrame:
+    """conversations (conv_id, said) with record, a variant in one of several layouts by conv_id. Where a layout has a turn's
+    text, the record has the turn's place in said: texts of any length stay beside it."""
+    pick = f"pmod(xxhash64(conv_id), {len(DRESSES)})"
+    cases = " ".join(f"WHEN {pick} = {i} AND {test} THEN to_variant_object({record})" for i, (test, record) in enumerate(DRESSES))
+    return conversations.withColumn("record", F.expr(f"CASE {cases} ELSE to_variant_object({DRESSES[0][1]}) END"))
+
+
+def canonical_places(records: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
+    """conv_id, layout, turns of records whose texts are places in said: each record's fingerprint selects its mapping."""
+    marked = records.withColumn("mark", fingerprint(F.col("record")))
+    found = marked.withColumns({"layout": of_layout("mark", mappings, lambda m: f"'{m['name']}'"), "places": of_layout("mark", mappings, lambda m: expression(m, "record"))})
+    return found.select("conv_id", "layout", F.expr("transform(places, t -> named_struct('role', t.role, 'text', said[CAST(t.text AS INT)].text))").alias("turns"))
+
+
+def from_turn_rows(rows: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
+    """conv_id, turns of conversations that come as a row for each turn (conv_id, turn, role, text)."""
+    return canonical_places(dressed(gathered(rows)), mappings).select("conv_id", "turns")
