@@ -102,10 +102,15 @@ def matches(docs: DataFrame, t: float = 0.8, templates: dict[str, str] = TEMPLAT
     """h1, h2, license, dice: for docs (h1, h2, text), each template at or above t in its best window."""
     small = sum(map(len, templates.values())) <= BROADCAST_CHARS
     met = docs.join(candidates(docs, template_table(docs.sparkSession, templates), t, small), ["h1", "h2"])
-    stride = "greatest(1, n_words DIV 20)"
+    # A window is at most half a stride from one of the stride, so it shares that many bigrams less or more. Where this may
+    # reach t, every offset around is compared.
+    near = "(greatest(1, n_words DIV 20) + 1) DIV 2"
+    window = lambda at, body: let("x", f"array_distinct(slice(g, {at} + 1, n_words - 1))", body)
+    reach = f"2 * (size(array_intersect(x, t_grams)) + {near}) >= {t - 1e-9} * (greatest(size(x) - {near}, 0) + size(t_grams))"
+    coarse = f"filter(sequence(0, size(g) - 1, greatest(1, n_words DIV 20)), at -> {window('at', reach)})"
+    around = f"array_distinct(flatten(transform({coarse}, at -> sequence(greatest(at - {near}, 0), least(at + {near}, size(g) - 1)))))"
     coefficient = "2 * size(array_intersect(x, t_grams)) / (size(x) + size(t_grams))"
-    window = let("x", "array_distinct(slice(g, at + 1, n_words - 1))", coefficient)
-    best = let("g", let("w", words("text"), grams("w")), f"array_max(transform(sequence(0, size(g) - 1, {stride}), at -> {window}))")
+    best = let("g", let("w", words("text"), grams("w")), f"array_max(transform({around}, at -> {window('at', coefficient)}))")
     found = met.select("h1", "h2", "license", F.expr(best).alias("dice")).where(F.col("dice") >= t - 1e-9)
     return found.select("h1", "h2", "license", F.round("dice", 6).alias("dice")).distinct()  # rows of equal doc_id and text
 

@@ -58,7 +58,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(CONTROL)
     control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    back = chat.read_back(chat.render(chat.from_turn_rows(rows.unionByName(control))))
+    records = chat.dressed(chat.gathered(rows.unionByName(control)))
+    back = chat.read_back(chat.render(chat.canonical_places(records)))
     turns = F.expr(r"array_join(transform(turns_back, t -> concat(t.role, '\n', t.text, '\n')), '')")
     loss = F.array_join("loss_texts", "")
     return back.select(
@@ -150,7 +151,7 @@ d AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w
 c AS (SELECT doc_id, gram, name FROM (SELECT DISTINCT doc_id, unnest(g) AS gram FROM d) JOIN (SELECT name, unnest(g) AS gram FROM t) USING (gram)),
 k AS (SELECT doc_id, name FROM c JOIN t USING (name) GROUP BY doc_id, name, len(t.g) HAVING 3 * count(*) >= 2 * len(t.g)),
 x AS (SELECT doc_id, name, t.g AS tg, list_distinct(list_slice(d.g, p + 1, p + n_words - 1)) AS x
-      FROM (SELECT doc_id, name, unnest(range(0, len(d.g), greatest(1, n_words // 20))) AS p FROM k JOIN d USING (doc_id) JOIN t USING (name)) JOIN d USING (doc_id) JOIN t USING (name)),
+      FROM (SELECT doc_id, name, unnest(range(0, len(d.g))) AS p FROM k JOIN d USING (doc_id) JOIN t USING (name)) JOIN d USING (doc_id) JOIN t USING (name)),
 m AS (SELECT doc_id, name, round(max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))), 6) AS dice FROM x GROUP BY doc_id, name HAVING max(2 * len(list_intersect(x, tg)) / (len(x) + len(tg))) >= 0.8),
 a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY doc_id),
 b AS (SELECT doc_id, name AS best, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)

@@ -91,6 +91,35 @@ def test_turn_rows(spark):
     assert chat.from_turn_rows(df.limit(0)).count() == 0
 
 
+def test_turn_rows_go_through_their_fingerprints(spark):
+    rows = [(c, i, r, f"{c} {r} {i}") for c in range(80) for i, r in enumerate(["user", "assistant"] if c % 2 else ["system", "user", "assistant", "human"][: 1 + c % 4])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.dressed(chat.gathered(df))
+    out = chat.canonical_places(records)
+    assert {r.layout for r in out.collect()} == {"messages", "conversations", "data messages", "conversation", "prompt response"}
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out.collect()} == {c: [(r, t) for d, _, r, t in rows if d == c] for c in range(80)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" in plan.lower().replace("schemaofvariant", "schema_of_variant") and "try_variant_get" in plan.lower().replace("variantget", "try_variant_get")
+
+
+def replaced(text, share, rng):
+    w = text.split()
+    for i in rng.sample(range(len(w)), int(len(w) * share)):
+        w[i] = f"zz{i}"
+    return " ".join(w)
+
+
+def test_no_match_is_lost_between_offsets(spark):
+    rng, docs = random.Random(3), []
+    for name in ("MIT", "ISC", "BSD-3-Clause"):
+        for share in (0.08, 0.09, 0.1, 0.11):
+            docs += [(len(docs) + i, " ".join(f"a{j}" for j in range(rng.randrange(40))) + " " + replaced(licenses.TEMPLATES[name], share, rng) + " end of it") for i in range(2)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        want = {n: x for n in licenses.TEMPLATES if (x := round(best_window(text, licenses.TEMPLATES[n]), 6)) >= 0.8}
+        assert (got[d].licenses or "") == ",".join(sorted(want)) and got[d].dice == (max(want.values()) if want else None)
+
+
 def repeat_words(w):
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     return len({p for i, g in enumerate(grams) if grams.count(g) > 1 for p in range(i, i + 5)})
@@ -165,10 +194,10 @@ def normal_words(t):
 
 
 def best_window(text, template):
-    """The Dice coefficient of the template's best window, by plain loops."""
+    """The Dice coefficient of the template's best window at any offset, by plain loops."""
     w, x = normal_words(text), normal_words(template)
     grams = lambda v: set(zip(v, v[1:]))
-    windows = [grams(w[i : i + len(x)]) for i in range(0, max(1, len(w) - 1), max(1, len(x) // 20))]
+    windows = [grams(w[i : i + len(x)]) for i in range(max(1, len(w) - 1))]
     return max(2 * len(g & grams(x)) / (len(g) + len(grams(x))) for g in windows)
 
 
