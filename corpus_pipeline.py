@@ -2,7 +2,14 @@
 
 Languages (texts without a recognised language go), lines (those that repeat across documents go), near duplicates (one
 document of each group stays), the benchmark (documents with its passages go), and tokens. SQL can't train a classifier,
-so the pipeline has no SQL of its own and is tested against a plain version."""
+so the pipeline has no SQL of its own and is tested against a plain version.
+
+Defined cases, in every stage: columns besides doc_id and text stay as they are, whatever their names (``score``,
+``kept``, ``items``, ...), in all stages but the last, which does not carry them; an empty table stays empty; rows that
+repeat are documents each, and of near duplicates one row stays for each group (of rows with one doc_id the same number of
+rows as have that doc_id); texts are read whole, however long. Null and empty texts have no language and go in the first
+stage; a later stage that is given some keeps them (they have no lines, words or benchmark passages), and the last gives
+them no ids."""
 
 from __future__ import annotations
 
@@ -10,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe, decontaminate, lang_id, line_dedup, near_dup
-from statloom.llm.common import read, store
+from statloom.llm.common import fresh, read, store
 from statloom.llm.queries import tokenizer
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = lang_id.predict(docs, lang_id.train(docs), keep_columns=True)
-    return known.where("lang_pred <> 'und'").select(*docs.columns)
+    own = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]  # the caller's columns of these names stay
+    aside = dict(zip(own, fresh([*docs.columns, "lang_pred", "score"], *(f"own_{c}" for c in own)), strict=True))
+    known = lang_id.predict(docs.withColumnsRenamed(aside), lang_id.train(docs), keep_columns=True)
+    return known.where("lang_pred <> 'und'").select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

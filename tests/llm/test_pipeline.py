@@ -56,3 +56,27 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(30), SF).columns == docs.columns
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_defined_cases(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = [(900, None), (901, ""), (902, "123 ... 45"), (903, "the same words of this text again and again here\n" * 4000), (904, "one short text"), (904, "one short text")]
+    extra = spark.createDataFrame(odd, "doc_id long, text string")
+    docs = base.select("doc_id", "text", "lang").unionByName(extra, allowMissingColumns=True)
+    named = docs.selectExpr("doc_id", "text", "lang", "5 AS score", "'x' AS lang_pred", "7 AS `items`", "'k' AS kept", "1 AS key", "2 AS n_words", "3 AS component_id").cache()
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, named, SF)
+        assert out.columns == named.columns, name
+        rows = out.collect()
+        assert all((r.score, r.lang_pred, r["items"], r.kept, r.key, r.n_words, r.component_id) == (5, "x", 7, "k", 1, 2, 3) for r in rows), name
+        left = {r.doc_id for r in rows}
+        assert ({900, 901, 902} & left == set()) if name == "languages" else {900, 901, 902, 903, 904} <= left, name
+        assert [r.doc_id for r in rows].count(904) == 2, name
+        assert f(spark, named.limit(0), SF).count() == 0, name
+    last = {r.doc_id: r for r in stage("tokens")(spark, named, SF).collect()}
+    assert last[900].n_tokens == last[901].n_tokens == 0 and last[903].n_tokens > 20_000
+    assert stage("tokens")(spark, named.limit(0), SF).count() == 0
