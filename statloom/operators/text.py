@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import words
+from statloom.functions.numbers import let
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them (Spark compares without regard to case)."""
+    taken = {c.lower() for c in columns}
+    return [next(x for x in ("_" * k + name for k in range(len(taken) + 1)) if x.lower() not in taken) for name in names]
 
 
 def contains_any(text: Column, parts: list[str]) -> Column:
@@ -55,46 +62,162 @@ def digit_groups(line: Column) -> Column:
 
 
 def narrative_score(line: Column) -> Column:
-    low = F.lower(line)
-    money = F.regexp_count(low, F.lit(r"(?U)\b(?:руб|тыс|млн|млрд)\.?\b"))
-    bonus = F.when(line.contains(":") | line.contains("|") | line.contains("\t"), 2).otherwise(0)
-    return hits(low, words.FINANCIAL) * 4 + digit_groups(line) * 2 + money * 2 + bonus
+    return hits(F.lower(line), words.FINANCIAL) * 4 + digit_groups(line) * 2 + money_words(line) * 2 + structure(line)
+
+
+def money_words(line: Column) -> Column:
+    return F.regexp_count(F.lower(line), F.lit(r"(?U)\b(?:руб|тыс|млн|млрд)\.?\b"))
+
+
+def structure(line: Column) -> Column:
+    return F.when(line.contains(":") | line.contains("|") | line.contains("\t"), 2).otherwise(0)
 
 
 def extraction_score(line: Column) -> Column:
     low = F.lower(line)
     dense = F.when(digit_groups(line) >= 2, 3).otherwise(0)
-    return hits(low, list(words.LABELS)) * 6 + hits(low, words.TOTALS) * 3 + hits(low, words.UNITS) * 2 + digit_groups(line) * 2 + dense
+    return hits_of(low, sorted({k for ks in words.KEYWORDS.values() for k in ks})) * 6 + hits(low, words.TOTALS) * 3 + hits(low, words.UNITS) * 2 + digit_groups(line) * 2 + dense
 
 
 def first_of_each(lines: DataFrame) -> DataFrame:
     """The first of a document's lines that are equal but for case and blanks."""
     key = F.lower(squeezed(F.col("line")))
-    w = Window.partitionBy("doc", "_key").orderBy("line_no")
-    return lines.withColumn("_key", key).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_key", "_rn")
+    w = Window.partitionBy("doc", key).orderBy("line_no")
+    (n,) = fresh(lines.columns, "place")
+    return lines.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
+
+
+def trimmed_lines(text: Column) -> Column:
+    """The lines of a text as an array: control characters removed, ends trimmed."""
+    return F.transform(F.split(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def some_of(low: Column, parts: list[str]) -> Column:
+    """Whether a text has one of the parts, as one constant of any length."""
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p))
+
+
+def hits_of(low: Column, parts: list[str]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p)))
+
+
+def within_budget(lines: Column, max_chars: int) -> Column:
+    """The lines (in their order) up to the first that passes the budget of characters; the first line always stays."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.lit(0).cast("bigint").alias("chars"))
+
+    def step(s: Column, x: Column) -> Column:
+        full = s["full"] | ((s["n"] > 0) & (s["chars"] + F.length(x["line"]) + 1 > max_chars))
+        return F.struct((s["n"] + F.when(full, 0).otherwise(1)).alias("n"), full.alias("full"), (s["chars"] + F.length(x["line"]) + 1).cast("bigint").alias("chars"))
+
+    return F.slice(lines, F.lit(1), F.aggregate(lines, start, step)["n"])
+
+
+def best_lines(scored: Column, max_lines: int, max_chars: int) -> Column:
+    """Of (minus, at, line) the best by score, then place, in the order of their places, within the budget."""
+    top = F.slice(F.array_sort(scored), 1, max_lines)
+    ordered = F.array_sort(F.transform(top, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    return let(ordered, lambda lines: within_budget(lines, max_chars))
+
+
+def first_of_equals(lines: Column) -> Column:
+    """Of an array of (key, at, ...) the first of each key. Sorted, so that equals are neighbours."""
+    return let(F.array_sort(lines), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+
+
+def unless_empty(array: Column) -> Column:
+    """The rows whose array has elements. A generator: a filter would be pushed below and make the array again there."""
+    return F.explode(F.filter(F.array(array), lambda a: F.size(a) > 0))
 
 
 def compacted(docs: DataFrame, max_chars: int, max_lines: int = 120) -> DataFrame:
-    """doc, n_lines, compact: the best-scored lines in their order, within a budget of characters."""
-    fit = lines(docs).where((F.length("line") >= 5) & ~noise(F.col("line"))).where(contains_any(F.lower("line"), words.FINANCIAL) | F.col("line").rlike("[0-9]{3}"))
-    best = first_of_each(fit).withColumn("score", narrative_score(F.col("line")))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "line_no"))).where(F.col("rank") <= max_lines)
-    w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    over = (F.sum(F.length("line") + 1).over(w) > max_chars) & (F.count("*").over(w) > 1)
-    kept = best.withColumn("over", over.cast("int")).withColumn("over", F.max("over").over(w)).where("over = 0")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return kept.groupBy("doc").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("compact"))
+    """doc, n_lines, compact: the best-scored lines in their order, within a budget of characters. All of it within the row."""
+    fit = lambda x: (F.length(x["line"]) >= 5) & (x["line"].rlike("[0-9]{3}") | some_of(F.lower(x["line"]), words.FINANCIAL)) & ~noise(x["line"])
+    placed = F.transform(trimmed_lines(F.col("text")), lambda x, i: F.struct(F.lower(squeezed(x)).alias("key"), i.alias("at"), x.alias("line")))
+    score = lambda x: hits_of(F.lower(x), words.FINANCIAL) * 4 + digit_groups(x) * 2 + money_words(x) * 2 + structure(x)
+    scored = docs.select("doc", F.transform(first_of_equals(F.filter(placed, fit)), lambda x: F.struct((-score(x["line"])).alias("minus"), x["at"].alias("at"), x["line"].alias("line"))).alias("lines"))
+    kept = scored.select("doc", unless_empty(best_lines(F.col("lines"), max_lines, max_chars)).alias("kept"))
+    return kept.select("doc", F.size("kept").cast("bigint").alias("n_lines"), F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("compact"))
+
+
+def extraction_compacted(docs: DataFrame, max_chars: int, max_lines: int = 200) -> DataFrame:
+    """doc, n_lines, compact: lines that name a metric or total, have units and amounts, or several amounts; beside those that
+    name one, the lines before and after with amounts or units. Sentences without amounts are left out. Then as compacted.
+
+    Lines come in turn, each key once: a line that was taken as a neighbour takes none itself. So of a run of lines that
+    would each take the next, every second one takes its neighbours; the runs are read off a string of marks."""
+    metrics = sorted({k for ks in words.KEYWORDS.values() for k in ks})
+    low = lambda x: F.lower(x)
+    units = lambda x: some_of(low(x), words.UNITS)
+
+    def marked(x: Column, i: Column) -> Column:
+        quiet = (x == "") | noise(x)
+        named = ~quiet & some_of(low(x), metrics)
+        groups, count = digit_groups(x), F.regexp_count(x, F.lit(r"\S+"))
+        hit = named | (~quiet & some_of(low(x), words.TOTALS))
+        good = (F.length(x) >= 3) & ~quiet & ~((count > 20) & (groups == 0) & ~named) & (hit | (units(x) & (groups > 0)) | (groups >= 2))
+        return F.struct(F.lower(squeezed(x)).alias("key"), (~good).alias("bad"), i.alias("at"), x.alias("line"), hit.alias("hit"), (~quiet & ((groups > 0) | units(x))).alias("beside"))
+
+    base = docs.select("doc", F.transform(trimmed_lines(F.col("text")), marked).alias("lines"))
+    # The first good line of each key, back in the order of the text.
+    opening = lambda s: F.transform(s, lambda x, p: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["line"].alias("line"), x["hit"].alias("hit"), x["beside"].alias("beside"), (~x["bad"] & ((p == 0) | (F.get(s, p - 1)["key"] != x["key"]))).alias("first")))
+    first = base.select("doc", F.array_sort(let(F.array_sort("lines"), opening)).alias("l"))
+    linked = F.transform("l", lambda x, i: (i > 0) & x["first"] & x["beside"] & F.coalesce(F.get("l", i - 1)["first"] & F.get("l", i - 1)["hit"], F.lit(False)))
+    runs = F.regexp_extract_all(F.array_join(F.transform(linked, lambda b: F.when(b, "L").otherwise("U")), ""), F.lit("UL*"), F.lit(0))
+    place = F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(0), F.length(r) - 1)))
+    turns = first.select("doc", "l", place.alias("place"))
+    fires = lambda i: F.get("l", i)["first"] & (F.get("place", i) % 2 == 0)
+    at = F.filter(F.sequence(F.lit(0), F.size("l") - 1), fires)
+    event = lambda turn, kind, j: F.struct(F.get("l", j)["key"].alias("key"), turn.alias("turn"), F.lit(kind).alias("kind"), j.alias("at"), F.get("l", j)["line"].alias("line"))
+    taken = F.filter("at", lambda i: F.get("l", i)["hit"])
+    beside = lambda kind, d: F.filter(F.transform(F.filter(taken, lambda i: F.coalesce(F.get("l", i + d)["beside"], F.lit(False)) & (i + d >= 0)), lambda i: event(i, kind, i + d)), lambda e: e["line"].isNotNull())
+    events = turns.select("doc", "l", at.alias("at")).select("doc", F.concat(F.transform("at", lambda i: event(i, 0, i)), beside(1, -1), beside(2, 1)).alias("events"))
+    chosen = events.select("doc", first_of_equals(F.col("events")).alias("lines"))
+    score = lambda x: hits_of(low(x), metrics) * 6 + hits_of(low(x), words.TOTALS) * 3 + hits_of(low(x), words.UNITS) * 2 + digit_groups(x) * 2 + F.when(digit_groups(x) >= 2, 3).otherwise(0)
+    scored = chosen.select("doc", F.transform("lines", lambda x: F.struct((-score(x["line"])).alias("minus"), x["at"].alias("at"), x["line"].alias("line"))).alias("lines"))
+    kept = scored.select("doc", unless_empty(best_lines(F.col("lines"), max_lines, max_chars)).alias("kept"))
+    return kept.select("doc", F.size("kept").cast("bigint").alias("n_lines"), F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("compact"))
+
+
+def chunks(docs: DataFrame, size: int = 12_000, overlap: int = 200, most: int | None = 5) -> DataFrame:
+    """doc, chunk_no (from 0), chunk: paragraphs packed into chunks of a size, each begun with the end of the one before; a
+    paragraph above the size is cut into slices that overlap. most: how many chunks of a text are kept (None: all)."""
+    if not 0 < overlap < size:
+        raise ValueError("the overlap must be above 0 and below the size")
+    none = F.lit(None).cast("string")
+    state = lambda out, now, n: F.struct(out.alias("out"), now.alias("now"), n.cast("int").alias("n"))
+    close = lambda s: F.when(s["now"].isNotNull(), F.array_append(s["out"], s["now"])).otherwise(s["out"])
+
+    def step(s: Column, p: Column) -> Column:
+        slices = F.transform(F.sequence(F.lit(0), F.ceil((F.length(p) - size) / F.lit(float(size - overlap))).cast("int")), lambda k: F.substring(p, k * (size - overlap) + 1, F.lit(size)))
+        cut = state(F.concat(close(s), slices), none, F.lit(0))
+        tail = F.right(s["now"], F.lit(overlap))
+        full = s["now"].isNotNull() & (s["n"] + F.length(p) + 2 > size)
+        begun = F.when(tail != "", F.concat(tail, F.lit("\n\n"), p)).otherwise(p)
+        packed = F.when(full, state(close(s), begun, F.length(tail) + F.length(p) + 2)).otherwise(state(s["out"], F.when(s["now"].isNull(), p).otherwise(F.concat(s["now"], F.lit("\n\n"), p)), s["n"] + F.length(p) + 2))
+        return F.when(F.length(p) > size, cut).otherwise(packed)
+
+    paragraphs = F.split("text", "\n\n")
+    folded = F.aggregate(paragraphs, state(F.array().cast("array<string>"), none, F.lit(0)), step, close)
+    out = F.when(F.length("text") <= size, F.array("text")).otherwise(folded)
+    out = out if most is None else F.slice(out, 1, most)
+    return docs.where("text <> ''").select("doc", out.alias("chunks")).select("doc", F.posexplode("chunks").alias("chunk_no", "chunk"))
+
+
+def scale_of(text: Column) -> Column:
+    """1e9, 1e6, 1e3 or 1, from the lines around the first statement title that name one; without a title, from the head."""
+    split = F.filter(F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    titles = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t) + 80).alias("n")) for t in words.TITLES])
+    kind = lambda t: F.when(contains_any(t, words.BILLIONS), 1e9).when(contains_any(t, words.MILLIONS), 1e6).when(contains_any(t, words.THOUSANDS), 1e3)
+    region = lambda l, i: F.array_join(F.slice(l, F.greatest(i, F.lit(1)), F.when(i == 0, 6).otherwise(7)), "\n")
+
+    def found(l: Column) -> Column:
+        at = F.filter(F.transform(l, lambda x, i: F.when(F.exists(titles, lambda t: (F.length(x) <= t["n"]) & x.contains(t["t"])), i)), lambda i: i.isNotNull())
+        named = lambda at: F.try_element_at(F.filter(F.transform(at, lambda i: kind(region(l, i))), lambda v: v.isNotNull()), F.lit(1))
+        return let(at, lambda at: F.when(F.size(at) > 0, named(at)).otherwise(kind(F.substring(F.lower(text), 1, 1500))))
+
+    return F.coalesce(let(split, found), F.lit(1.0))
 
 
 def scale(docs: DataFrame) -> DataFrame:
-    """doc, scale: 1e9, 1e6, 1e3 or 1, from the lines around the first statement title that name one."""
-    split = F.filter(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    each = docs.select("doc", F.posexplode(split).alias("n", "line"))
-    w = Window.partitionBy("doc").orderBy("n")
-    title = reduce(lambda a, b: a | b, [F.col("line").contains(t) & (F.length("line") <= len(t) + 80) for t in words.TITLES])
-    region = each.withColumns({"title": title, "region": F.array_join(F.collect_list("line").over(w.rowsBetween(-1, 5)), "\n")}).where("title")
-    kind = lambda t: F.when(contains_any(t, words.BILLIONS), 1e9).when(contains_any(t, words.MILLIONS), 1e6).when(contains_any(t, words.THOUSANDS), 1e3)
-    found = region.groupBy("doc").agg(F.min(F.when(kind(F.col("region")).isNotNull(), F.struct("n", kind(F.col("region")).alias("s")))).alias("first"), F.lit(True).alias("titled"))
-    head = kind(F.substring(F.lower("text"), 1, 1500))
-    out = docs.join(found, "doc", "left")
-    return out.select("doc", F.coalesce(F.when(F.col("titled"), F.col("first.s")).otherwise(head), F.lit(1.0)).alias("scale"))
+    """doc, scale."""
+    return docs.select("doc", scale_of(F.col("text")).alias("scale"))

@@ -95,7 +95,10 @@ def t10_line_dedup(spark, sf):
     return kept.join(each.groupBy("doc").agg(F.count("*").alias("n_lines")), "doc")
 
 
-@query(f"{LINES} SELECT doc, line_no, {SCORE} AS narrative, {n_of('lower(line)', list(words.LABELS))} * 6 + {n_of('lower(line)', words.TOTALS)} * 3 + {n_of('lower(line)', words.UNITS)} * 2 + {GROUPS} * 2 + CASE WHEN {GROUPS} >= 2 THEN 3 ELSE 0 END AS extraction FROM lines")
+METRICS = [k.replace("'", "''") for k in sorted({k for ks in words.KEYWORDS.values() for k in ks})]
+
+
+@query(f"{LINES} SELECT doc, line_no, {SCORE} AS narrative, {n_of('lower(line)', METRICS)} * 6 + {n_of('lower(line)', words.TOTALS)} * 3 + {n_of('lower(line)', words.UNITS)} * 2 + {GROUPS} * 2 + CASE WHEN {GROUPS} >= 2 THEN 3 ELSE 0 END AS extraction FROM lines")
 def t11_t13_line_scores(spark, sf):
     each = text.lines(texts(spark, sf))
     return each.select("doc", "line_no", text.narrative_score(F.col("line")).alias("narrative"), text.extraction_score(F.col("line")).alias("extraction"))

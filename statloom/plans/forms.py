@@ -256,3 +256,45 @@ def g1_results_sanity(spark, sf):
     pairs = x.select("doc", part("r", "match_r", "qr").alias("revenue"), part("p", "'text'", "qp").alias("net_profit"), F.col("cr").cast("double").alias("revenue_code"), F.col("cp").cast("double").alias("profit_code"), "standalone")
     out = forms.results_sanity(pairs)
     return out.select("doc", F.col("revenue.value").alias("revenue"), F.col("net_profit.value").alias("net_profit"), F.array_join(F.transform("events", lambda e: e["reason"]), ",").alias("reasons"))
+
+
+# --- compaction and chunks ------------------------------------------------------------------------------------------
+
+FILLED = f"""concat_ws(chr(10), {case("'Выручка за год'", "'Total assets'", "'just some words'", "'itogo'", "''", "'Total'", "'page 1 of 9'", "'x' || o_orderkey")}, {AP} || ' тыс', 'prose ' || repeat('word ', 25), CASE WHEN o_orderkey % 3 = 0 THEN 'Total current assets ' || {AP} ELSE 'note 17' END,
+ {AP} || ' ' || {BP}, '2023', CASE WHEN o_orderkey % 2 = 0 THEN 'total CURRENT  assets ' || {AP} END, '12 ' || {BP}, '!!! -- ##', 'net income ' || {BP}, {BP} || ' млн', {AP} || ' руб')"""
+GOOD = f"""(length(line) >= 3 AND NOT {documents.NOISE} AND NOT (len(regexp_extract_all(line, '\\S+')) > 20 AND g = 0 AND NOT named) AND (named OR total OR (unit AND g > 0) OR g >= 2))"""
+EXTRACT = rf"""WITH RECURSIVE f AS (SELECT o_orderkey AS doc, string_split({FILLED}, chr(10)) AS l FROM orders), c AS (SELECT doc, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM f),
+m AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key, {documents.any_of('lower(line)', documents.METRICS)} AS named, {documents.any_of('lower(line)', documents.words.TOTALS)} AS total, {documents.any_of('lower(line)', documents.words.UNITS)} AS unit, {documents.GROUPS} AS g FROM c),
+e AS (SELECT doc, i, line, key, {GOOD} AS good, (named OR total) AND NOT {documents.NOISE} AS hit, NOT {documents.NOISE} AND (g > 0 OR unit) AS beside,
+ {documents.n_of('lower(line)', documents.METRICS)} * 6 + {documents.n_of('lower(line)', documents.words.TOTALS)} * 3 + {documents.n_of('lower(line)', documents.words.UNITS)} * 2 + g * 2 + CASE WHEN g >= 2 THEN 3 ELSE 0 END AS score FROM m),
+z AS (SELECT doc, list({{'line': line, 'key': key, 'good': good, 'hit': hit, 'beside': beside, 'score': score}} ORDER BY i) AS l FROM e GROUP BY doc),
+r AS (SELECT doc, l, 0 AS i, CAST([] AS VARCHAR[]) AS seen, CAST([] AS INTEGER[]) AS took FROM z
+ UNION ALL SELECT doc, l, i + 1, CASE WHEN ok THEN list_concat(list_append(seen, x.key), CASE WHEN b THEN [p.key] ELSE [] END, CASE WHEN a THEN [n.key] ELSE [] END) ELSE seen END, CASE WHEN ok THEN list_concat(list_append(took, i), CASE WHEN b THEN [i - 1] ELSE [] END, CASE WHEN a THEN [i + 1] ELSE [] END) ELSE took END
+ FROM (SELECT *, ok AND x.hit AND coalesce(p.beside, false) AND i > 0 AND NOT list_contains(list_append(seen, x.key), p.key) AS b, ok AND x.hit AND coalesce(n.beside, false) AND NOT list_contains(list_append(CASE WHEN i > 0 AND p.beside AND x.hit THEN list_append(seen, p.key) ELSE seen END, x.key), n.key) AS a
+  FROM (SELECT *, x.good AND NOT list_contains(seen, x.key) AS ok FROM (SELECT *, l[i + 1] AS x, CASE WHEN i > 0 THEN l[i] END AS p, l[i + 2] AS n FROM r WHERE i < len(l))))),
+t AS (SELECT r.doc, unnest(took) AS i FROM r WHERE i = len(l)), s AS (SELECT e.* FROM t JOIN e USING (doc, i)), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, i) <= 6),
+cum AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc ORDER BY i) AS n, row_number() OVER (PARTITION BY doc ORDER BY i) AS k FROM best), kept AS (SELECT *, max(CASE WHEN n > 100 AND k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY i) AS over FROM cum)
+SELECT doc, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS compact FROM kept WHERE over = 0 GROUP BY doc"""
+
+
+@query(EXTRACT)
+def t14_extraction_compacted(spark, sf):
+    """Lines of metrics, totals and amounts with their neighbours, at most six of them in 100 characters; the SQL goes line by line."""
+    from statloom.operators import text
+
+    return text.extraction_compacted(orders(spark, sf, FILLED), 100, 6)
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id AS doc, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents WHERE text <> ''), q AS (SELECT doc, text, string_split(text, chr(10) || chr(10)) AS l FROM p),
+f AS (SELECT doc, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS now, 0 AS n FROM q WHERE length(text) > 1200
+ UNION ALL SELECT doc, l, i + 1, CASE WHEN long THEN list_concat(shut, list_transform(range(0, CAST(ceil((length(x) - 1200) / 1000.0) AS INT) + 1), lambda k: substring(x, CAST(k * 1000 + 1 AS INT), 1200))) WHEN full_ THEN shut ELSE done END,
+  CASE WHEN long THEN NULL WHEN full_ THEN right(now, 200) || chr(10) || chr(10) || x WHEN now IS NULL THEN x ELSE now || chr(10) || chr(10) || x END, CASE WHEN long THEN 0 WHEN full_ THEN least(length(now), 200) + length(x) + 2 ELSE n + length(x) + 2 END
+ FROM (SELECT *, l[i] AS x, length(l[i]) > 1200 AS long, now IS NOT NULL AND n + length(l[i]) + 2 > 1200 AS full_, CASE WHEN now IS NULL THEN done ELSE list_append(done, now) END AS shut FROM f WHERE i <= len(l))),
+c AS (SELECT doc, CASE WHEN now IS NULL THEN done ELSE list_append(done, now) END AS chunks FROM f WHERE i = len(l) + 1 UNION ALL SELECT doc, [text] FROM q WHERE length(text) <= 1200)
+SELECT doc, CAST(unnest(range(0, len(chunks))) AS INT) AS chunk_no, md5(unnest(chunks)) AS chunk FROM c""")
+def t16_chunks(spark, sf):
+    """Paragraphs (sentences stand for them) packed into chunks of 1,200 characters with 200 of overlap, all of them."""
+    from statloom.operators import text
+
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return text.chunks(docs, 1200, 200, None).select("doc", "chunk_no", F.md5("chunk").alias("chunk"))
