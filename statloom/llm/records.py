@@ -130,7 +130,7 @@ class Parts:
     SPACED = re.compile(r" (?=\s|$)")
     MARKS = frozenset(".,;:!?)")
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,7 +155,9 @@ class Parts:
                 self.width[t["id"]] = len(t["content"].encode())
             self.letters = {b: c for c, b in byte_letters().items()}
             self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in self.MARKS}
-        self.remember, self.known = remember, {}
+            self.space, self.line = self.letters[32], np.array(self.library.encode("\n", add_special_tokens=False).ids, np.uint32).tobytes()
+            self.tokenize = self.library.model.tokenize
+        self.remember, self.known, self.recent, self.words = remember, {}, {}, {True: {}, False: {}}
 
     def cut(self, text: str) -> list[str]:
         """The parts, without the space before each but the first."""
@@ -170,41 +172,69 @@ class Parts:
                 out.append(p)
         return out
 
-    def learn(self, parts: list[str]) -> None:
+    def by_library(self, parts: list[str]) -> dict[str, bytes]:
         """Encodes the parts, each with a space before it, many to a text; the tokens' lengths say where each ends."""
+        out = {}
         groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
         for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             bytes_ = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1)
             cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), bytes_) + 4).tolist()
             coded = ids.tobytes()
-            self.known.update(zip(group, map(coded.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            out.update(zip(group, map(coded.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        return out
+
+    def word(self, p: str, spaced: bool) -> bytes | None:
+        """The ids of a part of letters, perhaps with a mark behind them, which is a token of its own: one word for the
+        library, so its model can merge it at once. None for other parts."""
+        base = p[:-1] if p[-1:] in self.MARKS else p
+        known = self.words[spaced].get(base)
+        if known is None:
+            if not base.isalpha():
+                return None
+            letters = base
+            if not base.isascii():
+                if max(base) > "ÿ":
+                    return None
+                letters = base.encode().decode("latin-1").translate(self.letters)
+            known = array("I", [t.id for t in self.tokenize(self.space + letters if spaced else letters)]).tobytes()
+            if len(base) <= 40:
+                self.words[spaced][base] = known
+        return known if base is p else known + self.marks[p[-1]]
+
+    def learnt(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of the parts, each with a space before it."""
+        out, rest = {}, []
+        for p in parts:
+            ids = self.word(p, True)
+            if ids is None and p.count("\n") == 1:  # two words on two lines
+                one, two = p.split("\n")
+                if (first := self.word(one, True) if one else None) and (second := self.word(two, False) if two else None):
+                    ids = first + self.line + second
+            if ids is None:
+                rest.append(p)
+            else:
+                out[p] = ids
+        return out | self.by_library(rest)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers."""
+        """The ids of each text as 32-bit numbers. A part that comes again moves from the recent ones to the known ones."""
         if not self.plain:
             return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
+        known, recent = self.known, self.recent
+        for held in (known, recent, *self.words.values()):
+            if len(held) > self.remember:
+                held.clear()
         split = [self.cut(t) for t in texts]
         firsts = [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast([s.pop(0) for s in split], add_special_tokens=False)]
-        new = set().union(*(set(s).difference(known) for s in split))
-        # A mark at the end of a part of letters is a token of its own, so the part without it is learnt, for other marks too.
-        marked = [p for p in new if p[-1:] in self.MARKS and p[:-1].isascii() and p[:-1].isalpha()]
-        plain = new.difference(marked).union(p[:-1] for p in marked).difference(known)
-        words = [p for p in plain if p.isalpha() and max(p) <= "ÿ"]  # one word each, so the library need not look for its bounds
-        tokenize, letters = self.library.model.tokenize, self.letters
-        for p in words:
-            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
-            known[p] = array("I", [t.id for t in tokenize(letters[32] + spelled)]).tobytes()
-        self.learn(list(plain.difference(words)))
-        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        out = [b"".join([f, *map(known.__getitem__, s)]) for f, s in zip(firsts, split, strict=True)]
-        for p in plain:
-            if len(p) > 100:
-                del known[p]
-        return out
+        found = [list(map(known.get, s)) for s in split]
+        new = {p for s, f in zip(split, found, strict=True) if None in f for p, x in zip(s, f, strict=True) if x is None}
+        again = {p: recent.pop(p) for p in new & recent.keys()}
+        known.update(again)
+        new = self.learnt(new.difference(again))
+        recent.update((p, x) for p, x in new.items() if len(p) <= 100)
+        new |= again
+        return [b"".join([a, *(f if None not in f else [new[p] if x is None else x for p, x in zip(s, f, strict=True)])]) for a, s, f in zip(firsts, split, found, strict=True)]
 
 
 @functools.lru_cache(2)
