@@ -158,3 +158,7 @@ LIABILITY_MARKS = [
     [["1700"]], [["1400"], ["1500"]], [["итого по разделу iv"], ["итого по разделу v", "итого по разделу у"]], [["total liabilities"], ["current liabilities", "non-current liabilities"]],
 ]
 HIDDEN_TEXT = "[DEMO: текст скрыт]"
+#: Words of financial tables, of their strong rows, and of tables that are none.
+TABLE_WORDS = ["выручка", "прибыль", "актив", "обязательств", "капитал", "revenue", "profit", "assets", "liabilities", "equity", "баланс", "отчёт", "финансов", "оборотн", "внеоборотн"]
+STRONG_ROWS = ["выручка", "прибыль за год", "прибыль за период", "чистая прибыль", "итого активы", "итого обязательства", "денежные средства", "капитал", "revenue", "net income", "net profit", "total assets", "total liabilities", "current assets", "stockholders' equity"]
+TABLE_NOISE = ["содержание", "аудиторское заключение", "основные принципы", "учетной политики", "table of contents", "independent auditor", "notes to"]

@@ -75,3 +75,36 @@ def applied(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def metric_summary(metric: Column, state: Column, source: Column, match: Column, sure: Column) -> Column:
+    """One sentence on how a metric came to its value."""
+    chosen = F.concat(metric, F.lit(": selected from "), source, F.lit("/"), match, F.lit(" with confidence "), F.format_number(sure, 2))
+    return F.when(state == "absent", F.concat(metric, F.lit(": no candidate selected"))).when(source.isNotNull(), chosen).otherwise(F.concat(metric, F.lit(": "), state))
+
+
+def completeness(metadata: DataFrame, merges: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """key, is_complete, missing, summary for each document of metadata (key, metric_key, source). A trace is incomplete where
+    a metric came from the model and there is no trace of the merge (merges: key, contributed, rejected as arrays)."""
+    docs = metadata.groupBy(key).agg(F.bool_or(F.col("source") == "llm").alias("from_model"))
+    merged = merges.groupBy(key).agg(F.sum(F.size("contributed")).alias("n_in"), F.sum(F.size("rejected")).alias("n_out"))
+    over = overrides.groupBy(key).agg(F.count_distinct("metric_key").alias("n_over"))
+    out = docs.join(merged, key, "left").join(over, key, "left")
+    missing = F.array_compact(F.array(F.when(F.col("from_model") & F.col("n_in").isNull(), F.lit("llm_merge_trace"))))
+    parts = F.array_compact(F.array(
+        F.when(F.col("n_in").isNotNull(), F.concat(F.lit("LLM: "), "n_in", F.lit(" contributed, "), "n_out", F.lit(" rejected"))),
+        F.when(F.col("n_over") > 0, F.concat(F.lit("Issuer overrides: "), "n_over", F.lit(" metrics"))),
+    ))
+    summary = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("No cross-cutting pipeline overrides applied")
+    return out.select(key, (F.size(missing) == 0).alias("is_complete"), F.array_join(missing, ",").alias("missing"), summary.alias("summary"))
+
+
+def shown_amount(v: Column) -> Column:
+    """An amount as a context record shows it: two digits, or grouped and whole above 100."""
+    return F.when(F.abs(v) > 100, F.format_number(v, 0)).otherwise(F.format_number(v, 2))
+
+
+def context_record(metrics: Column, ratios: Column, risks: Column, factors: Column, most: int = 3) -> Column:
+    """The context of a document as JSON: its metrics and ratios that are there, as shown, and its first risks and factors."""
+    shown = lambda m: F.transform_values(F.map_filter(m, lambda _, v: v.isNotNull()), lambda _, v: shown_amount(v))
+    return F.to_json(F.struct(shown(metrics).alias("metrics"), shown(ratios).alias("ratios"), F.slice(risks, 1, most).alias("risks"), F.slice(factors, 1, most).alias("key_factors")))

@@ -330,6 +330,38 @@ def heading_totals(rows: DataFrame, reach: int = 29) -> DataFrame:
 WHOLE = words.WHOLE_BALANCE
 
 
+def table_signals(rows: DataFrame) -> DataFrame:
+    """doc, table_no, n_rows, financial, statement_rows, keyword_rows, numeric_rows of each table (doc, table_no, row_no,
+    cells). Financial are tables with two words of statements (in all their rows together), or with one and a row with
+    digits, or with five rows that have a cell of six digits. A row's first two cells are its label."""
+    cells = F.filter(F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    base = rows.select("doc", "table_no", cells.alias("c"))
+    has = lambda low, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: low.contains(p))
+    text, label = F.lower(F.array_join("c", " ")), F.lower(F.array_join(F.slice("c", 1, 2), " "))
+    values = F.when(F.size("c") > 1, F.slice("c", 2, F.greatest(F.size("c"), F.lit(1)))).otherwise(F.col("c"))
+    number = first_number(values)
+    strong = has(label, words.STRONG_ROWS) & valid_value(first_number(F.slice("c", 2, F.greatest(F.size("c"), F.lit(1)))))
+    some = F.size("c") > 0
+    words_of = F.filter(F.array(*map(F.lit, words.TABLE_WORDS)), lambda p: text.contains(p))
+    each = base.select(
+        "doc", "table_no", words_of.alias("named"), (some & number.isNotNull()).alias("numeric"), (some & strong).alias("statement"), F.exists("c", lambda c: c.rlike("[0-9]")).alias("digits"),
+        F.exists("c", lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")) >= 6).alias("large"), (has(text, words.STRONG_ROWS).cast("int") - has(text, words.TABLE_NOISE).cast("int")).alias("points"),
+    )
+    tables = each.groupBy("doc", "table_no").agg(
+        F.count("*").alias("n_rows"), F.size(F.array_distinct(F.flatten(F.collect_set("named")))).alias("n_words"), F.count_if("large").alias("n_large"), F.count_if("digits").alias("n_digits"),
+        F.count_if("statement").alias("statement_rows"), F.sum("points").alias("keyword_rows"), F.count_if("numeric").alias("numeric_rows"),
+    )
+    financial = (F.col("n_words") >= 2) | ((F.col("n_words") >= 1) & (F.col("n_digits") >= 1)) | (F.col("n_large") >= 5)
+    return tables.select("doc", "table_no", "n_rows", financial.alias("financial"), "statement_rows", "keyword_rows", "numeric_rows")
+
+
+def best_tables(signals: DataFrame, more_than: int = 20, keep: int = 10) -> DataFrame:
+    """Of documents with more tables than that, the best by statement rows, rows with words, numeric rows and rows."""
+    order = Window.partitionBy("doc").orderBy(*(F.desc(c) for c in ("statement_rows", "keyword_rows", "numeric_rows", "n_rows")), "table_no")
+    ranked = signals.withColumns({"of": F.count("*").over(Window.partitionBy("doc")), "place": F.row_number().over(order)})
+    return ranked.where((F.col("of") <= more_than) | (F.col("place") <= keep)).drop("of", "place")
+
+
 # --- sanity of the results ------------------------------------------------------------------------------------------
 
 
