@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,17 @@ def digest64(items: list[bytes]) -> np.ndarray:
 def pair_of_longs(digests: list[bytes]) -> np.ndarray:
     """128-bit digests as rows of two signed 64-bit numbers."""
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2) if digests else np.empty((0, 2), "<i8")
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts with so many bytes of the column text at most; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        start, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and size + n > most_bytes:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if batch.num_rows > start:
+            yield batch.slice(start)

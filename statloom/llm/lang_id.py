@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from statloom.llm.common import cut
+from statloom.llm.common import cut, in_parts
 
 #: Families of ISO 639-1 codes. A language that is not here is a family of its own.
 FAMILY = {
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: dict, s: Settings = Settings(), keep_columns
         features, model = Features(s), shared.value
         families = sorted(set(model["family"].values()))
         members = {f: [x for x in model["langs"] if model["family"][x] == f] for f in families}
-        for batch in batches:
+        for batch in in_parts(batches, at):
             out = []
             for text in batch.column(at).to_pylist():
                 x = features(text) if families else None

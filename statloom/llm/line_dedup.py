@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import pair_of_longs, raw, store
+from statloom.llm.common import in_parts, pair_of_longs, raw, store
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -64,7 +64,7 @@ def line_keys(docs: DataFrame, min_chars: int, places: Places | None = None) ->
     only those whose shard has one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             digests, owner = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 if text:
@@ -355,7 +355,7 @@ def dedup(docs: DataFrame, index: LineIndex, keep_columns: bool = False) -> Data
     where = columns.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, where):
             out = [cut(t or b"", g) for t, g in zip(raw(batch.column(where)), batch.column(len(columns)).to_pylist(), strict=True)]
             text = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
             if keep_columns:
