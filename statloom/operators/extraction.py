@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import words
 from statloom.functions.numbers import materially_differs, parse_amount, valid_value
+from statloom.operators.text import fresh
 
 
 def first_number(cells: Column) -> Column:
@@ -40,7 +41,8 @@ def priority() -> Column:
 def winners(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The candidate of each key with the highest priority, then quality; the first of equals."""
     w = Window.partitionBy(*keys).orderBy(F.desc("priority"), F.desc("quality"), "seq")
-    return candidates.withColumn("priority", priority()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    (place,) = fresh([*candidates.columns, "priority"], "place")
+    return candidates.withColumn("priority", priority()).withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def conflicts(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +55,8 @@ def conflicts(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def gated(candidates: DataFrame, keys: list[str], gate: int) -> DataFrame:
     """Candidates of the stage gate exist only where no earlier stage reached priority 2."""
     before = F.max(F.when(F.col("stage") < gate, priority())).over(Window.partitionBy(*keys))
-    return candidates.withColumn("_before", F.coalesce(before, F.lit(0))).where((F.col("stage") < gate) | (F.col("_before") < 2)).drop("_before")
+    (held,) = fresh(candidates.columns, "held")
+    return candidates.withColumn(held, F.coalesce(before, F.lit(0))).where((F.col("stage") < gate) | (F.col(held) < 2)).drop(held)
 
 
 def kept_value(value: Column, confidence: Column, threshold: float = 0.5, override: Column | None = None) -> Column:

@@ -262,7 +262,7 @@ def cells_of(rows: DataFrame) -> Column:
 def by_label(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
     """doc, row_no, metric_key, value, quality: rows of three cells or more by their first cell. The first label in order
     decides, even if its row then gives nothing; amounts below 1000 are page numbers."""
-    label = F.lower(F.coalesce(F.col("cells")[0], F.lit("")))
+    label = F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     table = F.array(*[F.struct(F.lit(k.lower()).alias("label"), F.lit(m).alias("metric_key")) for k, m in labels.items()])
     metric = F.try_element_at(F.filter(table, lambda x: label.contains(x["label"])), F.lit(1))["metric_key"]
     hit = rows.where(F.size("cells") >= 3).select("doc", "row_no", metric.alias("metric_key"), label.alias("label"), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))).alias("rest")).where("metric_key IS NOT NULL")
@@ -280,7 +280,7 @@ def by_english_label(rows: DataFrame) -> DataFrame:
 
 def by_approximate_label(rows: DataFrame) -> DataFrame:
     """doc, row_no, metric_key, value, quality (75), reason: rows whose label stands for another metric."""
-    label = F.lower(F.coalesce(F.col("cells")[0], F.lit("")))
+    label = F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     to = F.coalesce(*[F.when(label.contains(k), F.struct(F.lit(m).alias("metric_key"), F.lit(r).alias("reason"))) for k, (m, r) in words.APPROXIMATE_LABELS.items()])
     hit = rows.where(F.size("cells") >= 3).select("doc", "row_no", to.alias("to"), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))).alias("rest")).where("to IS NOT NULL")
     return hit.select("doc", "row_no", "to.metric_key", given(valid(first_number(F.col("rest")))).alias("value"), F.lit(75).alias("quality"), "to.reason").where("abs(value) >= 1000")
@@ -290,7 +290,7 @@ def by_scanned_cell(rows: DataFrame) -> DataFrame:
     """doc, row_no, metric_key, value, quality: of rows that hold a scanned text, for each metric the first keyword with a
     valid number within 50 characters that are no digits. Keywords with brackets never match there."""
     number = r"([0-9]{1,3}(?:[ \t\xa0][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)"
-    scanned = rows.where((F.size("cells") >= 2) & (F.col("cells")[0] == "OCR_TEXT")).select("doc", "row_no", F.lower(F.col("cells")[1]).alias("low"))
+    scanned = rows.where((F.size("cells") >= 2) & (F.get("cells", F.lit(0)) == "OCR_TEXT")).select("doc", "row_no", F.lower(F.get("cells", F.lit(1))).alias("low"))
     named = scanned.select("doc", "row_no", "low", F.explode(F.filter(single_keywords(), lambda x: F.col("low").contains(x["keyword"]) & ~x["keyword"].contains("("))).alias("x"))
     raw = F.call_function("regexp_extract", F.col("low"), F.concat(F.lit(r"\Q"), "x.keyword", F.lit(rf"\E[^0-9]{{0,50}}{number}")), F.lit(1))
     read = named.select("doc", "row_no", "x.metric_key", "x.no", "x.keyword", given(valid(parse_amount(raw))).alias("value"))
@@ -316,7 +316,7 @@ def heading_totals(rows: DataFrame, reach: int = 29) -> DataFrame:
         heads = contains_any(F.col("text"), headings)
         bar = F.when(heads | contains_any(F.col("text"), ends), F.struct("row_no", (heads & ~contains_any(F.col("text"), longer)).alias("own"), F.lit(True).alias("bar")))
         last[metric] = (F.last(bar, ignorenulls=True).over(before), bar.isNull())
-    label = F.trim(F.lower(F.coalesce(F.col("cells")[0], F.lit(""))))
+    label = F.trim(F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))))
     total = contains_any(F.col("text"), ["итого", "total"])
     each = F.array(*[F.struct(F.lit(m).alias("metric_key"), F.when(free, bar).alias("bar")) for m, (bar, free) in last.items()])
     marked = base.select("doc", "table_no", "row_no", "cells", "bonus", label.isin("", "-", "—", "–").alias("bare"), total.alias("total"), each.alias("each"))

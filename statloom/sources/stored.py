@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statloom.operators.text import fresh
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); a temporary one only in a local
@@ -68,8 +70,11 @@ def export(sections: DataFrame, path: str, order: list[str], parts: int = 8) ->
 
 def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An export's rows with place, their number in the order of the files (from 0)."""
-    rows = spark.read.schema(schema).json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("at", F.monotonically_increasing_id())
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
-    within = Window.partitionBy("file").orderBy("at")
-    return rows.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(before.select("file", "before")), "file").withColumn("place", F.col("before") + F.col("k")).drop("file", "at", "k", "before")
+    rows = spark.read.schema(schema).json(path)
+    file, at, k, before = fresh([*rows.columns, "place"], "file", "at", "k", "before")
+    rows = rows.withColumn(file, F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn(at, F.monotonically_increasing_id())
+    sizes = rows.groupBy(file).agg(F.count("*").alias(k))
+    ahead = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each file
+    firsts = sizes.select(file, F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(before))
+    within = rows.withColumn(k, F.row_number().over(Window.partitionBy(file).orderBy(at)) - 1)
+    return within.join(F.broadcast(firsts), file).withColumn("place", F.col(before) + F.col(k)).drop(file, at, k, before)
