@@ -19,7 +19,7 @@ def test_best_line(spark):
     text = "Revenue grew, and a customer accounted for 10 000 000 of revenue\nRevenue 5 1 234 567 1 000 000\n\nTotal liabilities and shareholders’ equity 9 000 000\nTotal liabilities 4 000 000"
     docs = spark.createDataFrame([("a", text, 1), ("b", None, 2), ("c", "", 3)], "doc string, text string, line int")
     rows = {(r.doc, r.metric_key): r.value for r in reading.by_line(docs).collect()}
-    assert rows == {("a", "revenue"): 1234567.0, ("a", "liabilities"): 4000000.0}
+    assert rows == {("a", "revenue"): 1234567.0, ("a", "liabilities"): 4000000.0, ("a", "equity"): 9000000.0}
 
 
 def test_near_keyword(spark):
