@@ -49,6 +49,7 @@ class Settings:
     least: int = 10  # occurrences of a candidate
     contained: int = 50  # per cent of a phrase's occurrences inside a longer candidate, from which it is dropped
     top: int = 2000  # phrases of a language in the report
+    shares: int = 64  # of a language's candidates, each ranked by itself before the best are
     filter_bits: int = 26  # the filter of frequent words has 2 to this many bits
     hold: int = 1_500_000  # different edges that a task adds up before it passes them on
 
@@ -292,8 +293,11 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             one = one.join(inside(found, k, s), names(k), "left").where(F.coalesce(100 * F.col("most") < s.contained * F.col("a"), F.lit(True))).drop("most")
             one = one.withColumn("path_words", F.lit(k).cast("long"))
         parts.append(spelled(one, words, k).select("lang", "phrase", "a", "l", "r", "score", "path_words"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = functools.reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= s.top)
+    # A language may hold most candidates, so the best of each of its shares are taken first.
+    by = (F.desc("score"), F.desc("a"), "phrase")
+    ranked = lambda df, *group: df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by)).cast("long")).where(F.col("rank") <= s.top)
+    shares = functools.reduce(DataFrame.unionByName, parts).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(s.shares)))
+    top = ranked(ranked(shares, "lang", "share").drop("rank", "share"), "lang")
     totals = words.where("code is null").select("lang", "n")
     return top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "path_words")
 
