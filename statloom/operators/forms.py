@@ -19,8 +19,8 @@ from statloom.functions import words
 from statloom.functions.numbers import amount_after_code, let, parse_amount, preferred_scanned_amount, valid, valid_value
 from statloom.operators.decisions import label_quality
 from statloom.operators.extraction import first_number
-from statloom.operators.reading import by_line, given, keyword_table, line_score, single_keywords
-from statloom.operators.text import contains_any, plain_quotes
+from statloom.operators.reading import by_line, given, line_score, longest_keywords, single_keywords
+from statloom.operators.text import contains_any, plain_quotes, some_of
 
 CANDIDATE = ("doc", "metric_key", "value", "quality", "is_exact")
 BREAKS = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
@@ -122,8 +122,7 @@ def multiline_candidates(docs: DataFrame) -> DataFrame:
     stops = F.filter(F.transform("lines", lambda x, i: F.when(stop(x), i)), lambda i: i.isNotNull())
     marked = lines.select("doc", "has_tables", "lines", number_lines(F.col("lines")).alias("numbers"), stops.alias("stops")).select("doc", "has_tables", "numbers", "stops", F.posexplode("lines").alias("at", "line"))
     low, allowed = F.lower("line"), lambda m: F.col("has_tables") | m.isin(words.FORM_METRICS)
-    longest = lambda x: F.try_element_at(F.filter(x["keywords"], lambda k: low.contains(k)), F.lit(1))
-    each = F.filter(F.transform(keyword_table(True), lambda x: F.struct(x["metric_key"].alias("metric_key"), longest(x).alias("keyword"))), lambda x: x["keyword"].isNotNull() & allowed(x["metric_key"]))
+    each = F.filter(longest_keywords(low), lambda x: allowed(x["metric_key"]))
     hit = marked.select("*", F.explode(each).alias("x")).select("doc", "at", "line", "numbers", "stops", "x.*")
     rated = hit.select("*", label_quality(F.col("metric_key"), F.col("line")).alias("quality")).where("quality IS NOT NULL")
     profit = F.col("metric_key") == "net_profit"
@@ -264,7 +263,7 @@ def by_label(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
     decides, even if its row then gives nothing; amounts below 1000 are page numbers."""
     label = F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     table = F.array(*[F.struct(F.lit(k.lower()).alias("label"), F.lit(m).alias("metric_key")) for k, m in labels.items()])
-    metric = F.try_element_at(F.filter(table, lambda x: label.contains(x["label"])), F.lit(1))["metric_key"]
+    metric = let(label, lambda t: F.try_element_at(F.filter(table, lambda x: t.contains(x["label"])), F.lit(1)))["metric_key"]
     hit = rows.where(F.size("cells") >= 3).select("doc", "row_no", metric.alias("metric_key"), label.alias("label"), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))).alias("rest")).where("metric_key IS NOT NULL")
     rated = hit.select("doc", "row_no", "metric_key", given(valid(first_number(F.col("rest")))).alias("value"), label_quality(F.col("metric_key"), F.col("label")).alias("quality"))
     return rated.where("quality IS NOT NULL AND abs(value) >= 1000")
@@ -336,13 +335,13 @@ def table_signals(rows: DataFrame) -> DataFrame:
     digits, or with five rows that have a cell of six digits. A row's first two cells are its label."""
     cells = F.filter(F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
     base = rows.select("doc", "table_no", cells.alias("c"))
-    has = lambda low, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: low.contains(p))
+    has = some_of
     text, label = F.lower(F.array_join("c", " ")), F.lower(F.array_join(F.slice("c", 1, 2), " "))
     values = F.when(F.size("c") > 1, F.slice("c", 2, F.greatest(F.size("c"), F.lit(1)))).otherwise(F.col("c"))
     number = first_number(values)
     strong = has(label, words.STRONG_ROWS) & valid_value(first_number(F.slice("c", 2, F.greatest(F.size("c"), F.lit(1)))))
     some = F.size("c") > 0
-    words_of = F.filter(F.array(*map(F.lit, words.TABLE_WORDS)), lambda p: text.contains(p))
+    words_of = let(text, lambda t: F.filter(F.array(*map(F.lit, words.TABLE_WORDS)), lambda p: t.contains(p)))
     each = base.select(
         "doc", "table_no", words_of.alias("named"), (some & number.isNotNull()).alias("numeric"), (some & strong).alias("statement"), F.exists("c", lambda c: c.rlike("[0-9]")).alias("digits"),
         F.exists("c", lambda c: F.length(F.regexp_replace(c, "[^0-9]", "")) >= 6).alias("large"), (has(text, words.STRONG_ROWS).cast("int") - has(text, words.TABLE_NOISE).cast("int")).alias("points"),

@@ -40,7 +40,8 @@ def single_keywords() -> Column:
 
 def longest_keywords(low: Column) -> Column:
     """metric_key, keyword: the longest keyword of each metric that a text in lower case has."""
-    found = F.transform(keyword_table(True), lambda x: F.struct(x["metric_key"].alias("metric_key"), F.try_element_at(F.filter(x["keywords"], lambda k: low.contains(k)), F.lit(1)).alias("keyword")))
+    first = lambda x, t: F.try_element_at(F.filter(x["keywords"], lambda k: t.contains(k)), F.lit(1))
+    found = let(low, lambda t: F.transform(keyword_table(True), lambda x: F.struct(x["metric_key"].alias("metric_key"), first(x, t).alias("keyword"))))
     return F.filter(found, lambda x: x["keyword"].isNotNull())
 
 

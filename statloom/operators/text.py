@@ -94,11 +94,11 @@ def trimmed_lines(text: Column) -> Column:
 
 def some_of(low: Column, parts: list[str]) -> Column:
     """Whether a text has one of the parts, as one constant of any length."""
-    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p))
+    return let(low, lambda t: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: t.contains(p)))
 
 
 def hits_of(low: Column, parts: list[str]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: low.contains(p)))
+    return let(low, lambda t: F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: t.contains(p))))
 
 
 def within_budget(lines: Column, max_chars: int) -> Column:
