@@ -45,7 +45,11 @@ def r6_complete_metadata(spark, sf):
     return audit.complete(inputs, KEYS, KNOWN)
 
 
-@query(f"{documents.cells_sql()}, {documents.LABELS_SQL}, hit AS (SELECT doc, row_no, metric_key, v, 1 AS rn FROM cells JOIN labels_ ON labels_.label = cells.label) SELECT doc, metric_key, row_no, v * CASE WHEN CAST(right(doc, 4) AS INT) % 2 = 0 THEN 1e3 ELSE 1e6 END AS value FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
+#: Every label of the list with its place in it: the first that a row's label has decides.
+KEYED_LABELS = "labels_ AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, k.replace("'", "''"), m) for i, (k, m) in enumerate(words.LABELS.items())) + ") AS v(no, keyword, metric_key))"
+
+
+@query(f"{documents.cells_sql()}, {KEYED_LABELS}, hit AS (SELECT doc, row_no, metric_key, v, row_number() OVER (PARTITION BY doc, row_no ORDER BY no) AS rn FROM cells JOIN labels_ ON contains(lower(label), keyword)) SELECT doc, metric_key, row_no, v * CASE WHEN CAST(right(doc, 4) AS INT) % 2 = 0 THEN 1e3 ELSE 1e6 END AS value FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
 def r7_scaled_values(spark, sf):
     """Table values times the scale that the statement's text names."""
     scales = text.scale(documents.texts(spark, sf).where(F.col("doc").startswith("s")))

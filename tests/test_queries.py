@@ -38,3 +38,10 @@ def test_entry(spark):
 
     assert os.path.isdir(SF) and __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_scaled_values_try_every_label(duck):
+    """The SQL looks for each label of the list within a row's label; it does not know the printed ones beforehand."""
+    sql = plans.ORACLE["r7_scaled_values"]
+    longer = sql.replace("'Revenue' AS label", "'Our net sales and turnover' AS label")
+    assert longer != sql and sorted(duck.execute(longer).fetchall()) == sorted(duck.execute(sql).fetchall())
