@@ -1,6 +1,7 @@
 """Calibration suites: JSON files of cases with expectations, checked against their contract and compared with outcomes.
 
-A suite is one row (file, text). Cases are exploded once by a fixed schema; contract breaks are rows of a table of their
+A suite is one row (file, text), or several: parts of a bounded size, each with the suite's own fields and some of its
+cases, so that no task holds a suite whole. Cases are exploded once by a fixed schema; contract breaks are rows of a table of their
 own, so that a bad suite stops nothing and hides nothing. Outcomes are one row for each case (threshold and merge) or each
 expectation (parse), with what was expected and what came.
 
@@ -40,12 +41,16 @@ def read_suites(texts: DataFrame) -> DataFrame:
 
 def cases(suites: DataFrame) -> DataFrame:
     """file, suite_id, suite_tier, version, threshold and the case's fields, a row for each case."""
-    each = suites.where("suite IS NOT NULL").select("file", "suite.suite_id", "suite.suite_tier", "suite.version", F.coalesce("suite.threshold", F.lit(0.5)).alias("threshold"), F.explode("suite.cases").alias("case"))
+    # The suite's own fields are taken out first, or each case would carry its whole suite along; an outer generator, since
+    # for others the optimizer adds a filter that reads the text once more.
+    flat = suites.select("file", "suite.suite_id", "suite.suite_tier", "suite.version", F.coalesce("suite.threshold", F.lit(0.5)).alias("threshold"), "suite.cases")
+    each = flat.select("file", "suite_id", "suite_tier", "version", "threshold", F.posexplode_outer("cases").alias("at", "case")).where("at IS NOT NULL").drop("at")
     return each
 
 
 def violations(suites: DataFrame) -> DataFrame:
     """file, case_id, violation: every rule that a file or a case breaks."""
+    # Parts of one file break its rules once.
     whole = suites.groupBy().agg(F.count_distinct("suite.version").alias("n_versions"), F.count_distinct(F.coalesce("suite.threshold", F.lit(0.5))).alias("n_thresholds"))  # two numbers for all files
     files = suites.crossJoin(F.broadcast(whole)).select(
         "file", F.lit(None).cast("string").alias("case_id"),
@@ -53,7 +58,7 @@ def violations(suites: DataFrame) -> DataFrame:
             F.when(F.col("suite").isNull(), F.lit("no_object")), F.when(~F.col("suite.suite_tier").isin(TIERS), F.lit("suite_tier")), F.when(F.col("suite").isNotNull() & F.col("suite.suite_tier").isNull(), F.lit("suite_tier")),
             F.when(F.col("suite").isNotNull() & (F.col("n_versions") > 1), F.lit("versions_differ")), F.when(F.col("suite").isNotNull() & (F.col("n_thresholds") > 1), F.lit("thresholds_differ")),
         ))).alias("violation"),
-    )
+    ).distinct()
     c = lambda name: F.col(f"case.{name}")
     odd = F.size(F.array_except(F.coalesce(c("risk_tags"), F.array().cast("array<string>")), F.array(*map(F.lit, RISK_TAGS)))) > 0
     rules = [

@@ -1,4 +1,5 @@
-"""Queries over calibration suites, stored results, exports, traces and tables. Suites are JSON made of customers, a suite for each nation."""
+"""Queries over calibration suites, stored results, exports, traces and tables. Suites are JSON made of customers, a suite for each
+nation, in parts of a bounded number of cases."""
 
 from __future__ import annotations
 
@@ -31,6 +32,10 @@ CASES = """SELECT c_nationkey AS n, c_custkey AS c, 'n' || c_nationkey AS file,
  c_custkey % 9 = 0 AS exact, CASE WHEN c_custkey % 8 < 5 THEN 'table' ELSE 'text' END AS match, CAST(CASE WHEN c_custkey % 6 = 5 THEN 0.9 ELSE 0.6 END AS DOUBLE) AS sure, CASE WHEN c_custkey % 12 = 11 THEN NULL WHEN c_custkey % 4 = 1 THEN 1 ELSE 50 END AS times FROM {customer}"""
 
 
+#: A part of a suite holds the cases of so many customer keys at most.
+PART = 5_000
+
+
 def suites(spark, sf):
     x = spark.sql(CASES, customer=read(spark, sf, "customer"))
     expected = F.struct(F.col("survives"), (F.col("v") + F.when(F.col("c") % 10 == 0, 5).otherwise(0)).alias("value"), F.lit(1.0).alias("tolerance"), F.col("want_source").alias("expected_source"), F.col("strict").alias("source_strictness"), F.when(F.col("kind") == "merge", F.when(F.col("c") % 4 == 1, "fallback").otherwise("llm")).alias("winner"))
@@ -42,7 +47,8 @@ def suites(spark, sf):
         F.when((F.col("kind") == "parse") & (F.col("c") % 5 != 1), F.create_map(F.lit("revenue"), expected, F.lit("equity"), expected)).alias("expectations"),
         F.when(F.col("kind") == "merge", metadata(F.col("v"), F.col("sure"), "llm")).alias("llm_metadata"), F.when((F.col("kind") == "merge") & F.col("times").isNotNull(), metadata(F.col("v") * F.col("times"), F.lit(0.8), "table")).alias("fallback_metadata"),
     )
-    grouped = x.groupBy("n", "file", "suite", "tier", "version").agg(F.collect_list(case).alias("cases"))
+    part = F.floor(F.col("c") / PART)
+    grouped = x.groupBy("n", "file", "suite", "tier", "version", part.alias("part")).agg(F.collect_list(case).alias("cases"))
     text = F.to_json(F.struct("version", F.col("suite").alias("suite_id"), F.col("tier").alias("suite_tier"), F.when(F.col("n") == 5, 0.55).otherwise(0.5).alias("threshold"), "cases"))
     broken = F.when(F.col("n") == 9, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     return calibration.read_suites(grouped.select("file", broken.alias("text")))

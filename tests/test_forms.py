@@ -186,3 +186,17 @@ def test_contexts_and_traces(spark):
     got = {r.doc: (r.is_complete, r.missing, r.summary) for r in audit.completeness(meta, merges, over, "doc").collect()}
     none = "No cross-cutting pipeline overrides applied"
     assert got == {"x": (False, "llm_merge_trace", none), "y": (True, "", none), "z": (True, "", "LLM: 1 contributed, 2 rejected; Issuer overrides: 1 metrics")}
+
+
+def test_suites_in_parts(spark):
+    """A suite in two parts is the same suite: its own violations come once, its cases all, and no case carries its suite."""
+    cases = [{"case_id": str(i), "kind": "candidate_threshold", "candidate": {"value": 5.0, "match_type": "table"}} for i in range(4)]
+    whole = {"version": 2, "suite_id": "s", "suite_tier": "slow", "cases": cases}
+    halves = [("1", json.dumps({**whole, "cases": c})) for c in (cases[:2], cases[2:])]
+    read = lambda *texts: calibration.read_suites(spark.createDataFrame(list(texts), "file string, text string"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    one, two = read(("1", json.dumps(whole))), read(*halves)
+    assert rows(calibration.violations(one)) == rows(calibration.violations(two)) and calibration.cases(two).count() == 4
+    plan = calibration.cases(one)._jdf.queryExecution().optimizedPlan()
+    generate = next(line for line in plan.toString().split("\n") if "Generate" in line)
+    assert "suite#" not in generate
