@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.functions.numbers import let
+
 # --- fixed values ---------------------------------------------------------------------------------------------------
 
 #: Old metadata sources: source, match, mode, reason, override. Every other source is a derived one.
@@ -129,7 +131,12 @@ def guarded(facts: DataFrame, rules: list[tuple[str, str, str]] = GUARDRAILS) ->
 
 def label_quality(metric: Column, label: Column) -> Column:
     """The quality of a candidate by its metric and label; null where the label must not give one."""
-    low = F.trim(F.regexp_replace(F.lower(label), r"\s+", " "))
+    # Within lambdas: the label is put in lower case once, and the many tests do not make one method too long to be compiled.
+    return let(F.trim(F.regexp_replace(F.lower(label), r"\s+", " ")), lambda low: quality_of(metric, low))
+
+
+def quality_of(metric: Column, low: Column) -> Column:
+    """label_quality for a label in lower case with single blanks."""
     rules = [F.when(metric == m, F.when(~contains_any(low, rejected) & contains_any(low, totals), quality)) for m, (rejected, totals, quality) in LABEL_RULES.items()]
     owed = F.when(~contains_any(low, ["долгосрочн", "long-term", "non-current"]), F.when(contains_any(low, ["торговая и прочая дебиторская задолженность", "trade receivables"]), 88).when(contains_any(low, ["дебиторск", "receivable"]), 70))
     whole = (low.contains("совокупный финансовый результат периода") & ~contains_any(low, ["чистая прибыль", "2400"])) | (low.contains("total comprehensive income") & ~contains_any(low, ["net profit", "net income", "2400"]))

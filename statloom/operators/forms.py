@@ -29,7 +29,7 @@ BREAKS = "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 def signals(docs: DataFrame) -> DataFrame:
     """docs with form_like and balance_like: marks of the national forms, and of a balance or its sections' totals."""
     low = F.lower(plain_quotes(F.coalesce("text", F.lit(""))))
-    return docs.withColumns({"form_like": contains_any(low, words.FORM_MARKS), "balance_like": contains_any(low, words.BALANCE_FORM_MARKS)})
+    return docs.withColumns({"form_like": some_of(low, words.FORM_MARKS), "balance_like": some_of(low, words.BALANCE_FORM_MARKS)})
 
 
 def clean_lines(text: Column) -> Column:
@@ -117,14 +117,16 @@ def multiline_candidates(docs: DataFrame) -> DataFrame:
     """Of forms: for each metric the value on the line of its longest keyword or else on a following line of numbers (7
     lines, for the net profit 23, up to the comprehensive result), by the line's score; of equal scores the largest amount
     (the smallest of receivables), then the first. Forms without tables give six metrics only."""
-    lines = signals(docs).where("form_like").select("doc", "has_tables", clean_lines(F.col("text")).alias("lines"))
+    # No filter before the lines are there: it, and one that the optimizer adds to a generator, would make the lines again,
+    # and would do so before rows are dealt out.
+    lines = signals(docs).select("doc", "has_tables", F.when(F.col("form_like"), clean_lines(F.col("text"))).alias("lines"))
     stop = lambda x: F.lower(x).contains(words.COMPREHENSIVE[0]) & ~contains_any(F.lower(x), ["чистая прибыль", "2400"])
     stops = F.filter(F.transform("lines", lambda x, i: F.when(stop(x), i)), lambda i: i.isNotNull())
-    marked = lines.select("doc", "has_tables", "lines", number_lines(F.col("lines")).alias("numbers"), stops.alias("stops")).select("doc", "has_tables", "numbers", "stops", F.posexplode("lines").alias("at", "line"))
+    marked = lines.select("doc", "has_tables", "lines", number_lines(F.col("lines")).alias("numbers"), stops.alias("stops")).select("doc", "has_tables", "numbers", "stops", F.posexplode_outer("lines").alias("at", "line")).where("at IS NOT NULL")
     low, allowed = F.lower("line"), lambda m: F.col("has_tables") | m.isin(words.FORM_METRICS)
     each = F.filter(longest_keywords(low), lambda x: allowed(x["metric_key"]))
     hit = marked.select("*", F.explode(each).alias("x")).select("doc", "at", "line", "numbers", "stops", "x.*")
-    rated = hit.select("*", label_quality(F.col("metric_key"), F.col("line")).alias("quality")).where("quality IS NOT NULL")
+    rated = hit.select("*", given(label_quality(F.col("metric_key"), F.col("line"))).alias("quality"))
     profit = F.col("metric_key") == "net_profit"
     same = valid(preferred_scanned_amount(after(F.col("line"), F.col("keyword"))))
     later = following(F.col("numbers"), F.col("at"), F.when(profit, 23).otherwise(7), F.when(profit, F.col("stops")).otherwise(F.array().cast("array<int>")))
@@ -152,7 +154,7 @@ def broad_candidates(docs: DataFrame) -> DataFrame:
     raw = F.call_function("regexp_extract", F.col("low"), F.concat(F.lit(r"\Q"), "x.phrase", F.lit(r"\E"), "x.gap", F.lit(PATTERN_NUMBER)), F.lit(1))
     amount = let(raw, lambda r: F.when(~F.regexp_replace(r, "[^0-9]", "").rlike("^07[0-9]{4}"), parse_amount(r)))
     read = named.select("doc", "x.metric_key", "x.no", "x.phrase", given(amount).alias("value"))
-    rated = read.select("doc", "metric_key", "no", "value", label_quality(F.col("metric_key"), F.col("phrase")).alias("quality")).where("quality IS NOT NULL")
+    rated = read.select("doc", "metric_key", "no", "value", given(label_quality(F.col("metric_key"), F.col("phrase"))).alias("quality"))
     best = rated.groupBy("doc", "metric_key").agg(F.min_by(F.struct("value", "quality"), "no").alias("b"))
     return best.select("doc", "metric_key", "b.value", "b.quality", F.lit(False).alias("is_exact"))
 
@@ -210,9 +212,9 @@ def section_candidates(docs: DataFrame, earlier: DataFrame | None = None) -> Dat
 
 def results_section(lines: Column) -> Column:
     """The lines from the first heading of the results up to the next statement, or null."""
-    at = lambda marks, least: F.array_min(F.filter(F.transform(lines, lambda x, i: F.when((i > least) & contains_any(F.lower(x), marks), i)), lambda i: i.isNotNull()))
-    begin = at(words.RESULTS_START, F.lit(-1))
-    return let(begin, lambda b: F.when(b.isNotNull(), span(lines, b, F.coalesce(at(words.RESULTS_END, b), F.size(lines)))))
+    at = lambda lines, marks, least: F.array_min(F.filter(F.transform(lines, lambda x, i: F.when((i > least) & some_of(F.lower(x), marks), i)), lambda i: i.isNotNull()))
+    section = lambda lines: let(at(lines, words.RESULTS_START, F.lit(-1)), lambda b: F.when(b.isNotNull(), span(lines, b, F.coalesce(at(lines, words.RESULTS_END, b), F.size(lines)))))
+    return let(lines, section)
 
 
 def behind_anchor(line: Column, anchors: list[str]) -> Column:
@@ -234,7 +236,7 @@ def result_section_candidates(docs: DataFrame) -> DataFrame:
     """Revenue and net profit from the section of results of forms without tables: by code (110, 120), else on the line of
     a name (108, 110), else on the lines of numbers after it (104, 106); where the profit is named without a value, the
     comprehensive result (112)."""
-    forms = signals(docs).where("form_like AND NOT has_tables").select("doc", results_section(clean_lines(F.col("text"))).alias("lines")).where("lines IS NOT NULL")
+    forms = signals(docs).select("doc", given(F.when(F.col("form_like") & ~F.col("has_tables"), results_section(clean_lines(F.col("text"))))).alias("lines"))
     whole = lambda x: contains_any(F.lower(x), words.COMPREHENSIVE)
     each = forms.select("doc", "lines", number_lines(F.col("lines")).alias("numbers"), F.filter(F.transform("lines", lambda x, i: F.when(whole(x), i)), lambda i: i.isNotNull()).alias("stops"))
     lines, numbers, stops = F.col("lines"), F.col("numbers"), F.col("stops")

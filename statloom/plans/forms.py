@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statloom.functions import numbers
 from statloom.operators import forms
 from statloom.plans import documents
-from statloom.sources.facts import read
+from statloom.sources.facts import read, spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -32,7 +32,7 @@ NL = "chr(10)"
 
 def orders(spark, sf, text: str, tables: str = "false"):
     """doc, text, has_tables of each order."""
-    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.expr(text).alias("text"), F.expr(tables).alias("has_tables"))
+    return spread(read(spark, sf, "orders").select("o_orderkey", "o_totalprice")).select(F.col("o_orderkey").alias("doc"), F.expr(text).alias("text"), F.expr(tables).alias("has_tables"))
 
 
 def case(*parts: str, key: str = "o_orderkey % 8") -> str:

@@ -47,3 +47,17 @@ def test_demo_view(spark):
     one, two = (r.asDict() for r in reading.demo_view(df, F.lit(True)).orderBy("id").collect())
     assert one == {"id": 1, "metrics": {"m": "-XX,XXX", "n": None}, "ratios": {"r": "X"}, "text": "[DEMO: текст скрыт]", "score": 77}
     assert two == {"id": 2, "metrics": None, "ratios": None, "text": None, "score": 1}
+
+
+def test_lines_are_made_once_and_by_all_cores(spark):
+    """Orders in few files are dealt out before their texts are read, and no filter makes the lines again before that."""
+    from statloom.plans import QUERIES
+    from statloom.sources.facts import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() >= cores
+    assert spread(spark.range(0, 10, 1, 4 * cores)).rdd.getNumPartitions() == 4 * cores
+    for name in ("x5_following_lines", "x8_results_section"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        below = plan.toString().split("Repartition ")[-1]
+        assert "Repartition " in plan.toString() and "split(" not in below and "Filter" not in below
