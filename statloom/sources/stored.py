@@ -32,33 +32,34 @@ def payload(text: str = "text", tables: str = "tables", most_chars: int = 5000,
     return F.to_json(F.struct("filename", data.alias("data")), {"ignoreNullFields": "false"})
 
 
-def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row of each key: the one of the highest version."""
-    rest = [c for c in rows.columns if c not in (key, version)]
+def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row of each key: the one of the highest version. The rows are dealt by key first, so that each is sorted once."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
     best = F.max(F.struct(version, *rest)).alias("best")
-    return rows.groupBy(key).agg(best).select(key, *(F.col(f"best.{c}").alias(c) for c in rows.columns if c != key)).select(*rows.columns)
+    return rows.repartition(*keys).groupBy(*keys).agg(best).select(*(c if c in keys else F.col(f"best.{c}").alias(c) for c in rows.columns))
 
 
 def upsert(spark: SparkSession, batch: DataFrame, path: str, key: str, version: str, buckets: int = 16) -> None:
     """Merges a batch into the Parquet table at path by key. The table is laid out by buckets of the key's hash; only those
     that the batch touches are read and written anew, by dynamic overwrite, so that a batch that is run again changes
-    nothing and the work follows the batch. One writer at a time."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    new = latest(batch, key, version).withColumn("bucket", bucket)
+    nothing and the work follows the batch. One writer at a time.
+
+    Rows go over the network once and are written once: dynamic overwrite writes beside the table and puts the new folders
+    in the old ones' place when all rows have been read and written. Payloads are long and alike, so files are in zstd."""
+    new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = new
     try:
         old = spark.read.schema(new.schema).parquet(path)
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
-        kept = old.where(F.col("bucket").isin(touched)) if touched else old.limit(0)
-        merged = latest(kept.select(*new.columns).unionByName(new), key, version).withColumn("bucket", bucket)
     except Exception as x:  # noqa: BLE001  only a missing table is an empty one
         if "PATH_NOT_FOUND" not in str(x):
             raise
-        merged = new
-    # Read before the files are replaced: what is merged goes to a folder beside the table first.
-    staged = f"{path.rstrip('/')}.staged"
-    merged.write.mode("overwrite").parquet(staged)
-    out = spark.read.schema(merged.schema).parquet(staged)
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    else:
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        rows = old.where(F.col("bucket").isin(touched)).select(*new.columns).unionByName(new)
+    merged = latest(rows, ["bucket", key], version)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def export(sections: DataFrame, path: str, order: list[str], parts: int = 8) -> None:

@@ -200,3 +200,16 @@ def test_suites_in_parts(spark):
     plan = calibration.cases(one)._jdf.queryExecution().optimizedPlan()
     generate = next(line for line in plan.toString().split("\n") if "Generate" in line)
     assert "suite#" not in generate
+
+
+def test_upsert_writes_rows_once(spark, tmp_path):
+    """No second copy beside the table, long payloads alike take little room, and rows are dealt by key once."""
+    path = f"{tmp_path}/t"
+    rows = lambda v, n: spark.range(n).selectExpr("id AS k", f"{v} AS v", "repeat('x', 5000) || id AS x")
+    stored.upsert(spark, rows(1, 300), path, "k", "v")
+    stored.upsert(spark, rows(2, 100), path, "k", "v")
+    assert {(r.v, r.n) for r in spark.read.parquet(path).groupBy("v").agg(F.count("*").alias("n")).collect()} == {(1, 200), (2, 100)}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert all(p.name.endswith(".zstd.parquet") for p in tmp_path.rglob("*.parquet"))
+    plan = stored.latest(rows(1, 9), ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
