@@ -305,27 +305,35 @@ def heading_totals(rows: DataFrame, reach: int = 29) -> DataFrame:
 
     rows: doc, table_no, row_no, cells. A heading is carried forward over the rows of its table up to the next heading or the
     section's end. Within its reach, rows without a label or with a word for totals count: nearer ones more, those in whole
-    balances more, those in restated tables less. A mark counts where it stands whole in one row."""
-    text = F.lower(F.array_join("cells", " "))
+    balances more, those in restated tables less. A mark counts where it stands whole in one row.
+
+    Marks and amounts are read where the row is; a row with neither has no part in the result and is not shuffled."""
+    low = F.col("low")
+    label = F.trim(F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))))
+    marks = {"balance": contains_any(low, WHOLE[0]), "sources": contains_any(low, WHOLE[1]), "restated": contains_any(low, words.RESTATED), "bare": label.isin("", "-", "—", "–"), "total": contains_any(low, ["итого", "total"])}
+    for metric, (headings, ends, longer) in words.SECTIONS.items():
+        heads = contains_any(low, headings)
+        marks |= {f"bar of {metric}": heads | contains_any(low, ends), f"own {metric}": heads & ~contains_any(low, longer)}
+    bit = {name: 1 << i for i, name in enumerate(marks)}
+    has = lambda *names: F.col("marks").bitwiseAND(F.lit(sum(bit[n] for n in names))) != 0
+    base = rows.select("doc", "table_no", "row_no", "cells", F.lower(F.array_join("cells", " ")).alias("low"))
+    marked = base.select("doc", "table_no", "row_no", "cells", reduce(lambda x, y: x + y, [F.when(mark, bit[name]).otherwise(0) for name, mark in marks.items()]).alias("marks"))
+    told = marked.select("doc", "table_no", "row_no", "cells", F.explode(F.filter(F.array("marks"), lambda m: m != 0)).alias("marks"))
+    amount = F.when(has("bare", "total"), valid(first_number(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))))))
+    kept = F.filter(F.array(F.struct("marks", amount.alias("value"))), lambda x: x["value"].isNotNull() | (x["marks"].bitwiseAND(F.lit(~(bit["bare"] | bit["total"]))) != 0))
+    narrow = told.select("doc", "table_no", "row_no", F.explode(kept).alias("x")).select("doc", "table_no", "row_no", "x.marks", "x.value")
+
     table = Window.partitionBy("doc", "table_no")
     before = table.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.select("doc", "table_no", "row_no", "cells", text.alias("text"))
-    whole = F.max(contains_any(F.col("text"), WHOLE[0])).over(table) & F.max(contains_any(F.col("text"), WHOLE[1])).over(table)
-    base = base.withColumn("bonus", F.when(whole, 15).otherwise(0) - F.when(F.max(contains_any(F.col("text"), words.RESTATED)).over(table), 35).otherwise(0))
-    last = {}
-    for metric, (headings, ends, longer) in words.SECTIONS.items():
-        heads = contains_any(F.col("text"), headings)
-        bar = F.when(heads | contains_any(F.col("text"), ends), F.struct("row_no", (heads & ~contains_any(F.col("text"), longer)).alias("own"), F.lit(True).alias("bar")))
-        last[metric] = (F.last(bar, ignorenulls=True).over(before), bar.isNull())
-    label = F.trim(F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))))
-    total = contains_any(F.col("text"), ["итого", "total"])
-    each = F.array(*[F.struct(F.lit(m).alias("metric_key"), F.when(free, bar).alias("bar")) for m, (bar, free) in last.items()])
-    marked = base.select("doc", "table_no", "row_no", "cells", "bonus", label.isin("", "-", "—", "–").alias("bare"), total.alias("total"), each.alias("each"))
-    below = marked.where("bare OR total").select("*", F.explode(F.filter("each", lambda x: x["bar"]["own"] & (F.col("row_no") - x["bar"]["row_no"] <= reach))).alias("x"))
+    whole = F.max(has("balance")).over(table) & F.max(has("sources")).over(table)
+    bonus = F.when(whole, 15).otherwise(0) - F.when(F.max(has("restated")).over(table), 35).otherwise(0)
+    last = lambda m: F.last(F.when(has(f"bar of {m}"), F.struct("row_no", has(f"own {m}").alias("own"))), ignorenulls=True).over(before)
+    above = F.array(*[F.struct(F.lit(m).alias("metric_key"), F.when(~has(f"bar of {m}"), last(m)).alias("bar")) for m in words.SECTIONS])
+    seen = narrow.select("table_no", "row_no", "doc", "value", has("total").alias("total"), bonus.alias("bonus"), above.alias("above"))
+    below = seen.where("value IS NOT NULL").select("*", F.explode(F.filter("above", lambda x: x["bar"]["own"] & (F.col("row_no") - x["bar"]["row_no"] <= reach))).alias("x"))
     score = 100 + F.col("bonus") - (F.col("row_no") - F.col("x.bar.row_no")) - F.when(F.col("total"), 0).otherwise(4)
-    read = below.select("doc", "table_no", "row_no", "x.metric_key", score.alias("score"), given(valid(first_number(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1)))))).alias("value"))
-    best = F.max_by("value", F.struct("score", F.abs("value"), -F.col("table_no"), -F.col("row_no")))
-    return read.groupBy("doc", "metric_key").agg(best.alias("value")).select("doc", "metric_key", "value", F.lit(112).alias("quality"))
+    best = F.max_by("value", F.struct(score.alias("score"), F.abs("value"), -F.col("table_no"), -F.col("row_no")))
+    return below.groupBy("doc", F.col("x.metric_key").alias("metric_key")).agg(best.alias("value")).select("doc", "metric_key", "value", F.lit(112).alias("quality"))
 
 
 WHOLE = words.WHOLE_BALANCE

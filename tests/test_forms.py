@@ -90,6 +90,23 @@ def test_heading_totals(spark):
     assert forms.heading_totals(rows_of(spark, *rows).limit(0)).count() == 0
 
 
+def test_heading_totals_shuffle_marks_only(spark):
+    """Cells stay where they are; marks of the whole table, also far from a total, still count."""
+    table = lambda no, *rows: [("t", no, i, list(r)) for i, r in enumerate(rows)]
+    filler = [("Stocks", "2,000")] * 20
+    plain = table(0, ("Current assets", ""), *filler[:3], ("", "5,000"))
+    restated = table(1, ("как пересчитано",), *filler, ("Current assets", ""), ("", "6,000"))
+    whole = table(2, ("Current assets", ""), *filler[:9], ("", "7,000"), *filler, ("Total assets", "9,000"), ("Equity and liabilities", ""))
+    empty = table(3, ("Current assets", ""), ("", "no amount"), ("Total", ""))
+    rows = lambda *tables: forms.heading_totals(spark.createDataFrame(sum(tables, []), "doc string, table_no int, row_no int, cells array<string>"))
+    value = lambda *tables: [r.value for r in rows(*tables).collect()]
+    assert value(plain, restated) == [5000.0] and value(plain, restated, whole) == [7000.0] and value(restated) == [6000.0] and value(empty) == []
+    query = rows(plain)._jdf.queryExecution()
+    text_ = query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffles = [block for block in text_.split("\n\n") if ") Exchange" in block.split("\n")[0]]
+    assert shuffles and not any("cells#" in block or "low#" in block for block in shuffles)
+
+
 def test_results_sanity(spark):
     side = "struct<value: double, match_type: string, is_exact: boolean, quality: int>"
     t = lambda v, match="text", exact=True, q=60: (v, match, exact, q)
