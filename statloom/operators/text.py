@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,8 +54,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def noise(line: Column) -> Column:
-    marks = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]", ""))
-    return (line == "") | line.rlike(r"^[0-9]{4}$") | line.rlike(r"(?iu)^(страница\s+[0-9]+(\s+из\s+[0-9]+)?|page\s+[0-9]+(\s+of\s+[0-9]+)?)$") | line.rlike(r"^[0-9]+\s*/\s*[0-9]+$") | (marks / F.length(line) > 0.35)
+    marks = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]+", ""))
+    alone = r"[0-9]{4}|[0-9]+\s*/\s*[0-9]+|страница\s+[0-9]+(?:\s+из\s+[0-9]+)?|page\s+[0-9]+(?:\s+of\s+[0-9]+)?"
+    return (line == "") | line.rlike(rf"(?iu)^(?:{alone})$") | (marks / F.length(line) > 0.35)
 
 
 def digit_groups(line: Column) -> Column:
@@ -92,13 +94,33 @@ def trimmed_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
+def by_root(parts: list[str], least: int = 5) -> list[tuple[str, list[str]]]:
+    """The parts in groups that share a root, so that a text without a root has none of its group: the substring (of at least
+    so many characters, or a whole part) that most of the parts left have, then the next."""
+    left, out = list(parts), []
+    while left:
+        of = Counter(x for p in left for x in {p[i:j] for i in range(len(p)) for j in range(i + min(least, len(p)), len(p) + 1)})
+        root = max(of, key=lambda x: (of[x], len(x), x))
+        out.append((root, [p for p in left if root in p]))
+        left = [p for p in left if root not in p]
+    return out
+
+
+def rooted(parts: list[str]) -> Column:
+    """The groups of the parts as one constant: root, n (how many parts are the root itself), the others."""
+    others = lambda root, group: F.array(*[F.lit(p) for p in group if p != root]).cast("array<string>")
+    return F.array(*[F.struct(F.lit(root).alias("root"), F.lit(group.count(root)).alias("n"), others(root, group).alias("others")) for root, group in by_root(parts)])
+
+
 def some_of(low: Column, parts: list[str]) -> Column:
     """Whether a text has one of the parts, as one constant of any length."""
-    return let(low, lambda t: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: t.contains(p)))
+    return let(low, lambda t: F.exists(rooted(parts), lambda g: t.contains(g["root"]) & ((g["n"] > 0) | F.exists(g["others"], lambda p: t.contains(p)))))
 
 
 def hits_of(low: Column, parts: list[str]) -> Column:
-    return let(low, lambda t: F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: t.contains(p))))
+    """How many of the parts a text has."""
+    count = lambda t, n, g: n + g["n"] + F.size(F.filter(g["others"], lambda p: t.contains(p)))
+    return let(low, lambda t: F.aggregate(F.filter(rooted(parts), lambda g: t.contains(g["root"])), F.lit(0), lambda n, g: count(t, n, g)))
 
 
 def within_budget(lines: Column, max_chars: int) -> Column:
@@ -114,14 +136,14 @@ def within_budget(lines: Column, max_chars: int) -> Column:
 
 def best_lines(scored: Column, max_lines: int, max_chars: int) -> Column:
     """Of (minus, at, line) the best by score, then place, in the order of their places, within the budget."""
-    top = F.slice(F.array_sort(scored), 1, max_lines)
-    ordered = F.array_sort(F.transform(top, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    top = F.slice(F.sort_array(scored), 1, max_lines)
+    ordered = F.sort_array(F.transform(top, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
     return let(ordered, lambda lines: within_budget(lines, max_chars))
 
 
 def first_of_equals(lines: Column) -> Column:
     """Of an array of (key, at, ...) the first of each key. Sorted, so that equals are neighbours."""
-    return let(F.array_sort(lines), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    return let(F.sort_array(lines), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
 
 
 def unless_empty(array: Column) -> Column:
@@ -146,34 +168,38 @@ def extraction_compacted(docs: DataFrame, max_chars: int, max_lines: int = 200)
     Lines come in turn, each key once: a line that was taken as a neighbour takes none itself. So of a run of lines that
     would each take the next, every second one takes its neighbours; the runs are read off a string of marks."""
     metrics = sorted({k for ks in words.KEYWORDS.values() for k in ks})
-    low = lambda x: F.lower(x)
-    units = lambda x: some_of(low(x), words.UNITS)
-
-    def marked(x: Column, i: Column) -> Column:
-        quiet = (x == "") | noise(x)
-        named = ~quiet & some_of(low(x), metrics)
-        groups, count = digit_groups(x), F.regexp_count(x, F.lit(r"\S+"))
-        hit = named | (~quiet & some_of(low(x), words.TOTALS))
-        good = (F.length(x) >= 3) & ~quiet & ~((count > 20) & (groups == 0) & ~named) & (hit | (units(x) & (groups > 0)) | (groups >= 2))
-        return F.struct(F.lower(squeezed(x)).alias("key"), (~good).alias("bad"), i.alias("at"), x.alias("line"), hit.alias("hit"), (~quiet & ((groups > 0) | units(x))).alias("beside"))
-
-    base = docs.select("doc", F.transform(trimmed_lines(F.col("text")), marked).alias("lines"))
+
+    # What is costly is found once for each line, in stages; noise only for lines with something to take, keys for the rest of these.
+    def told(x: Column) -> Column:
+        found = lambda low: F.struct(x.alias("line"), hits_of(low, metrics).alias("named"), hits_of(low, words.TOTALS).alias("totals"), hits_of(low, words.UNITS).alias("units"), digit_groups(x).alias("groups"))
+        return let(F.lower(x), found)
+
+    def heard(x: Column) -> Column:
+        return F.struct(x.alias("x"), ((x["named"] + x["totals"] + x["units"] + x["groups"] > 0) & ~noise(x["line"])).alias("loud"))
+
+    def marked(y: Column, i: Column) -> Column:
+        x, loud = y["x"], y["loud"]
+        line, named, groups, hit = x["line"], x["named"] > 0, x["groups"], x["named"] + x["totals"] > 0
+        good = loud & (F.length(line) >= 3) & ~((groups == 0) & ~named & (F.regexp_count(line, F.lit(r"\S+")) > 20)) & (hit | ((x["units"] > 0) & (groups > 0)) | (groups >= 2))
+        score = x["named"] * 6 + x["totals"] * 3 + x["units"] * 2 + groups * 2 + F.when(groups >= 2, 3).otherwise(0)
+        key = F.when(loud, F.lower(squeezed(line))).otherwise("")
+        return F.struct(key.alias("key"), (~good).alias("bad"), i.alias("at"), line.alias("line"), (loud & hit).alias("hit"), (loud & ((groups > 0) | (x["units"] > 0))).alias("beside"), (-score).alias("minus"))
+
+    base = docs.select("doc", F.transform(F.transform(F.transform(trimmed_lines(F.col("text")), told), heard), marked).alias("lines"))
     # The first good line of each key, back in the order of the text.
-    opening = lambda s: F.transform(s, lambda x, p: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["line"].alias("line"), x["hit"].alias("hit"), x["beside"].alias("beside"), (~x["bad"] & ((p == 0) | (F.get(s, p - 1)["key"] != x["key"]))).alias("first")))
-    first = base.select("doc", F.array_sort(let(F.array_sort("lines"), opening)).alias("l"))
+    opening = lambda s: F.transform(s, lambda x, p: F.struct(*[x[c].alias(c) for c in ("at", "key", "line", "hit", "beside", "minus")], (~x["bad"] & ((p == 0) | (F.get(s, p - 1)["key"] != x["key"]))).alias("first")))
+    first = base.select("doc", F.sort_array(let(F.sort_array("lines"), opening)).alias("l"))
     linked = F.transform("l", lambda x, i: (i > 0) & x["first"] & x["beside"] & F.coalesce(F.get("l", i - 1)["first"] & F.get("l", i - 1)["hit"], F.lit(False)))
     runs = F.regexp_extract_all(F.array_join(F.transform(linked, lambda b: F.when(b, "L").otherwise("U")), ""), F.lit("UL*"), F.lit(0))
     place = F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(0), F.length(r) - 1)))
-    turns = first.select("doc", "l", place.alias("place"))
-    fires = lambda i: F.get("l", i)["first"] & (F.get("place", i) % 2 == 0)
-    at = F.filter(F.sequence(F.lit(0), F.size("l") - 1), fires)
-    event = lambda turn, kind, j: F.struct(F.get("l", j)["key"].alias("key"), turn.alias("turn"), F.lit(kind).alias("kind"), j.alias("at"), F.get("l", j)["line"].alias("line"))
+    # Bound by let: as a column of its own it would be made again for each line, in the lambda.
+    at = let(place, lambda turn: F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i)["first"] & (F.get(turn, i) % 2 == 0)))
+    event = lambda turn, kind, j: F.struct(F.get("l", j)["key"].alias("key"), turn.alias("turn"), F.lit(kind).alias("kind"), j.alias("at"), F.get("l", j)["line"].alias("line"), F.get("l", j)["minus"].alias("minus"))
     taken = F.filter("at", lambda i: F.get("l", i)["hit"])
     beside = lambda kind, d: F.filter(F.transform(F.filter(taken, lambda i: F.coalesce(F.get("l", i + d)["beside"], F.lit(False)) & (i + d >= 0)), lambda i: event(i, kind, i + d)), lambda e: e["line"].isNotNull())
-    events = turns.select("doc", "l", at.alias("at")).select("doc", F.concat(F.transform("at", lambda i: event(i, 0, i)), beside(1, -1), beside(2, 1)).alias("events"))
+    events = first.select("doc", "l", at.alias("at")).select("doc", F.concat(F.transform("at", lambda i: event(i, 0, i)), beside(1, -1), beside(2, 1)).alias("events"))
     chosen = events.select("doc", first_of_equals(F.col("events")).alias("lines"))
-    score = lambda x: hits_of(low(x), metrics) * 6 + hits_of(low(x), words.TOTALS) * 3 + hits_of(low(x), words.UNITS) * 2 + digit_groups(x) * 2 + F.when(digit_groups(x) >= 2, 3).otherwise(0)
-    scored = chosen.select("doc", F.transform("lines", lambda x: F.struct((-score(x["line"])).alias("minus"), x["at"].alias("at"), x["line"].alias("line"))).alias("lines"))
+    scored = chosen.select("doc", F.transform("lines", lambda x: F.struct(x["minus"].alias("minus"), x["at"].alias("at"), x["line"].alias("line"))).alias("lines"))
     kept = scored.select("doc", unless_empty(best_lines(F.col("lines"), max_lines, max_chars)).alias("kept"))
     return kept.select("doc", F.size("kept").cast("bigint").alias("n_lines"), F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("compact"))
 

@@ -230,3 +230,23 @@ def test_upsert_writes_rows_once(spark, tmp_path):
     assert all(p.name.endswith(".zstd.parquet") for p in tmp_path.rglob("*.parquet"))
     plan = stored.latest(rows(1, 9), ["k"], "v")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_parts_by_root(spark):
+    """Groups by root find each part wherever it stands, parts within parts and repeated ones too."""
+    from statloom.functions import words
+
+    for parts in (sorted({k for ks in words.KEYWORDS.values() for k in ks}), words.UNITS, words.FINANCIAL, ["ab", "b", "ab", "cabd"], ["x"]):
+        groups = text.by_root(parts)
+        assert sorted(p for _, group in groups for p in group) == sorted(parts) and all(root in p for root, group in groups for p in group)
+        lines = [*parts, *(f"{a} {b}" for a, b in zip(parts, parts[1:])), *(root for root, _ in groups), "", "no words", " and ", None]
+        got = spark.createDataFrame([(x,) for x in lines], "x string").coalesce(1).select("x", text.hits_of(F.col("x"), parts).alias("n"), text.some_of(F.col("x"), parts).alias("some")).collect()
+        assert {r.x: (r.n, r.some) for r in got} == {x: (0, None) if x is None else (sum(p in x for p in parts), any(p in x for p in parts)) for x in lines}
+    assert len(text.by_root(sorted({k for ks in words.KEYWORDS.values() for k in ks}))) < 50  # of 157
+
+
+def test_compaction_finds_places_once(spark):
+    """The runs of a text's lines are read off once, not for each line: no pattern within a lambda over the lines' places."""
+    plan = text.extraction_compacted(spark.createDataFrame([("a", "x")], "doc string, text string"), 100)._jdf.queryExecution().optimizedPlan().toString()
+    inside = plan[plan.index("sequence(0, (size(l#") :]
+    assert "UL*" not in inside[: inside.index("AS at#")]
