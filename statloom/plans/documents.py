@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import dims, numbers, words
 from statloom.operators import extraction, forms, text
-from statloom.sources.facts import FACTS_DUCK, read, statement_facts
+from statloom.sources.facts import FACTS_DUCK, read, spread, statement_facts
 
 QUERIES, ORACLE = {}, {}
 
@@ -38,13 +38,14 @@ KEY = r"lower(trim(regexp_replace(line, '\s+', ' ', 'g')))"
 SCORE = rf"({n_of('lower(line)', words.FINANCIAL)} * 4 + {GROUPS} * 2 + 2 * len(regexp_extract_all(' ' || lower(line) || ' ', '[^\p{{L}}\p{{N}}_](руб|тыс|млн|млрд)\b')) + CASE WHEN contains(line, ':') OR contains(line, '|') OR contains(line, chr(9)) THEN 2 ELSE 0 END)"
 
 
-def texts(spark, sf):
-    """Statements printed as text, and the documents."""
+def texts(spark, sf, dealt=False):
+    """Statements printed as text, and the documents; dealt to all cores for work on each line, as a file may be one task."""
     facts = statement_facts(spark, sf)
     rows = [F.concat(F.lit(f"{label} "), F.format_number(F.floor(F.col(key) / 1000).cast("bigint"), 0)) for key, label in words.PRINTED.items()]
     unit = F.when(F.col("fy") % 2 == 0, "in thousands").otherwise("all amounts in millions of rubles")
     printed = facts.select(F.concat(F.lit("s"), "entity_id", F.lit("-"), "period_label").alias("doc"), F.concat_ws("\n", F.lit("Balance sheet"), unit, *rows, F.lit("page 1 of 2"), F.lit("1999"), F.lit("Revenue   of the year: growth and risk")).alias("text"))
-    return printed.union(read(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), "doc_id"), "text"))
+    documents = read(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), "doc_id"), "text")
+    return printed.union(spread(documents) if dealt else documents)
 
 
 @query(f"WITH {TEXTS} SELECT doc, length(text) AS n_chars FROM texts")
@@ -74,7 +75,7 @@ t AS (SELECT doc, n, {scale_case('region')} AS s FROM w WHERE {" OR ".join(f"(co
 g AS (SELECT doc, arg_min(s, n) FILTER (s IS NOT NULL) AS s FROM t GROUP BY doc)
 SELECT texts.doc, CAST(coalesce(CASE WHEN g.doc IS NOT NULL THEN g.s ELSE {scale_case('lower(text)[1:1500]')} END, 1.0) AS DOUBLE) AS scale FROM texts LEFT JOIN g ON g.doc = texts.doc""")
 def t3_scale(spark, sf):
-    return text.scale(texts(spark, sf))
+    return text.scale(texts(spark, sf, dealt=True))
 
 
 @query(rf"WITH {TEXTS}, k AS (SELECT doc, text, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS w FROM texts) SELECT doc, coalesce(length(text) >= 20 AND len(list_filter(w, lambda t: regexp_matches(t, '^/[0-9]+$'))) / nullif(len(w), 0) > 0.3, false) AS glyphs, length(text) >= 100 AND {any_of('lower(text)', words.FINANCIAL)} AS readable FROM k")
@@ -84,13 +85,13 @@ def t4_t6_text_tests(spark, sf):
 
 @query(f"{LINES} SELECT doc, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) FILTER ({NOISE}) AS n_noise FROM lines GROUP BY doc")
 def t8_t9_lines(spark, sf):
-    each = text.lines(texts(spark, sf))
+    each = text.lines(texts(spark, sf, dealt=True))
     return each.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.count_if(text.noise(F.col("line"))).alias("n_noise"))
 
 
 @query(f"{LINES} SELECT doc, count(DISTINCT {KEY}) AS n_kept, count(*) AS n_lines FROM lines GROUP BY doc")
 def t10_line_dedup(spark, sf):
-    each = text.lines(texts(spark, sf))
+    each = text.lines(texts(spark, sf, dealt=True))
     kept = text.first_of_each(each).groupBy("doc").agg(F.count("*").alias("n_kept"))
     return kept.join(each.groupBy("doc").agg(F.count("*").alias("n_lines")), "doc")
 
@@ -100,7 +101,7 @@ METRICS = [k.replace("'", "''") for k in sorted({k for ks in words.KEYWORDS.valu
 
 @query(f"{LINES} SELECT doc, line_no, {SCORE} AS narrative, {n_of('lower(line)', METRICS)} * 6 + {n_of('lower(line)', words.TOTALS)} * 3 + {n_of('lower(line)', words.UNITS)} * 2 + {GROUPS} * 2 + CASE WHEN {GROUPS} >= 2 THEN 3 ELSE 0 END AS extraction FROM lines")
 def t11_t13_line_scores(spark, sf):
-    each = text.lines(texts(spark, sf))
+    each = text.lines(texts(spark, sf, dealt=True))
     return each.select("doc", "line_no", text.narrative_score(F.col("line")).alias("narrative"), text.extraction_score(F.col("line")).alias("extraction"))
 
 
@@ -113,7 +114,7 @@ kept AS (SELECT * FROM (SELECT *, max(CASE WHEN c > 4000 AND k > 1 THEN 1 ELSE 0
 
 @query(f"{COMPACT} SELECT doc, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS compact FROM kept GROUP BY doc")
 def t12_compacted(spark, sf):
-    return text.compacted(texts(spark, sf), 4000, 120)
+    return text.compacted(texts(spark, sf, dealt=True), 4000, 120)
 
 
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(text, '[0-9]', '', 'g'))) AS BIGINT) AS n_other FROM documents GROUP BY source, lang")

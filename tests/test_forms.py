@@ -250,3 +250,14 @@ def test_compaction_finds_places_once(spark):
     plan = text.extraction_compacted(spark.createDataFrame([("a", "x")], "doc string, text string"), 100)._jdf.queryExecution().optimizedPlan().toString()
     inside = plan[plan.index("sequence(0, (size(l#") :]
     assert "UL*" not in inside[: inside.index("AS at#")]
+
+
+def test_line_queries_use_all_cores(spark, tmp_path):
+    """Documents in one row group come in one task; the lines of all queries over them are read by all cores."""
+    from statloom.plans import documents
+
+    for t in ("orders", "customer", "lineitem", "part"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    spark.range(64).selectExpr("id AS doc_id", "'Revenue 1 000' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    tasks = documents.t11_t13_line_scores(spark, str(tmp_path)).where("doc LIKE 'd%'").select("doc", F.spark_partition_id().alias("task")).groupBy("task").count().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
