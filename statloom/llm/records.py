@@ -10,9 +10,9 @@ Documents are dealt by ranges of doc_id, sorted within each, encoded and framed
 reaches a size, so no task holds more than a batch and no shard grows with the corpus. A file is written under a name of
 its own attempt and then renamed: a task that is run again, or twice at once, leaves the same file.
 
-Texts are encoded by the ``tokenizers`` library. Where the file is plain byte-level BPE, a text is cut before spaces that
-the library's own rule never joins to what stands before, and each different part is encoded once and remembered up to
-a bound (a part of letters by the library's model at once, as it is one word); other files go to the library text by text.
+Texts are encoded by the ``tokenizers`` library. Where the file is plain byte-level BPE, the words of a batch of texts are
+found by arrays, as the library's own rule cuts them, and each different word is encoded by the library once and remembered
+up to a bound; texts that have added tokens and other files go to the library text by text.
 
 Defined cases: a null or empty text is a record with the end id alone; rows with one doc_id are records of their own,
 shortest text first, then by the text, and a null doc_id counts as the smallest number of 64 bits; very long texts are one
@@ -29,11 +29,13 @@ import posixpath
 import re
 import uuid
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -122,15 +124,17 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 class Parts:
-    """Encodes texts by the library, each different part once.
+    """Encodes texts by the library, each different word once.
 
-    In byte-level BPE a space before a character that is no white space always begins a word, whatever stands before, so
-    texts may be cut there; spaces before white space stay inside their part."""
+    Byte-level BPE cuts a text into words by the kinds of its characters and merges within them. The words of a batch are
+    found by arrays over its bytes, for characters of one and two bytes, whose kinds the library itself tells. A space
+    before a character that is no white space always begins a word, whatever stands before; so where there are longer
+    characters, all from such a space to the next is one word here, and the library cuts it."""
 
-    SPACED = re.compile(r" (?=\s|$)")
-    MARKS = frozenset(".,;:!?)")
+    LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
+    PIECE = re.compile(rb" (?=[A-Za-z])")
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 50_000, most_bytes: int = 8 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,96 +149,123 @@ class Parts:
         self.plain = (
             spec["model"]["type"] == "BPE" and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
-            and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout") and not spec["model"].get("unk_token")
+            and not spec["model"].get("ignore_merges") and not spec["model"].get("dropout") and not spec["model"].get("unk_token") and byte_letters().keys() <= spec["model"]["vocab"].keys()
         )
+        self.added = [t["content"] for t in added if t["content"]]
         if self.plain:
-            self.width = np.zeros(self.size, np.int64)
-            for token, i in self.library.get_vocab(with_added_tokens=True).items():
-                self.width[i] = len(token)  # a letter stands for a byte
-            for t in added:
-                self.width[t["id"]] = len(t["content"].encode())
-            self.letters = {b: c for c, b in byte_letters().items()}
-            self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, np.uint32).tobytes() for m in self.MARKS}
-            self.space, self.line = self.letters[32], np.array(self.library.encode("\n", add_special_tokens=False).ids, np.uint32).tobytes()
-            self.tokenize = self.library.model.tokenize
-        self.remember, self.known, self.recent, self.words = remember, {}, {}, {True: {}, False: {}}
-
-    def cut(self, text: str) -> list[str]:
-        """The parts, without the space before each but the first."""
-        parts = text.split(" ")
-        if not self.SPACED.search(text):
-            return parts
-        out = parts[:1]
-        for p in parts[1:]:
-            if not p or p[0].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(p)
+            self.kinds = np.array([self.kind(chr(c)) for c in range(0x800)], np.uint8)
+            self.of_byte = np.append(self.kinds[:128], np.zeros(128, np.uint8))
+            self.letters = "".join(sorted(byte_letters(), key=byte_letters().get))  # the letter that stands for each byte
+            self.stretch = re.compile(b"|".join([rb"[\xe0-\xff]", *(re.escape(chr(c).encode()) for c in np.flatnonzero(self.kinds == 0).tolist())]))
+        self.remember, self.most_bytes, self.known, self.older = remember, most_bytes, {}, {}
+
+    def kind(self, c: str) -> int:
+        """Which one of these the library joins with the character; 0 if not just one."""
+        joined = [k for k, x in ((self.LETTER, "a"), (self.NUMBER, "1"), (self.WHITE, "\n"), (self.OTHER, "!")) if len(self.library.pre_tokenizer.pre_tokenize_str(x + c)) == 1]
+        return joined[0] if len(joined) == 1 else 0
+
+    def begins(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where words begin in the bytes of texts, which begin at the places in texts."""
+        n = len(data)
+        kind = self.of_byte[data]
+        two = np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+        kind[two] = kind[two + 1] = self.kinds[(data[two] & 31).astype(np.int64) << 6 | (data[two + 1] & 63)]
+        new = np.zeros(n + 4, bool)  # a text begins, or all are over
+        new[texts], new[n:] = True, True
+        first = new.copy()
+        first[1:n] |= kind[1:] != kind[:-1]
+        white = kind == self.WHITE
+        after = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+        after = after[~new[after]]
+        first[after - 1 - (data[after - 1] > 127)] = True  # the last white space stands apart from those before it,
+        first[after[data[after - 1] == 32]] = False  # and a space with what follows
+        quote = np.flatnonzero(data == 39)
+        quote = quote[first[quote] & ~new[quote + 1]]
+        one, next_ = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+        short = quote[(one == 115) | (one == 116) | (one == 109) | (one == 100)]  # 's, 't, 'm, 'd
+        long = quote[((((one == 114) | (one == 118)) & (next_ == 101)) | ((one == 108) & (next_ == 108))) & ~new[quote + 2]]  # 're, 've, 'll
+        first[short + 1], first[short + 2], first[long + 1], first[long + 3] = False, True, False, True
+        odd = np.flatnonzero(kind == 0)
+        if len(odd):
+            space = np.flatnonzero((data[:-1] == 32) & ~white[1:] & (kind[1:] > 0) & ~new[1:n])
+            sure = new[:n].copy()
+            sure[space] = True
+            stretch = np.cumsum(sure)
+            mixed = np.zeros(stretch[-1] + 1, bool)
+            mixed[stretch[odd]] = True
+            first[:n] &= sure | ~mixed[stretch]
+        return np.flatnonzero(first[:n])
+
+    def learnt(self, words: list[bytes]) -> list[bytes]:
+        """The ids of the words by the library: by its model at once, but for stretches, which it has to cut."""
+        tokenize, letters, stretch = self.library.model.tokenize, self.letters, self.stretch.search
+        mixed = [k for k, w in enumerate(words) if stretch(w)]
+        if mixed:
+            out = self.learnt([b"" if stretch(w) else w for w in words])
+            for k, x in zip(mixed, self.by_library([words[k].decode() for k in mixed]), strict=True):
+                out[k] = x
+            return out
+        return [array("I", [t.id for t in tokenize(charmap_decode(w, "strict", letters)[0])]).tobytes() for w in words]
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words. Those that are known come from two bounded tables; of the older one, words that come
+        again move to the newer one."""
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
+        out = list(map(self.known.get, words))
+        if None in out:
+            missing = [k for k, x in enumerate(out) if x is None]
+            found = list(map(self.older.get, [words[k] for k in missing]))
+            new = [k for k, x in zip(missing, found, strict=True) if x is None]
+            learnt = iter(self.learnt([words[k] for k in new]))
+            for k, x in zip(missing, found, strict=True):
+                out[k] = next(learnt) if x is None else x
+                if len(words[k]) <= 60:
+                    self.known[words[k]] = out[k]
         return out
 
-    def by_library(self, parts: list[str]) -> dict[str, bytes]:
-        """Encodes the parts, each with a space before it, many to a text; the tokens' lengths say where each ends."""
-        out = {}
-        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
-        for group, found in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            bytes_ = np.cumsum(np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1)
-            cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), bytes_) + 4).tolist()
-            coded = ids.tobytes()
-            out.update(zip(group, map(coded.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        return out
-
-    def word(self, p: str, spaced: bool) -> bytes | None:
-        """The ids of a part of letters, perhaps with a mark behind them, which is a token of its own: one word for the
-        library, so its model can merge it at once. None for other parts."""
-        base = p[:-1] if p[-1:] in self.MARKS else p
-        known = self.words[spaced].get(base)
-        if known is None:
-            if not base.isalpha():
-                return None
-            letters = base
-            if not base.isascii():
-                if max(base) > "ÿ":
-                    return None
-                letters = base.encode().decode("latin-1").translate(self.letters)
-            known = array("I", [t.id for t in self.tokenize(self.space + letters if spaced else letters)]).tobytes()
-            if len(base) <= 40:
-                self.words[spaced][base] = known
-        return known if base is p else known + self.marks[p[-1]]
-
-    def learnt(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of the parts, each with a space before it."""
-        out, rest = {}, []
-        for p in parts:
-            ids = self.word(p, True)
-            if ids is None and p.count("\n") == 1:  # two words on two lines
-                one, two = p.split("\n")
-                if (first := self.word(one, True) if one else None) and (second := self.word(two, False) if two else None):
-                    ids = first + self.line + second
-            if ids is None:
-                rest.append(p)
-            else:
-                out[p] = ids
-        return out | self.by_library(rest)
+    def coded(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
+        if not self.plain:
+            return self.by_library(texts.to_pylist())
+        texts = texts.cast(pa.binary())
+        special = functools.reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pa.array([False] * len(texts)))
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+        if whole:
+            out = self.coded(pc.if_else(special, b"", texts))
+            for k, x in zip(whole, self.by_library([texts[k].as_py().decode() for k in whole]), strict=True):
+                out[k] = x
+            return out
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if len(texts) == 1 and ends[1] - ends[0] > self.most_bytes:
+            return [b"".join(x for p in self.pieces(texts[0].as_py()) for x in self.in_words(np.frombuffer(p, np.uint8), np.array([0, len(p)])))]
+        return self.in_words(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0])
+
+    def pieces(self, text: bytes) -> Iterator[bytes]:
+        """A long text in pieces that begin with a space before a letter."""
+        i = 0
+        while i < len(text):
+            cut = self.PIECE.search(text, i + self.most_bytes)
+            j = cut.start() if cut else len(text)
+            yield text[i:j]
+            i = j
+
+    def in_words(self, data: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids of each text of data, whose bytes lie between neighbours in ends."""
+        if not len(data):
+            return [b""] * (len(ends) - 1)
+        at = self.begins(data, ends[:-1][ends[1:] > ends[:-1]])
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self.of_words(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int32)[np.searchsorted(at, ends)].tolist()
+        flat = ids.buffers()[2].to_pybytes()
+        return [flat[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers. A part that comes again moves from the recent ones to the known ones."""
-        if not self.plain:
-            return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        known, recent = self.known, self.recent
-        for held in (known, recent, *self.words.values()):
-            if len(held) > self.remember:
-                held.clear()
-        split = [self.cut(t) for t in texts]
-        firsts = [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast([s.pop(0) for s in split], add_special_tokens=False)]
-        found = [list(map(known.get, s)) for s in split]
-        new = {p for s, f in zip(split, found, strict=True) if None in f for p, x in zip(s, f, strict=True) if x is None}
-        again = {p: recent.pop(p) for p in new & recent.keys()}
-        known.update(again)
-        new = self.learnt(new.difference(again))
-        recent.update((p, x) for p, x in new.items() if len(p) <= 100)
-        new |= again
-        return [b"".join([a, *(f if None not in f else [new[p] if x is None else x for p, x in zip(s, f, strict=True)])]) for a, s, f in zip(firsts, split, found, strict=True)]
+        return self.coded(pa.array(texts, pa.string()))
 
 
 @functools.lru_cache(2)
@@ -304,9 +335,9 @@ def write(docs: DataFrame, path: str, folder: str, settings: Settings = Settings
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["part", "piece", "name", "n_records", "n_ids", "n_bytes", "width"])
 
         for batch in batches:
-            for i, j in by_size(batch.column(1), 2 << 20):
-                ids, texts = batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist()
-                coded = [c + tail for c in coder(texts)]
+            for i, j in by_size(batch.column(1), 4 << 20):
+                ids = batch.column(0).slice(i, j - i).to_pylist()
+                coded = [c + tail for c in coder.coded(batch.column(1).slice(i, j - i))]
                 shard = shard or Shard(folder, f"part-{part:06d}-{piece:04d}")
                 shard.add(ids, framed(ids, coded, kind), np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
                 if shard.bytes >= settings.shard_bytes:

@@ -44,6 +44,33 @@ def test_odd_texts(text):
     assert np.frombuffer(PARTS([text, text])[1], np.uint32).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "it's they're I'll 's ''s 're'd 'sab 'LL 'l", "don't 'tis \n'vex 'r", "x'", "x 'm", "1's!'s", "a \n\n b\xa0\xa0c \x85d", "é ü\u0301x ÿß ²½ ٣ жук",
+    "  \u3000 a", "a\u3000 b 語's it's", "“it’s” — 5 €, ok", "\x1c\x1d a\x1f b", "🙂's 🙂 's", "a\u2003 \u2003b",
+])
+def test_words_are_cut_as_the_library_cuts_them(text):
+    for parts in (PARTS, records.Parts(PATH, remember=1, most_bytes=4)):
+        many = ["", text, "'s", " ", text + " ", "", "s " + text, " x", text + "'", "re"]
+        for _ in range(2):
+            assert [np.frombuffer(x, np.uint32).tolist() for x in parts(many)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in many]
+        assert np.frombuffer(parts([text * 9])[0], np.uint32).tolist() == LIBRARY.encode(text * 9, add_special_tokens=False).ids
+
+
+def test_words_that_are_remembered_stay_within_a_bound():
+    parts = records.Parts(PATH, remember=1000)
+    for i in range(40):
+        parts([" ".join(f"{c}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for c in chr(97 + i % 26) + chr(65 + i % 26) for k in range(100)) + f" word{'x' * i}"])
+    assert len(parts.known) <= 1300 and len(parts.older) <= 1300
+
+
+def test_words_are_looked_up_once_a_batch(monkeypatch):
+    """A text of one word many times costs one look at the table, not one a word: the time and memory of large tables."""
+    parts, seen = records.Parts(PATH), []
+    monkeypatch.setattr(parts, "of_words", lambda words, f=parts.of_words: seen.append(len(words)) or f(words))
+    ids = parts([" over and over" * 5000, " over"])
+    assert seen == [2] and np.frombuffer(ids[0], np.uint32).tolist() == LIBRARY.encode(" over and over" * 5000, add_special_tokens=False).ids
+
+
 def test_other_files_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     other, parts = tokenizers.Tokenizer.from_file(path), records.Parts(path)
