@@ -282,6 +282,11 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def unused() -> None:
+    """Gives back what Arrow keeps of memory that it has freed: workers live on, several to a core, when their task is over."""
+    pa.default_memory_pool().release_unused()
+
+
 def framed(doc_ids: list[int], coded: list[bytes], kind: str) -> list[bytes]:
     data = [np.int64(d).tobytes() + np.frombuffer(c, np.uint32).astype(kind).tobytes() for d, c in zip(doc_ids, coded, strict=True)]
     heads = [len(x).to_bytes(8, "little") for x in data]
@@ -343,6 +348,7 @@ def write(docs: DataFrame, path: str, folder: str, settings: Settings = Settings
                 if shard.bytes >= settings.shard_bytes:
                     yield closed()
                     shard, piece = None, piece + 1
+            unused()
         if shard:
             yield closed()
 
@@ -381,7 +387,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     return shards.repartition(max(1, n)).mapInArrow(rows, "name string, width int, doc_id long, offset long, length long, start long")
 
 
-def fetch(records: DataFrame, folder: str, most_bytes: int = 8 << 20) -> DataFrame:
+def fetch(records: DataFrame, folder: str, most_bytes: int = 2 << 20) -> DataFrame:
     """The records that rows of the index name, in the rows' order: doc_id, start, n_tokens, ids (binary, 32-bit numbers).
 
     Neighbours in a shard are read together; rows in another order (``index(...).orderBy(rand(seed))``) one by one."""
@@ -406,6 +412,7 @@ def fetch(records: DataFrame, folder: str, most_bytes: int = 8 << 20) -> DataFra
                 n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(5).slice(i, j - i), pa.array(n_ids), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                 i = j
+            unused()
 
     return records.select("name", "width", "doc_id", "offset", "length", "start").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
 
