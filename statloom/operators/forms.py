@@ -260,15 +260,20 @@ def cells_of(rows: DataFrame) -> Column:
     return F.transform("cells", lambda c: F.trim(F.lower(c)))
 
 
-def by_label(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """doc, row_no, metric_key, value, quality: rows of three cells or more by their first cell. The first label in order
-    decides, even if its row then gives nothing; amounts below 1000 are page numbers."""
+def labelled_values(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """doc, row_no, metric_key, label, value: rows of three cells or more by their first cell, of whatever quality. The first
+    label in order decides, even if its row then gives nothing; amounts below 1000 are page numbers."""
     label = F.lower(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     table = F.array(*[F.struct(F.lit(k.lower()).alias("label"), F.lit(m).alias("metric_key")) for k, m in labels.items()])
     metric = let(label, lambda t: F.try_element_at(F.filter(table, lambda x: t.contains(x["label"])), F.lit(1)))["metric_key"]
     hit = rows.where(F.size("cells") >= 3).select("doc", "row_no", metric.alias("metric_key"), label.alias("label"), F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))).alias("rest")).where("metric_key IS NOT NULL")
-    rated = hit.select("doc", "row_no", "metric_key", given(valid(first_number(F.col("rest")))).alias("value"), label_quality(F.col("metric_key"), F.col("label")).alias("quality"))
-    return rated.where("quality IS NOT NULL AND abs(value) >= 1000")
+    return hit.select("doc", "row_no", "metric_key", "label", given(valid(first_number(F.col("rest")))).alias("value")).where("abs(value) >= 1000")
+
+
+def by_label(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """doc, row_no, metric_key, value, quality: labelled values, less those whose label must not give its metric."""
+    rated = labelled_values(rows, labels).select("doc", "row_no", "metric_key", "value", label_quality(F.col("metric_key"), F.col("label")).alias("quality"))
+    return rated.where("quality IS NOT NULL")
 
 
 def by_national_label(rows: DataFrame) -> DataFrame:

@@ -45,15 +45,20 @@ def r6_complete_metadata(spark, sf):
     return audit.complete(inputs, KEYS, KNOWN)
 
 
-#: Every label of the list with its place in it: the first that a row's label has decides.
-KEYED_LABELS = "labels_ AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, k.replace("'", "''"), m) for i, (k, m) in enumerate(words.LABELS.items())) + ") AS v(no, keyword, metric_key))"
+#: What a row whose value is scaled may be called: the English labels, then the keywords, which name what those leave out.
+SCALED = dict(words.LABELS)
+for _metric, _keywords in words.KEYWORDS.items():
+    for _keyword in _keywords:
+        SCALED.setdefault(_keyword, _metric)
+#: Every one of them with its place in the list: the first that a row's label has decides.
+KEYED_LABELS = "labels_ AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, k.replace("'", "''"), m) for i, (k, m) in enumerate(SCALED.items())) + ") AS v(no, keyword, metric_key))"
 
 
 @query(f"{documents.cells_sql()}, {KEYED_LABELS}, hit AS (SELECT doc, row_no, metric_key, v, row_number() OVER (PARTITION BY doc, row_no ORDER BY no) AS rn FROM cells JOIN labels_ ON contains(lower(label), keyword)) SELECT doc, metric_key, row_no, v * CASE WHEN CAST(right(doc, 4) AS INT) % 2 = 0 THEN 1e3 ELSE 1e6 END AS value FROM hit WHERE rn = 1 AND abs(v) >= 1000 AND NOT (v BETWEEN 1900 AND 2100)")
 def r7_scaled_values(spark, sf):
-    """Table values times the scale that the statement's text names."""
+    """Table values times the scale that the statement's text names. Every named row's value is scaled, of whatever quality."""
     scales = text.scale(documents.texts(spark, sf).where(F.col("doc").startswith("s")))
-    hits = forms.by_english_label(documents.table_rows(spark, sf).withColumn("cells", F.slice("cells", 2, 9)))
+    hits = forms.labelled_values(documents.table_rows(spark, sf).withColumn("cells", F.slice("cells", 2, 9)), SCALED)
     return hits.join(scales, "doc").select("doc", "metric_key", "row_no", (F.col("value") * F.col("scale")).alias("value"))
 
 

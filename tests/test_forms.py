@@ -83,6 +83,14 @@ def test_labels(spark):
     assert [tuple(r)[2:] for r in forms.by_approximate_label(rows_of(spark, ("Gross profit", "", "7,000"), ("Gross profit", "", "70"))).collect()] == [("ebitda", 7000.0, 75, "gross_profit_to_ebitda_approximation")]
 
 
+def test_labelled_values_of_any_quality(spark):
+    """A label that must not give its metric as a candidate still names the row's value; the first label decides."""
+    rows = rows_of(spark, ("Short-term liabilities", "", "-4,000"), ("Cash and short-term liabilities", "", "5,000"), ("Other", "", "6,000"), ("Short-term liabilities", "", "999"), (None, None, None), ())
+    labels = {"short-term liabilities": "short_term_liabilities", "cash": "cash_and_equivalents"}
+    assert [(r.row_no, r.metric_key, r.value) for r in forms.labelled_values(rows, labels).orderBy("row_no").collect()] == [(0, "short_term_liabilities", -4000.0), (1, "short_term_liabilities", 5000.0)]
+    assert forms.by_label(rows, labels).count() == 0
+
+
 def test_heading_totals(spark):
     rows = [("Non-current assets", ""), ("Buildings", "7,000"), ("", "90,000"), ("Current assets", ""), ("Stocks", "2,000"), ("Cash", "3,000"), ("", "5,000"), ("Total assets", "95,000"), ("", "1,000"), ("Current liabilities", ""), ("-", "4,000"), ("Total", "6,000"), ("Total liabilities", "8,000")]
     got = {r.metric_key: r.value for r in forms.heading_totals(rows_of(spark, *rows)).collect()}
